@@ -6,12 +6,13 @@ import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that one step of a batch handles at once; bounds the memory of a Python worker.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,7 @@ def is_held_out(doc_id: str | Column) -> Column:
 def slices(column: pa.Array, most: int = STEP_BYTES):
     """Cut an Arrow column of text into runs of about ``most`` bytes; a longer text is a run of its own."""
     start, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(column).fill_null(0).to_pylist()):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
         if held and held + n > most:
             yield start, column.slice(start, i - start)
             start, held = i, 0

@@ -111,7 +111,7 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(k) * _PLACE[63], np.uint64)
+    out = np.full(n, k * int(_PLACE[63]) % 2**64, np.uint64)
     for j in range(k):
         out += hashes[j : j + n] * _PLACE[j]
     return mix(out)

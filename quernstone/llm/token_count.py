@@ -12,6 +12,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -132,7 +133,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text_col: str
         def work(column: pa.Array) -> list[pa.Array]:
             texts = [t or "" for t in column.to_pylist()]
             tokens = pa.array([counter.count(t) for t in texts], pa.int64())
-            return [pa.array([len(t.encode()) for t in texts], pa.int64()), tokens, pa.compute.greater(tokens, limit)]
+            return [pa.array([len(t.encode()) for t in texts], pa.int64()), tokens, pc.greater(tokens, limit)]
 
         return work
 

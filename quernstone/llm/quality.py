@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from .common import map_text, spread
 
 #: Labelled rows of each class that the fit uses at most, and the bytes of all of them together.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 
@@ -80,8 +80,9 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "quality", order
     """Fit to at most ``rows`` labelled rows of each class, chosen by a hash of ``order_col``.
 
     Rows with a null text or label are left out; whole texts are used, and rows are left out of
-    the sample from the one on that would make a class exceed half of ``most_bytes``. Four of
-    five rows make the dictionaries, the fifth calibrates. With one class only, or none, every
+    the sample from the one on that would make a class exceed half of ``most_bytes``. Two of
+    three rows make the dictionaries, the third calibrates; calibration weighs the classes by
+    their counts over all labelled rows. With one class only, or none, every
     text scores that class's (or an even) rate.
     """
     used = df.filter(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
@@ -98,13 +99,15 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "quality", order
     if not texts[0] or not texts[1]:
         rate = 0.0 if not texts[0] and not texts[1] else 6.0 if texts[1] else -6.0
         return Model(b"", b"", np.array([rate, 0, 0, 0, 0, 0]))
-    good, bad = (make_dictionary([t for i, t in enumerate(texts[y]) if i % 5] or texts[y]) for y in (1, 0))
+    count = {r.y: r["count"] for r in used.groupBy("y").count().collect()}
+    good, bad = (make_dictionary([t for i, t in enumerate(texts[y]) if i % 3] or texts[y]) for y in (1, 0))
     model = Model(good, bad, np.zeros(6))
     pair = model.compressors()
-    unseen = [(t, y) for y in (0, 1) for i, t in enumerate(texts[y]) if i % 5 == 0]
+    unseen = [(t, y) for y in (0, 1) for i, t in enumerate(texts[y]) if i % 3 == 0]
     y = np.array([v for _, v in unseen], float)
     x = expand(np.array([features(t, *pair) for t, _ in unseen]))
-    model.weights = _logistic(x, y, np.ones(len(y)))
+    share = {v: count[v] / sum(count.values()) / (y == v).mean() for v in (0, 1)}
+    model.weights = _logistic(x, y, np.where(y == 1, share[1], share[0]))
     return model
 
 

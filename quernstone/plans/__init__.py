@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-from .trends import QUERIES, SQL
+from . import listings, summaries, trends
+
+_MODULES = (trends, listings, summaries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
 
 __all__ = ["QUERIES", "SQL"]

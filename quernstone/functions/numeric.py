@@ -47,37 +47,36 @@ def abnormal_flag(text: Column) -> Column:
 def attention(value: Column, low: Column, high: Column, flag: Column, near: float = 0.1) -> Column:
     """How much attention a value deserves: struct of ``level``, ``boundary``, ``reason`` and ``conflict``.
 
-    In order: a range that is upside down or contradicts the flag is a conflict; an explicit
-    flag or a value outside makes it abnormal; a value within a tenth of the range of a limit (of a
-    single limit: of that limit) is near the boundary.
+    In order: an explicit flag makes a value abnormal; a range without extent is a conflict, and so
+    is a normal flag on a value outside; a value outside is abnormal; one within a tenth of the range
+    from a limit (with one limit: a tenth of that limit) is near the boundary, the lower one on a tie.
     """
-    upside_down = F.coalesce(low > high, F.lit(False))
-    over, under = F.coalesce(value > high, F.lit(False)), F.coalesce(value < low, F.lit(False))
-    flagged = F.coalesce(flag.isin("high", "low", "abnormal", "critical"), F.lit(False))
-    contradicts = (
-        (F.coalesce(flag == "normal", F.lit(False)) & (over | under))
-        | (F.coalesce(flag == "high", F.lit(False)) & under)
-        | (F.coalesce(flag == "low", F.lit(False)) & over)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    invalid = no(high <= low)
+    lo, hi = F.when(~invalid, low), F.when(~invalid, high)
+    under, over = no(value < lo), no(value > hi)
+    flagged = no(flag.isin("high", "low", "abnormal"))
+    contradicts = no(flag == "normal") & (under | over)
+    both = lo.isNotNull() & hi.isNotNull()
+    to_low, to_high = (value - lo) / (hi - lo), (hi - value) / (hi - lo)
+    near_two = both & no(F.least(to_low, to_high) <= near)
+    near_one_high = ~both & no((hi != 0) & ((hi - value) / F.abs(hi) <= near))
+    near_one_low = ~both & no((lo != 0) & ((value - lo) / F.abs(lo) <= near))
+    at = F.when(near_two, F.when(to_low <= to_high, "lower").otherwise("upper")).when(near_one_high, "upper").when(near_one_low, "lower")
+    level = (
+        F.when(flagged, "abnormal").when(invalid | contradicts, "conflict").when(under | over, "abnormal").when(at.isNotNull(), "near_boundary").otherwise("none")
     )
-    margin = F.when(low.isNotNull() & high.isNotNull(), (high - low) * near)
-    near_high = F.coalesce(value >= high - F.coalesce(margin, F.abs(high) * near), F.lit(False))
-    near_low = F.coalesce(value <= low + F.coalesce(margin, F.abs(low) * near), F.lit(False))
-    conflict = upside_down | contradicts
-    level = F.when(conflict, "conflict").when(flagged | over | under, "abnormal").when(near_high | near_low, "near_boundary").otherwise("none")
     boundary = (
-        F.when(upside_down, F.lit(None).cast("string"))
+        F.when(flagged, F.when(flag == "high", "upper").when(flag == "low", "lower"))
+        .when(invalid | contradicts, F.lit(None).cast("string"))
         .when(over, "upper")
         .when(under, "lower")
-        .when(F.coalesce(flag == "high", F.lit(False)), "upper")
-        .when(F.coalesce(flag == "low", F.lit(False)), "lower")
-        .when(flagged, F.lit(None).cast("string"))
-        .when(near_high, "upper")
-        .when(near_low, "lower")
+        .otherwise(at)
     )
     reason = (
-        F.when(upside_down, "invalid_range").when(contradicts, "flag_against_range").when(flagged, "flag").when(over | under, "outside_range").when(near_high | near_low, "near_limit")
+        F.when(flagged, F.concat(F.lit("flag_"), flag)).when(invalid, "invalid_range").when(contradicts, "flag_against_range").when(over, "above_range").when(under, "below_range").when(at.isNotNull(), "near_limit")
     )
-    return F.struct(level.alias("level"), boundary.alias("boundary"), reason.alias("reason"), conflict.alias("conflict"))
+    return F.struct(level.alias("level"), boundary.alias("boundary"), reason.alias("reason"), (~flagged & (invalid | contradicts)).alias("conflict"))
 
 
 def corrected_flag(value: Column, low: Column, high: Column, flag: Column) -> Column:

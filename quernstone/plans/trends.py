@@ -132,19 +132,12 @@ SQL = {
     "trend_attention": """
         with g as (select event_type, round(avg(value) - 2 * stddev_pop(value), 2) as low, round(avg(value) + 2 * stddev_pop(value), 2) as high from events group by 1),
         e as (select *, case when event_id % 17 = 0 then 'high' when event_id % 13 = 0 then 'normal' end as flag from events join g using (event_type)),
-        c as (select *, value < low as under, value > high as over from e),
+        c as (select *, value < low as under, value > high as over, (value - low) / (high - low) as tl, (high - value) / (high - low) as th from e),
         l as (select event_id, case
-            when low > high then 'conflict'
-            when flag = 'normal' and (under or over) then 'conflict'
-            when flag = 'high' and under then 'conflict'
-            when flag = 'high' then 'abnormal'
-            when under or over then 'abnormal'
-            when value >= high - 0.1 * (high - low) or value <= low + 0.1 * (high - low) then 'near_boundary'
-            else 'none' end as level,
-          case when low > high then null
-            when value > high then 'upper' when value < low then 'lower'
-            when flag = 'high' then 'upper'
-            when value >= high - 0.1 * (high - low) then 'upper' when value <= low + 0.1 * (high - low) then 'lower' end as boundary
+            when flag = 'high' then 'abnormal' when high <= low then 'conflict' when flag = 'normal' and (under or over) then 'conflict'
+            when under or over then 'abnormal' when least(tl, th) <= 0.1 then 'near_boundary' else 'none' end as level,
+          case when flag = 'high' then 'upper' when high <= low or (flag = 'normal' and (under or over)) then null
+            when over then 'upper' when under then 'lower' when least(tl, th) <= 0.1 then case when tl <= th then 'lower' else 'upper' end end as boundary
           from c)
         select event_id, level, boundary from l where level <> 'none'
     """,

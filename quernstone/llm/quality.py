@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import map_text, spread
 
@@ -76,30 +77,27 @@ def expand(f: np.ndarray) -> np.ndarray:
     return np.stack([f[:, 0], d, r, d * d, r * r, d * r], axis=1)
 
 
-def fit(df: DataFrame, text_col: str = "text", label_col: str = "quality", order_col: str = "doc_id", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fit to at most ``rows`` labelled rows of each class, chosen by a hash of ``order_col``.
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit to the texts of at most ``rows`` labelled ids of each class, chosen by a hash of the id.
 
-    Rows with a null text or label are left out; whole texts are used, and rows are left out of
-    the sample from the one on that would make a class exceed half of ``most_bytes``. Two of
-    three rows make the dictionaries, the third calibrates; calibration weighs the classes by
-    their counts over all labelled rows. With one class only, or none, every
-    text scores that class's (or an even) rate.
+    Ids are chosen from the labels alone, so the texts are filtered by a broadcast of ``2 * rows`` ids and never
+    shuffled. Null texts are left out; whole texts are used, and a class stops before the text that would
+    take it over half of ``most_bytes``. Two of three texts make the dictionaries, the third calibrates;
+    calibration weighs the classes by their counts over all labels. With one class only, or none,
+    every text scores that class's (or an even) rate.
     """
-    used = df.filter(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
-    used = used.select(F.col(text_col).alias("t"), F.col(label_col).alias("y"), F.xxhash64(F.col(order_col)).alias("h"), F.col(order_col).alias("o"))
-    texts: dict[int, list[bytes]] = {}
-    for y in (0, 1):
-        held, size = [], 0
-        for r in used.filter(F.col("y") == y).orderBy("h", "o").limit(rows).toLocalIterator():
-            size += len(raw := r.t.encode())
-            if size > most_bytes // 2:
-                break
-            held.append(raw)
-        texts[y] = held
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("o"), F.col(label_col).alias("y"))
+    known = known.withColumn("h", F.xxhash64("o"))
+    count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    some = [known.filter(F.col("y") == y).orderBy("h", "o").limit(rows) for y in (0, 1)]
+    chosen = df.select(F.col(id_col).alias("o"), F.col(text_col).alias("t")).join(F.broadcast(some[0].unionByName(some[1])), "o").filter("t is not null")
+    size = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy("h", "o", "t"))
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in chosen.withColumn("size", size).filter(F.col("size") <= most_bytes // 2).orderBy("y", "h", "o", "t").select("y", "t").collect():
+        texts[r.y].append(r.t.encode())
     if not texts[0] or not texts[1]:
         rate = 0.0 if not texts[0] and not texts[1] else 6.0 if texts[1] else -6.0
         return Model(b"", b"", np.array([rate, 0, 0, 0, 0, 0]))
-    count = {r.y: r["count"] for r in used.groupBy("y").count().collect()}
     good, bad = (make_dictionary([t for i, t in enumerate(texts[y]) if i % 3] or texts[y]) for y in (1, 0))
     model = Model(good, bad, np.zeros(6))
     pair = model.compressors()

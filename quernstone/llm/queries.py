@@ -54,13 +54,13 @@ def headers(*fields: tuple[str, Column]) -> Column:
 def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat_ws(": ", x["key"], x["value"]))
-    return found.select("record_id", "canonical", "ts", "response_id", "status", "digest", F.array_join(lines, "\n").alias("header_text"))
+    return found.select("record_id", "canonical", "ts", F.coalesce("response_id", F.lit(-1)).alias("response_id"), "status", "digest", F.array_join(lines, "\n").alias("header_text"))
 
 
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~is_held_out("doc_id"))
-    model = quality.fit(docs.join(labels, "doc_id"))
+    model = quality.fit(docs, labels)
     found = quality.score(docs, model, keep=["doc_id"])
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")
 
@@ -176,7 +176,7 @@ SQL: dict[str, str] = {
                  else 'no_validator' end as status
           from rev v asof left join resp r on v.canonical = r.canonical and v.ts > r.ts
         )
-        select record_id, canonical, ts, response_id, status, case when status = 'resolved' then d end as digest,
+        select record_id, canonical, ts, coalesce(response_id, -1) as response_id, status, case when status = 'resolved' then d end as digest,
           case when status = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html'
             || chr(10) || 'date: ' || ts || coalesce(chr(10) || 'etag: ' || coalesce(asked, tag), '') end as header_text
         from m

@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import map_text, spread
+from .common import map_text, slices, spread
 
 #: Characters of a piece that is encoded at once, and of the first window on each side of a seam.
 LEAF, WINDOW = 8192, 64
@@ -160,7 +160,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
     def run(batches):
         codec = _codec(content.value, pattern, LEAF, WINDOW)
         for batch in batches:
-            made = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in others], pa.array(made, pa.binary())], names=fields.names)
+            for first, piece in slices(batch.column(at)):
+                made = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in piece.to_pylist()]
+                rest = batch.slice(first, len(piece))
+                yield pa.RecordBatch.from_arrays([*[rest.column(i) for i in others], pa.array(made, pa.binary())], names=fields.names)
 
     return df.mapInArrow(run, fields)

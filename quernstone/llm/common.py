@@ -75,11 +75,10 @@ def map_text(df: DataFrame, column: str, fields: StructType, factory, keep: list
     def run(batches):
         work = factory()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts = [work(piece) for _, piece in slices(batch.column(0))]
-            made = [pa.concat_arrays([p[i].cast(t) for p in parts]) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], *fields.names])
+            for at, piece in slices(batch.column(0)):
+                made = [m.cast(t) for m, t in zip(work(piece), types, strict=True)]
+                rest = batch.slice(at, len(piece))
+                yield pa.RecordBatch.from_arrays([*rest.columns[1:], *made], names=[*batch.schema.names[1:], *fields.names])
 
     return df.mapInArrow(run, StructType([*passed, *fields.fields]))
 

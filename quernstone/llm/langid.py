@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import map_text, spread
+from .common import cut, map_text, spread
 
 GRAM = 4  #: bytes
 HASHES = 3
@@ -162,7 +162,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share:
     ``most_slots`` at most.
     """
     known = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = count_grams(spread(known.select(text_col, lang_col)), text_col, lang_col)
+    counts = cut(count_grams(spread(known.select(text_col, lang_col)), text_col, lang_col))
     sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(65).collect()}
     if len(sizes) > 64:
         raise ValueError("at most 64 languages")

@@ -247,7 +247,8 @@ def _by_join(df: DataFrame, windows: DataFrame, text_col: str, id_col: str, k: i
         F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
     ).withColumn("n_items", F.greatest("n_items", F.lit(0))).withColumn("contaminated", F.col("n_hit") > 0)
     passed = [c for c in df.columns if c not in _FIELDS.names and (keep is None or c in keep)]
-    return df.join(out, df[id_col].eqNullSafe(out["__id"])).select(*[df[c] for c in passed], *_FIELDS.names)
+    kept = df.select(F.col(id_col).alias("__key"), *[F.col(f"`{c}`") for c in passed])
+    return kept.join(out, F.col("__key").eqNullSafe(F.col("__id"))).select(*[f"`{c}`" for c in passed], *_FIELDS.names)
 
 
 def _pieces(batch: pa.RecordBatch):

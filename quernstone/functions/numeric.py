@@ -100,7 +100,7 @@ def convert_units(df: DataFrame, factors: DataFrame, key: str = "key", unit: str
 
 def size_of(text: Column) -> Column:
     """``length, width, height, unit`` of a size like ``12×8×5 mm``; null without one."""
-    p = r"(\d+(?:\.\d+)?)\s*(?:(mm|cm|毫米|厘米)\s*)?[×xX*＊]\s*(\d+(?:\.\d+)?)\s*(?:(?:mm|cm|毫米|厘米)\s*)?(?:[×xX*＊]\s*(\d+(?:\.\d+)?))?\s*(mm|cm|毫米|厘米)?"
+    p = r"(\d+(?:\.\d+)?)\s*(?:(mm|cm|毫米|厘米)\s*)?[×xX*＊]\s*(\d+(?:\.\d+)?)\s*(?:(?:mm|cm|毫米|厘米)\s*(?=[×xX*＊]))?(?:[×xX*＊]\s*(\d+(?:\.\d+)?))?\s*(mm|cm|毫米|厘米)?"
     unit = F.coalesce(F.nullif(F.regexp_extract(text, p, 5), F.lit("")), F.nullif(F.regexp_extract(text, p, 2), F.lit("")))
     number = lambda g: F.regexp_extract(text, p, g).try_cast("double")
     named = F.when(unit.isin("cm", "厘米"), "cm").when(unit.isin("mm", "毫米"), "mm")

@@ -44,7 +44,8 @@ def canonical_unit(unit: Column) -> Column:
     u = F.regexp_replace(narrow(unit), r"\s+", "")
     u = F.regexp_replace(F.translate(u, "／⁄µ﹪", "//μ%"), "[×xX*]", "×")
     known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in UNIT_NAMES.items()))
-    return F.nullif(F.coalesce(F.try_element_at(known, F.lower(u)), u), F.lit(""))
+    starred = F.translate(F.lower(u), "×", "*")
+    return F.nullif(F.coalesce(F.try_element_at(known, F.lower(u)), F.try_element_at(known, starred), u), F.lit(""))
 
 
 def conversion_table(spark: SparkSession) -> DataFrame:

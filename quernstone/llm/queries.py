@@ -181,4 +181,28 @@ SQL: dict[str, str] = {
             || chr(10) || 'date: ' || ts || coalesce(chr(10) || 'etag: ' || coalesce(asked, tag), '') end as header_text
         from m
     """,
+    "op8_decontamination": r"""
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        bi as (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0),
+        win as (select distinct cast(item_id as varchar) as item, least(len(w), 10) as n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as words from bi),
+        di as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from win) where len(w) >= n),
+        occ as (select doc_id, i, di.n, item from di join win on win.n = di.n and array_to_string(w[i : i + di.n - 1], ' ') = words),
+        hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from occ) group by 1),
+        it as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as items from occ group by 1)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join it using (doc_id)
+    """,
+    "op9_minhash_near_dedup": r"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, unnest(list_distinct(case when len(w) >= 3 then [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]
+          when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from d),
+        n as (select doc_id, count(*) as n from s group by 1),
+        c as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+        e as (select a, b from c join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+        g as (select a, b from e union all select b, a from e),
+        r(a, b) as (select doc_id, doc_id from d union select r.a, g.b from r join g on r.b = g.a),
+        m as (select a as doc_id, min(b) as component_id from r group by 1)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from m left join n using (doc_id)
+    """,
 }

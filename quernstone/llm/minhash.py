@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import grams
 from .common import cut, map_text, spread
@@ -16,6 +15,11 @@ from .components import connected_components
 #: 25 bands of 5 minima: two sets of similarity 0.85 miss each other in every band with
 #: probability (1 - 0.85**5)**25 < 5e-7, sets of similarity 0.8 with 5e-5.
 BANDS, ROWS = 25, 5
+#: Ranges of hashes in a sketch.
+BIN_BITS = 11
+BINS = 1 << BIN_BITS
+#: Hash ranges of ids by which documents without a candidate pair are left out.
+SIEVE = 1 << 19
 #: Members of a bucket that one step compares with each other at most.
 BLOCK = 256
 
@@ -46,14 +50,38 @@ def _hash_family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SIGNED = StructType(
-    [StructField("n_shingles", LongType()), StructField("s1", LongType()), StructField("s2", LongType()), StructField("sig", BinaryType())]
+    [
+        StructField("n_shingles", LongType()),
+        StructField("s1", LongType()),
+        StructField("s2", LongType()),
+        StructField("bands", ArrayType(LongType())),
+        StructField("sketch", BinaryType()),
+    ]
 )
 
 
+def _band_keys(least: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
+    """A 64-bit key of each band's minima and its place."""
+    rng = np.random.Generator(np.random.PCG64(seed + 1))
+    mul = rng.integers(0, 2**63, (bands, rows), dtype=np.uint64) | np.uint64(1)
+    total = (least.reshape(-1, bands, rows).astype(np.uint64) * mul).sum(axis=2, dtype=np.uint64)
+    return grams.mix(total + np.arange(1, bands + 1, dtype=np.uint64))
+
+
+def sketches(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set a byte of the smallest hash in each of ``BINS`` ranges of hashes; 0 where a range is empty."""
+    out = np.zeros((len(at) - 1, BINS), np.uint8)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = owner * BINS + (x >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))  # sets are sorted, so a range's smallest comes first
+    out.ravel()[place[first]] = 1 + ((x[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(255)
+    return out
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """Set size, a 128-bit digest of the shingle set, and ``bands * rows`` universal hash minima.
+    """Set size, a 128-bit digest of the shingle set, band keys of ``bands * rows`` universal hash minima, and a sketch.
 
-    Returns ``doc_id, n_shingles, s1, s2, sig``; ``sig`` is null for a text without words.
+    Returns ``doc_id, n_shingles, s1, s2, bands, sketch``; the last two are null for a text without words.
     """
     n = bands * rows
 
@@ -72,10 +100,13 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, bands: int = B
                 short, starts = (x >> np.uint64(32)).astype(np.uint32), at[:-1][full]
                 for i in range(n):
                     least[:, i] = np.minimum.reduceat(short * mul[i] + add[i], starts)
-            sig: list[bytes | None] = [None] * len(size)
+            keys = _band_keys(least, bands, rows, seed).view(np.int64)
+            made = pack_sketches(sketches(x, at))
+            held: list[list | None] = [None] * len(size)
+            sketch: list[bytes | None] = [None] * len(size)
             for i, d in enumerate(full.tolist()):
-                sig[d] = least[i].tobytes()
-            return [pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sig, pa.binary())]
+                held[d], sketch[d] = keys[i], made[d]
+            return [pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(held, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
 
         return work
 
@@ -83,18 +114,20 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, bands: int = B
     return map_text(rows_in, "text", _SIGNED, factory, keep=["doc_id"])
 
 
-def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """One row for each representative and band: ``bucket, rep, n``."""
-    key = F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * rows) + 1, F.lit(4 * rows))),
-    )
-    return reps.select(F.explode(key).alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+def _among(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Leave out most documents that are in no pair, before their texts are shuffled.
+
+    What is broadcast are the occupied ones of ``SIEVE`` hash ranges of ids: that many integers at most,
+    however many pairs there are. A document that passes by chance is dropped by the joins that follow.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE)).cast("int")
+    used = pairs.select(spot("u").alias("spot")).unionByName(pairs.select(spot("v").alias("spot"))).distinct()
+    return docs.withColumn("spot", spot("doc_id")).join(F.broadcast(used), "spot", "left_semi").drop("spot")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Keep the pairs ``u, v`` whose full shingle sets are similar enough: 100 |A and B| >= percent |A or B|."""
-    texts = docs.select("doc_id", "text")
+    texts = _among(docs.select("doc_id", "text"), pairs)
     joined = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
     joined = joined.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
 
@@ -115,17 +148,71 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return joined.mapInArrow(check, pairs.select("u", "v").schema)
 
 
-def _cross_pairs(members: DataFrame, percent: int, hashes: int, block: int) -> DataFrame:
+def pack_sketches(dense: np.ndarray) -> list[bytes]:
+    """A sketch in short: a bit for each range that is filled, then the bytes of those."""
+    filled = dense != 0
+    masks = np.packbits(filled, axis=1)
+    ends = np.cumsum(filled.sum(axis=1))
+    held = dense[filled].tobytes()
+    return [m.tobytes() + held[a:b] for m, a, b in zip(masks, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def unpack_sketches(packed: list[bytes]) -> np.ndarray:
+    """The dense form: one row of ``BINS`` bytes each."""
+    n = BINS // 8
+    filled = np.unpackbits(np.frombuffer(b"".join(p[:n] for p in packed), np.uint8)).reshape(-1, BINS).view(bool)
+    dense = np.zeros(filled.shape, np.uint8)
+    dense[filled] = np.frombuffer(b"".join(p[n:] for p in packed), np.uint8)
+    return dense
+
+
+def _alike(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> np.ndarray:
+    """Whether sketches, row by row, may belong to sets of similarity ``least`` or more.
+
+    The share of equal bytes among the ranges that either fills estimates the similarity. Its variance at ``least``
+    is that of a sample without replacement: ``least (1 - least) (1 / filled - 1 / union)``. Five standard deviations
+    and one range are allowed. Bytes are summed eight at a time in lanes that can't overflow.
+    """
+    lanes = lambda m: m.view(np.uint64).reshape(len(m), -1, 128).sum(axis=2, dtype=np.uint64).view(np.uint8).sum(axis=1, dtype=np.int64)
+    either = lanes((x | y) != 0)
+    same = lanes(x == y) - (BINS - either)
+    union = (nx + ny) / (1 + least)
+    spread_ = np.sqrt(least * (1 - least) * np.maximum(0, 1 / either - 1 / np.maximum(union, either)))
+    return same / either >= least - 5 * spread_ - 1 / either
+
+
+def _compare(x: dict, y: dict, bucket: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between two blocks of a bucket, by index, that look similar and share no earlier bucket."""
+    ok = (x["component"][:, None] != y["component"]) & (~x["minor"][:, None] | (x["rep"][:, None] < y["rep"]))
+    ok &= 100 * np.minimum(x["n"][:, None], y["n"]) >= percent * np.maximum(x["n"][:, None], y["n"])
+    i, j = np.nonzero(ok)
+    kept = []
+    for a in range(0, len(i), 16_384):
+        p, q = i[a : a + 16_384], j[a : a + 16_384]
+        first = (x["bands"][p] == y["bands"][q]).argmax(axis=1)
+        mine = x["bands"][p, first] == bucket
+        p, q = p[mine], q[mine]
+        for c in range(0, len(p), 2048):
+            u, v = p[c : c + 2048], q[c : c + 2048]
+            good = _alike(x["sketch"][u], y["sketch"][v], x["n"][u], y["n"][v], percent / 100)
+            kept.append((u[good], v[good]))
+    if not kept:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+
+
+_MEMBER = ["bucket", "a", "b", "side", "minor", "rep", "n", "component", "bands", "sketch"]
+
+
+def _cross_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of a bucket's members that are in different components so far and look similar.
 
-    ``members``: ``bucket, rep, n, component, sig``. The members outside a bucket's largest
+    ``members``: ``bucket, rep, n, component, bands, sketch``. The members outside a bucket's largest
     component are cut into blocks of about ``block``; each block meets all members of the
     bucket, again in blocks, so no task holds more than two blocks of a bucket and every
-    such pair is compared. The looks: set sizes that allow the similarity, and a share of
-    equal minima no more than six standard deviations below it.
+    such pair is compared. The looks: set sizes that allow the similarity, and sketches that
+    do. A pair that shares several buckets is given by the first one only.
     """
-    least = percent / 100
-    floor = least - 6 * (least * (1 - least) / hashes) ** 0.5
     per = members.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     per = per.groupBy("bucket").agg(
         F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("parts")
@@ -136,27 +223,45 @@ def _cross_pairs(members: DataFrame, percent: int, hashes: int, block: int) -> D
         F.ceil(F.col("size") / block).cast("int").alias("na"),
         F.ceil((F.col("size") - F.col("top.c")) / block).cast("int").alias("nb"),
     )
-    m = members.join(per, "bucket")
+    m = members.join(per, "bucket").withColumn("minor", F.col("component") != F.col("major"))
     spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    minor = m.filter("component <> major")
-    left = m.select(F.lit(0).alias("side"), "bucket", "rep", "n", "component", "sig", spot("na").alias("a"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
-    right = minor.select(F.lit(1).alias("side"), "bucket", "rep", "n", "component", "sig", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"), spot("nb").alias("b"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out_u, out_v = [], []
-        if len(x) and len(y):
-            sx, sy = (np.frombuffer(b"".join(p.sig), np.uint32).reshape(len(p), hashes) for p in (x, y))
-            rx, cx, nx = x.rep.to_numpy(), x.component.to_numpy(), x.n.to_numpy()
-            for r, c, n, s in zip(y.rep.to_numpy(), y.component.to_numpy(), y.n.to_numpy(), sy, strict=True):
-                ok = (cx != c) & (100 * np.minimum(nx, n) >= percent * np.maximum(nx, n))
-                at = np.flatnonzero(ok)
-                at = at[(sx[at] == s).mean(axis=1) >= floor] if len(at) else at
-                out_u.append(np.minimum(rx[at], r))
-                out_v.append(np.maximum(rx[at], r))
-        return pd.DataFrame({"u": np.concatenate(out_u) if out_u else [], "v": np.concatenate(out_v) if out_v else []}, dtype="int64")
-
-    return left.unionByName(right).groupBy("bucket", "a", "b").applyInPandas(compare, "u long, v long").distinct()
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = m.withColumn("side", F.lit(0)).withColumn("a", spot("na")).withColumn("b", upto("nb"))
+    right = m.filter("minor").withColumn("side", F.lit(1)).withColumn("a", upto("na")).withColumn("b", spot("nb"))
+    both = left.select(*_MEMBER).unionByName(right.select(*_MEMBER))
+    both = both.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "side")
+
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            key = np.stack([held.column(c).to_numpy() for c in ("bucket", "a", "b")])
+            starts = np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1
+            if len(starts):  # the last run may go on in the next batch
+                yield from pairs_of(held.slice(0, int(starts[-1])), [0, *starts.tolist()], key[0])
+                held = held.slice(int(starts[-1]))
+        if held is not None and len(held):
+            yield from pairs_of(held, [0, len(held)], held.column("bucket").to_numpy())
+
+    def pairs_of(t: pa.Table, bounds: list[int], buckets: np.ndarray):
+        t = t.combine_chunks()
+        col = {c: t.column(c).to_numpy() for c in ("side", "minor", "rep", "n", "component")}
+        col["bands"] = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        packed = t.column("sketch").to_pylist()
+        us, vs = [], []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            mid = a + int(np.searchsorted(col["side"][a:b], 1))
+            if a == mid or mid == b:
+                continue
+            x, y = ({c: v[s] for c, v in col.items()} | {"sketch": unpack_sketches(packed[s])} for s in (slice(a, mid), slice(mid, b)))
+            i, j = _compare(x, y, int(buckets[a]), percent)
+            us.append(np.minimum(x["rep"][i], y["rep"][j]))
+            vs.append(np.maximum(x["rep"][i], y["rep"][j]))
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(
@@ -191,8 +296,8 @@ def near_duplicates(
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     sets = usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
     reps = usable.join(sets.select(F.col("rep").alias("doc_id"), "s1", "s2", "n_shingles"), ["doc_id", "s1", "s2", "n_shingles"], "left_semi")
-    reps = reps.select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id", "n_shingles"])
-    buckets = _buckets(reps, bands, rows)
+    reps = reps.select("doc_id", "n_shingles", "bands", "sketch")
+    buckets = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     hubs = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
     members = cut(buckets.join(hubs.select("bucket", "hub"), "bucket"))
     pairs = members.filter(
@@ -206,8 +311,8 @@ def near_duplicates(
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     rest = labelled.join(mixed.select("bucket"), "bucket", "left_semi")
-    rest = rest.join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep")
-    more = cut(_cross_pairs(rest, percent, bands * rows, block))
+    rest = rest.join(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), ["rep", "n"])
+    more = cut(_cross_pairs(rest, percent, block))
     if not more.isEmpty():
         links = links.unionByName(_verify(more, texts, k, percent))
     copies = usable.select("doc_id", "s1", "s2", "n_shingles").join(sets.filter("c > 1"), ["s1", "s2", "n_shingles"])

@@ -108,3 +108,14 @@ def test_quality_with_one_class_or_none(spark):
     for labels, low, high in (([], 0.5, 0.5), ([(1, 1)], 0.9, 1.0), ([(1, 0)], 0.0, 0.1)):
         model = quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"))
         assert low <= quality.score(df, model).first().score <= high
+
+
+def test_logistic_regression_settles_on_separable_classes():
+    """Classes that a square separates wholly, and far apart scales: weights stay finite and right."""
+    rng = np.random.default_rng(1)
+    d, r = rng.normal(0, 1, 400), rng.uniform(0, 1, 400)
+    y = (d + 3 * (r - 0.5) > 0).astype(float)
+    x = quality.expand(np.stack([np.ones(400), 3 * d, r], axis=1))
+    w = quality._logistic(x, y, np.where(y == 1, 1.8, 0.2))
+    assert np.isfinite(w).all() and np.abs(w).max() < 1e4
+    assert ((x @ w > 0) == (y == 1)).mean() > 0.95

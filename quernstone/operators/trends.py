@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quernstone.functions.numeric import attention
+
+from .series import drop_repeated_points
 
 
 def series_summary(points: DataFrame, keys: list[str], time: str, value: str, tie: str) -> DataFrame:
     """Count, first and last time, latest and previous value, change, and range of each series.
 
-    The two newest points come from one hash aggregate on (time, tie): ``max_by`` gives the
-    latest, and the running pair is kept by a second aggregate over (series, day) so that
-    no series is sorted in one task. Points without a value are left out.
+    One hash aggregate for the counts and the range. The two newest points are found for each (series, day) first and
+    then for the series, so a series with a third of all points is split by its days. Points without a value
+    are left out.
     """
     order = F.struct(F.col(time), F.col(tie))
     used = points.filter(F.col(value).isNotNull())
-    # The two newest of each (series, day) are found first; a hot series is split by its days.
     day = used.withColumn("__day", F.to_date(time)).groupBy(*keys, "__day").agg(
         F.count("*").alias("n"),
         F.min(time).alias("first_ts"),
@@ -38,3 +42,55 @@ def series_summary(points: DataFrame, keys: list[str], time: str, value: str, ti
         latest.alias("latest_value"), previous.alias("previous_value"), F.round(latest - previous, 6).alias("delta"),
         "min_value", "max_value",
     )
+
+
+def trend_points(observations: DataFrame, normalizations: DataFrame, reports: DataFrame) -> DataFrame:
+    """Observations with their canonical key, value and unit, their report's date, and why one is left out of trends.
+
+    Only high and medium matches are used; a lower one is kept as a raw name. Trashed reports are left out.
+    """
+    r = reports.filter("status <> 'trashed'").select(F.col("id").alias("report_id"), "member_id", "status", F.coalesce("report_issued_at", "examined_at", "created_at").alias("sort_date"))
+    n = normalizations.select(F.col("id"), "canonical_key", "display_name", "canonical_value", "canonical_unit", "quality", "excluded_reason")
+    out = observations.join(r, "report_id").join(n, "id", "left")
+    sure = F.coalesce(F.col("quality").isin("high", "medium"), F.lit(False))
+    reason = F.when(F.col("quality") == "excluded", F.coalesce("excluded_reason", F.lit("excluded"))).when(~sure, "uncertain_match").when(F.coalesce("canonical_value", "numeric_value").isNull(), "no_number")
+    return out.select(
+        "id", "report_id", "member_id", "status", "sort_date", "item_name", "reference_low", "reference_high", "abnormal_flag",
+        F.when(sure, F.col("canonical_key")).alias("series_key"), F.coalesce(F.when(sure, F.col("display_name")), "item_name").alias("series_name"),
+        F.when(sure, F.coalesce("canonical_value", "numeric_value")).alias("value"), F.when(sure, F.coalesce("canonical_unit", "unit")).alias("series_unit"), "quality", reason.alias("left_out"),
+    )
+
+
+def trend_series(points: DataFrame, same: Column | None = None, most_left_out: int = 8, most_names: int = 8) -> DataFrame:
+    """Series of a member by key and unit: counts, dates, latest and previous value, range, names, attention, points left out.
+
+    Repeated points are dropped first: equal day and value by default, or by any condition ``same`` between aliases ``p`` and
+    an earlier ``o``. The first in the order of date, filed reports, match quality and ids stays.
+    """
+    keys = ["member_id", "series_key", "series_unit"]
+    used = points.filter("left_out is null and series_key is not null")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("sort_date", F.when(F.col("status") == "ready", 0).otherwise(1), F.when(F.col("quality") == "high", 0).otherwise(1), "report_id", "id"))
+    same = same if same is not None else (F.substring("p.sort_date", 1, 10) == F.substring("o.sort_date", 1, 10)) & (F.abs(F.col("p.value") - F.col("o.value")) < 1e-9)
+    kept = drop_repeated_points(used.withColumn("__rank", rank), keys, "__rank", same)
+    a = attention(F.col("value"), F.col("reference_low"), F.col("reference_high"), F.col("abnormal_flag"))
+    point = F.struct("sort_date", "__rank", "value", a.alias("attention"))
+    out = kept.groupBy(*keys).agg(
+        F.count("*").alias("point_count"), F.min("sort_date").alias("first_date"), F.max("sort_date").alias("last_date"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+        F.slice(F.sort_array(F.collect_list(point), asc=False), 1, 2).alias("__top"), F.max_by("series_name", F.struct("sort_date", "__rank")).alias("name"),
+        F.slice(F.array_sort(F.collect_set("item_name")), 1, most_names).alias("names"),
+    )
+    new, old = F.get("__top", F.lit(0)), F.get("__top", F.lit(1))
+    out = out.select(
+        *keys, "name", "point_count", "first_date", "last_date", new["value"].alias("latest_value"), old["value"].alias("previous_value"), F.round(new["value"] - old["value"], 6).alias("delta"),
+        "min_value", "max_value", "names", new["attention"]["level"].alias("level"), new["attention"]["boundary"].alias("boundary"),
+    )
+    lost = points.filter("left_out is not null")
+    newest = Window.partitionBy("member_id", "item_name").orderBy(F.col("sort_date").desc(), "id")
+    lost = lost.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= most_left_out)
+    by_name = lost.groupBy("member_id", F.col("item_name").alias("__n")).agg(F.array_sort(F.collect_list(F.struct("sort_date", "id", "left_out"))).alias("left_out"))
+    return out.join(by_name, (out["member_id"] == by_name["member_id"]) & (F.col("name") == F.col("__n")), "left").drop(by_name["member_id"]).drop("__n")
+
+
+def in_shown_order(series: DataFrame) -> DataFrame:
+    """Series with several points first, the newest first, then by name in pinyin order."""
+    return series.orderBy((F.col("point_count") > 1).desc(), F.col("last_date").desc(), F.collate("name", "zh"), "series_key")

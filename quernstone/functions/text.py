@@ -81,7 +81,7 @@ def abbreviate_id(id_: Column) -> Column:
 
 def table_cells(line: Column) -> Column:
     """Cells of a table row, trimmed."""
-    return F.transform(F.split(line, r"[|｜]"), F.trim)
+    return F.transform(F.split(line, r"[|｜]"), lambda c: F.trim(c))
 
 
 def similar_text(a: Column, b: Column, least: int = 12, prefix: int = 40) -> Column:

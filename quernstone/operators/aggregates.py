@@ -43,7 +43,7 @@ def status_of(counts: DataFrame, failed: str = "failed", active: str = "active")
 
 def ordered_distinct(items: Column, most: int) -> Column:
     """The first distinct non-blank strings of an array, in order."""
-    return F.slice(F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != ""))), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))), 1, most)
 
 
 def merge_rows(df: DataFrame, keys: list[str], columns: list[str], rank: Column) -> DataFrame:

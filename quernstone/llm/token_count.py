@@ -19,8 +19,8 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import map_text, spread
 
-#: Words whose counts a task remembers at most; older ones are counted anew.
-REMEMBERED = 1_000_000
+#: Words whose counts a Python worker remembers at most, half of them for certain the ones used last.
+REMEMBERED = 2_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -49,8 +49,10 @@ class PairCounter:
         self._words = regex.compile(pattern).findall
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self._special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        #: counts of words: those used since the last turnover, and those used before it
         self._known: dict[str, int] = {}
-        self._most = remembered
+        self._older: dict[str, int] = {}
+        self._half = remembered // 2
 
     def merges(self, word: bytes) -> int:
         """Merges that a word undergoes."""
@@ -96,14 +98,18 @@ class PairCounter:
 
     def _count(self, text: str) -> int:
         known, words = self._known, self._words(text)
-        new = {*words}.difference(known) if len(words) < 4096 else {*words} - known.keys()
+        new = {*words}.difference(known)  # looks each word up; subtracting a view would walk all that is known
         if new:
-            if len(known) + len(new) > self._most:
-                known.clear()
+            if len(known) + len(new) > self._half:
+                self._older, self._known = known, (known := {})
                 new = {*words}
+            older = self._older
             for w in new:
-                raw = w.encode()
-                known[w] = len(raw) - self.merges(raw)
+                n = older.get(w)
+                if n is None:
+                    raw = w.encode()
+                    n = len(raw) - self.merges(raw)
+                known[w] = n
         return sum(map(known.__getitem__, words))
 
 

@@ -163,3 +163,30 @@ def string_map(json: Column, allowed: list[str] | None = None, most: int = 24, k
 def string_list(json: Column) -> Column:
     """A JSON array of strings; anything else is empty."""
     return F.coalesce(F.from_json(json, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))
+
+
+def findings(payloads: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
+    """Findings of payloads: keys, ``position``, names, side, presence, ``size``, ``classification``, ``measurements``, texts and evidence.
+
+    A finding needs a name (or organ and type) and some text. A size that isn't given is read from the text.
+    """
+    from .numeric import size_of
+
+    items = F.from_json(F.get_json_object(payload, "$.morphologyFindings"), _MAPS, {"mode": "PERMISSIVE"})
+    each = payloads.select(*keys, F.posexplode(items).alias("position", "__m")).filter(F.col("__m").isNotNull())
+    m = F.col("__m")
+    text = lambda k, n: F.nullif(F.substring(F.trim(F.try_element_at(m, F.lit(k))), 1, n), F.lit(""))
+    nested = lambda k, kind: F.from_json(F.coalesce(F.try_element_at(m, F.lit(k)), F.lit("null")), kind, {"mode": "PERMISSIVE"})
+    said = F.coalesce(text("rawText", 3000), text("morphology", 2000))
+    given, read = nested("size", "struct<length:double,width:double,height:double,unit:string>"), size_of(said)
+    size = F.struct(*[F.coalesce(given[c], read[c]).alias(c) for c in ("length", "width", "height", "unit")])
+    measured = F.coalesce(nested("measurements", "array<struct<key:string,value:double,unit:string>>"), F.array().cast("array<struct<key:string,value:double,unit:string>>"))
+    name = F.coalesce(text("findingName", 200), F.nullif(F.concat_ws("", text("organ", 120), text("findingType", 120)), F.lit("")))
+    side, presence = text("laterality", 20), text("presence", 20)
+    out = each.select(
+        *keys, "position", text("sectionName", 200).alias("section_name"), text("organ", 120).alias("organ"), text("region", 120).alias("region"), text("findingType", 120).alias("finding_type"), name.alias("finding_name"),
+        F.when(side.isin("left", "right", "bilateral", "midline"), side).otherwise("unspecified").alias("laterality"), F.when(presence.isin("present", "absent", "uncertain"), presence).otherwise("present").alias("presence"),
+        size.alias("size"), nested("classification", "struct<system:string,value:string,text:string>").alias("classification"),
+        F.slice(F.filter(measured, lambda x: x["key"].isNotNull() & x["value"].isNotNull()), 1, 24).alias("measurements"), text("morphology", 2000).alias("description"), said.alias("raw_text"), evidence_of(m).alias("evidence"),
+    )
+    return out.filter(F.col("finding_name").isNotNull() & (F.col("raw_text").isNotNull() | (F.size("evidence") > 0)))

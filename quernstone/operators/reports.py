@@ -117,3 +117,53 @@ def page_progress(jobs: DataFrame) -> DataFrame:
     """How far each report is, in percent: completed jobs, running extractions by their finished units."""
     part = F.when(F.col("status").isin("completed", "failed", "cancelled"), 1.0).when(F.col("units_total") > 0, F.col("units_done") / F.col("units_total")).otherwise(0.0)
     return jobs.groupBy("report_id").agg(F.floor(100 * F.sum(part) / F.count("*") + 0.5).cast("int").alias("percent"))
+
+
+# Names of report types, which a model may put where data belongs.
+INTERNAL_TOKENS = ("checkup", "laboratory", "imaging", "functional", "pathology", "outpatient", "inpatient", "prescription", "billing", "vaccination", "other", "unknown", "null", "none")
+
+
+def meaningful(text: Column) -> Column:
+    """A text, unless it is blank or one of the engine's own names."""
+    t = blank_to_null(text)
+    return F.when(~F.regexp_replace(F.lower(t), r"[\s_-]", "").isin(*INTERNAL_TOKENS), t)
+
+
+def shown_body_part(report_type: Column, subtype: Column, body_part: Column, department: Column, section: Column, observation: Column, ward: Column) -> Column:
+    """What a report is of, for its card: by its type, from what is known of it."""
+    s = meaningful(subtype)
+    return (
+        F.when(report_type == "checkup", F.coalesce(s, F.lit("综合体检")))
+        .when(report_type == "laboratory", F.coalesce(s, section, observation, F.lit("检验项目")))
+        .when(report_type == "functional", F.coalesce(body_part, s, F.lit("功能检查")))
+        .when(report_type == "pathology", F.coalesce(body_part, s, F.lit("病理标本")))
+        .when(report_type == "outpatient", F.coalesce(department, F.lit("门诊")))
+        .when(report_type == "inpatient", F.coalesce(ward, department, F.lit("住院")))
+        .when(report_type == "prescription", F.lit("用药"))
+        .when(report_type == "billing", F.lit("费用"))
+        .when(report_type == "vaccination", F.coalesce(observation, F.lit("疫苗接种")))
+        .otherwise(s)
+    )
+
+
+def reprocess(reports: DataFrame, jobs: DataFrame, ids: DataFrame, columns: list[str], manual: str = "manual_fields") -> tuple[DataFrame, DataFrame]:
+    """Reports and jobs after some reports (``id``) are to be read again: fields that nobody set by hand are cleared, queued jobs cancelled."""
+    once = ids.select(F.col("id").alias("__r")).distinct()
+    r = reports.join(once, F.col("id") == F.col("__r"), "left")
+    again = F.col("__r").isNotNull()
+    locked = lambda c: F.coalesce(F.array_contains(manual, c), F.lit(False))
+    made = {c: F.when(again & ~locked(c), F.lit(None)).otherwise(F.col(c)) for c in columns} | {"status": F.when(again, "processing").otherwise(F.col("status"))}
+    j = jobs.join(once, F.col("report_id") == F.col("__r"), "left")
+    j = j.withColumn("status", F.when(F.col("__r").isNotNull() & (F.col("status") == "queued"), "cancelled").otherwise(F.col("status"))).drop("__r")
+    return r.select(*[made.get(c, F.col(c)).alias(c) for c in reports.columns]), j
+
+
+def confirm(reports: DataFrame, ids: DataFrame) -> DataFrame:
+    """Reports after some that waited for review were confirmed."""
+    out = reports.join(ids.select(F.col("id").alias("__r")).distinct(), F.col("id") == F.col("__r"), "left")
+    return out.withColumn("status", F.when(F.col("__r").isNotNull() & (F.col("status") == "needs_review"), "ready").otherwise(F.col("status"))).drop("__r")
+
+
+def notifications(rows: DataFrame, user: str, most: int = 100) -> DataFrame:
+    """A user's notices, unread first, then the newest; a list is limited by design."""
+    return rows.filter(F.col("user_id") == user).orderBy(F.col("read_at").isNull().desc(), F.col("created_at").desc(), "id").limit(most)

@@ -99,3 +99,33 @@ def test_trend_with_a_duplicate_upload(spark):
     s = s[0]
     assert (s.point_count, s.latest_value, s.previous_value, s.delta, s.level, s.boundary, s.names) == (2, 6.8, 5.2, 1.6, "abnormal", "upper", ["GLU", "葡萄糖"])
     assert {r.id: r.left_out for r in points.collect()}["o5"] == "uncertain_match"
+
+
+def test_findings_of_payloads(spark):
+    df = payloads(
+        spark,
+        {"morphologyFindings": [
+            {"organ": "肾", "findingType": "囊肿", "rawText": "左肾囊肿 12×8mm", "laterality": "odd", "classification": {"system": "Bosniak", "value": "1"}, "measurements": [{"key": "a", "value": 1.5}, {"key": None}]},
+            {"findingName": "无描述"}, {"rawText": "nothing named"},
+        ]},
+        {"morphologyFindings": "x"},
+    )
+    got = payload.findings(df, ["rid"]).collect()
+    assert len(got) == 1
+    f = got[0]
+    assert (f.finding_name, f.laterality, f.presence, f.size.length, f.size.unit, f.classification.system, [(m.key, m.value) for m in f.measurements]) == ("肾囊肿", "unspecified", "present", 12.0, "mm", "Bosniak", [("a", 1.5)])
+
+
+def test_reading_again_and_confirming(spark):
+    rs = spark.createDataFrame([("a", "needs_review", "t", ["title"]), ("b", "needs_review", "u", []), ("c", "ready", "v", [])], "id string, status string, title string, manual_fields array<string>")
+    jobs = spark.createDataFrame([("j1", "a", "queued"), ("j2", "b", "queued"), ("j3", "c", "queued")], "id string, report_id string, status string")
+    r, j = reports.reprocess(rs, jobs, spark.createDataFrame([("a",), ("b",)], "id string"), ["title"])
+    assert rows(r, "id", "status", "title") == [("a", "processing", "t"), ("b", "processing", None), ("c", "ready", "v")]
+    assert rows(j, "id", "status") == [("j1", "cancelled"), ("j2", "cancelled"), ("j3", "queued")]
+    assert rows(reports.confirm(rs, spark.createDataFrame([("a",), ("c",)], "id string")), "id", "status") == [("a", "ready"), ("b", "needs_review"), ("c", "ready")]
+    v = lambda c: spark.range(1).select(c.alias("v")).first().v
+    none = F.lit(None).cast("string")
+    assert v(reports.meaningful(F.lit("Laboratory"))) is None and v(reports.meaningful(F.lit(" CT "))) == "CT"
+    assert v(reports.shown_body_part(F.lit("laboratory"), F.lit("laboratory"), none, none, F.lit("血常规"), none, none)) == "血常规"
+    n = spark.createDataFrame([("1", "u", "x", "2024-01-03"), ("2", "u", None, "2024-01-01"), ("3", "v", None, "2024-01-02")], "id string, user_id string, read_at string, created_at string")
+    assert [x.id for x in reports.notifications(n, "u").collect()] == ["2", "1"]

@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import map_text, slices, spread
+from .common import map_text, slices, small_batches, spread
 
 #: Characters of a piece that is encoded at once, and of the first window on each side of a seam.
 LEAF, WINDOW = 8192, 64
@@ -165,4 +165,4 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
                 rest = batch.slice(first, len(piece))
                 yield pa.RecordBatch.from_arrays([*[rest.column(i) for i in others], pa.array(made, pa.binary())], names=fields.names)
 
-    return df.mapInArrow(run, fields)
+    return small_batches(df).mapInArrow(run, fields)

@@ -15,6 +15,19 @@ from pyspark.sql.types import StructField, StructType
 STEP_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch between the JVM and Python at most; rows hold whole texts.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keep Arrow batches of texts small, on either side; a smaller setting of the session's stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,7 +82,7 @@ def map_text(df: DataFrame, column: str, fields: StructType, factory, keep: list
     """
     names = set(fields.names)
     passed = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
-    df = df.select(F.col(column).cast("string").alias("__text"), *[F.col(f"`{f.name}`") for f in passed])
+    df = small_batches(df).select(F.col(column).cast("string").alias("__text"), *[F.col(f"`{f.name}`") for f in passed])
     types = [_arrow_type(f) for f in fields.fields]
 
     def run(batches):

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from . import grams
-from .common import map_text, shelter, slices, spread
+from .common import map_text, shelter, slices, small_batches, spread
 
 #: Benchmark windows up to this many are sent to every task (about 200 bytes each); beyond
 #: it, fingerprints are joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
+BROADCAST_WINDOWS = 100_000
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -230,7 +230,7 @@ def _by_join(df: DataFrame, windows: DataFrame, text_col: str, id_col: str, k: i
                 good.append(b" ".join(w.text(i, n)) == known.encode("utf-8", "surrogateescape"))
             yield batch.select(["__id", "i", "n", "items"]).filter(pa.array(good, pa.bool_()))
 
-    docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(df).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["__id"].dataType.simpleString()
     prints = docs.mapInArrow(run, f"__id {kind}, i long, n long, fp long, hash long").distinct()
     met = prints.join(windows, ["fp", "hash", "n"]).join(docs, "__id")

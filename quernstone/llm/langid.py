@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import cut, map_text, spread
+from .common import cut, map_text, small_batches, spread
 
 GRAM = 4  #: bytes
 HASHES = 3
@@ -150,7 +150,7 @@ def count_grams(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                         held, size = {}, 0
         yield from rows(merged())
 
-    return df.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return small_batches(df).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = 0.02, least: int = 2, most_slots: int = MOST_SLOTS) -> Filters:

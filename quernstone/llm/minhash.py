@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import grams
-from .common import cut, map_text, spread
+from .common import cut, map_text, small_batches, spread
 from .components import connected_components
 
 #: 25 bands of 5 minima: two sets of similarity 0.85 miss each other in every band with
@@ -145,7 +145,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 good.append(100 * both >= percent * (len(last[1]) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return joined.mapInArrow(check, pairs.select("u", "v").schema)
+    return small_batches(joined).mapInArrow(check, pairs.select("u", "v").schema)
 
 
 def pack_sketches(dense: np.ndarray) -> list[bytes]:

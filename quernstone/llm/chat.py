@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from .bpe import LEAF, WINDOW, _codec, _ship
-from .common import spread
+from .bpe import LEAF, WINDOW, _codec, _ship, read_ranks
+from .common import small_batches, spread
 
 # The control strings of the template. Their ids follow the vocabulary's.
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[TEXT]", "[/TEXT]")
@@ -49,78 +50,81 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: "".join(_parts(m)), text)
 
 
-def segments(role: str, text: str, first: bool) -> list[tuple[str, bool]]:
+def segments(role: str, text: str) -> list[tuple[str, bool]]:
     """Marks and texts of a turn in order; the flag tells a text. The turn's own text is the last text."""
-    out = [("<s>", False)] if first else []
     if role in TURN:
         a, b = TURN[role]
-        out += [(a, False)] if a else []
-        return [*out, (escape(text), True), (b, False)]
-    return [*out, ("[ROLE]", False), (escape(role), True), ("[TEXT]", False), (escape(text), True), ("[/TEXT]", False)]
+        return [*([(a, False)] if a else []), (escape(text), True), (b, False)]
+    return [("[ROLE]", False), (escape(role), True), ("[TEXT]", False), (escape(text), True), ("[/TEXT]", False)]
 
 
 def format_turns(df: DataFrame, ranks_path: str, pattern: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Format and encode conversations, a row for each turn.
 
-    Returns ``conv_id, turn, pos, ids, n_ids, n_chars, start, loss_start, loss_end, loss_before``:
-    ``pos`` counts a conversation's turns from 0; ``ids`` (packed) are the turn's tokens and ``n_chars`` the length of
-    its formatted string; ``start`` is the conversation's token at which the turn begins, and
+    Returns ``conv_id, turn, pos, ids, n_ids, n_chars, start, loss_start, loss_end``: ``pos`` counts a conversation's
+    turns from 0; ``ids`` (packed) are the turn's tokens and ``n_chars`` the length of its formatted string, both with
+    the opening mark ``<s>`` in the first turn; ``start`` is the conversation's token at which the turn begins, and
     ``loss_start <= token < loss_end`` is under the loss mask: the text of assistant turns only.
 
     Null roles and texts count as empty; an empty or unknown role is written out. Turns are in the order of
     ``turn`` (null first); ties in the order of role and text, so repeated rows are repeated turns. A null
-    conversation id is a conversation. An empty table gives an empty result. The work on texts
-    is done turn by turn; only offsets are summed over a conversation.
+    conversation id is a conversation. An empty table gives an empty result.
+
+    Texts are encoded turn by turn where they are read, whatever conversation they belong to; then one window over
+    a conversation's turns gives positions and prefix sums.
     """
     content = _ship(df, ranks_path)
-    reserved: dict[str, int] = {}
-
     rows = df.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.sha2("text", 256))
-    # Positions come first, from narrow rows: the mark of a conversation's start depends on them.
-    rows = spread(rows).withColumn("pos", F.row_number().over(order) - 1)
-    fields = "conv_id long, turn long, pos int, role string, ids binary, n_ids long, n_chars long, loss_from long, loss_to long"
-    passed = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    fields = fields.replace("conv_id long", f"conv_id {passed['conv_id']}").replace("turn long", f"turn {passed['turn']}")
+    rows = small_batches(spread(rows)).withColumn("sha", F.sha2("text", 256))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    fields = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, sha string, ids binary, n_ids long, n_chars long, loss_from long, loss_to long"
 
     def run(batches):
         codec = _codec(content.value, pattern, LEAF, WINDOW)
-        if not reserved:
-            reserved.update(reserved_ids(codec))
+        reserved = reserved_ids(codec)
         for batch in batches:
             ids, sizes, chars, lo, hi = [], [], [], [], []
-            for role, text, pos in zip(*(batch.column(c).to_pylist() for c in ("role", "text", "pos")), strict=True):
+            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 runs, n, at = [], 0, (0, 0)
-                parts = segments(role, text, pos == 0)
+                parts = segments(role, text)
                 for s, is_text in parts:
-                    run_ = codec.encode(s) if is_text else np.array([reserved[s]], np.uint32)
+                    coded = codec.encode(s) if is_text else np.array([reserved[s]], np.uint32)
                     if is_text:
-                        at = (n, n + len(run_))
-                    runs.append(run_)
-                    n += len(run_)
+                        at = (n, n + len(coded))
+                    runs.append(coded)
+                    n += len(coded)
                 ids.append(np.concatenate(runs).astype("<u4").tobytes())
                 sizes.append(n)
                 chars.append(sum(len(s) for s, _ in parts))
                 lo.append(at[0])
                 hi.append(at[1] if role == "assistant" else at[0])
             made = [pa.array(ids, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, chars, lo, hi)]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("conv_id", "turn", "pos", "role")], *made], names=["conv_id", "turn", "pos", "role", "ids", "n_ids", "n_chars", "loss_from", "loss_to"])
-
-    coded = rows.mapInArrow(run, fields)
-    before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start")
-    out = coded.select("conv_id", "turn", "pos", "ids", "n_ids", "n_chars", start, "loss_from", "loss_to")
-    return out.select(
-        "conv_id", "turn", "pos", "ids", "n_ids", "n_chars", "start",
-        (F.col("start") + F.col("loss_from")).alias("loss_start"), (F.col("start") + F.col("loss_to")).alias("loss_end"),
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("conv_id", "turn", "role", "sha")], *made], names=["conv_id", "turn", "role", "sha", "ids", "n_ids", "n_chars", "loss_from", "loss_to"]
+            )
+
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "sha")
+    coded = rows.mapInArrow(run, fields).withColumn("pos", F.row_number().over(order) - 1)
+    before = F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = (F.col("pos") == 0).cast("long")
+    # The opening mark is the first turn's first token, so later turns begin one further on.
+    coded = coded.withColumn("start", before + 1 - first).withColumn("__from", F.col("start") + first)
+    opening = F.lit(struct.pack("<I", _first_reserved(ranks_path))).cast("binary")
+    return coded.select(
+        "conv_id", "turn", "pos", F.when(first == 1, F.concat(opening, F.col("ids"))).otherwise(F.col("ids")).alias("ids"), (F.col("n_ids") + first).alias("n_ids"),
+        (F.col("n_chars") + first * len(MARKS[0])).alias("n_chars"), "start", (F.col("__from") + F.col("loss_from")).alias("loss_start"), (F.col("__from") + F.col("loss_to")).alias("loss_end"),
     )
 
 
+def _first_reserved(ranks_path: str) -> int:
+    return max(read_ranks(ranks_path).values()) + 1
+
+
 def reserved_ids(codec) -> dict[str, int]:
     """The marks' ids: the first ones that the vocabulary leaves free."""
     return {m: len(codec._bytes) + i for i, m in enumerate(MARKS)}
@@ -186,7 +190,7 @@ def read_back(formatted: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows_kind = to_arrow_type(rows.schema["conv_id"].dataType)
-    return rows.mapInArrow(run, f"conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return small_batches(rows).mapInArrow(run, f"conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _turn(parsed: list[str], texts: list[str]) -> tuple[str, str]:

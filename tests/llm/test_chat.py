@@ -30,7 +30,7 @@ def brute(rows):
         turns.sort(key=lambda x: (x[0], x[1], hashlib.sha256(x[2].encode()).hexdigest()))
         said = "".join(f"{r}\n{t}\n" for _, r, t in turns)
         loss = "".join(t for _, r, t in turns if r == "assistant")
-        full = "<s>" + "".join("".join(s for s, _ in chat.segments(r, t, False)) for _, r, t in turns)
+        full = "<s>" + "".join("".join(s for s, _ in chat.segments(r, t)) for _, r, t in turns)
         out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(full))
     return out
 

@@ -70,10 +70,10 @@ def incomplete_files(pages: DataFrame) -> DataFrame:
 
 def merge_reports(pages: DataFrame, source: str, target: str) -> DataFrame:
     """Pages after the source report was merged into the target: its pages come behind the target's."""
-    last = pages.filter(F.col("report_id") == target).agg(F.coalesce(F.max("page_number"), F.lit(0)).alias("__last"))
+    last = pages.filter(F.col("report_id") == target).agg(F.coalesce(F.max("page_number"), F.lit(0))).first()[0]
     moved = F.col("report_id") == source
-    out = pages.crossJoin(F.broadcast(last))  # one row
-    return out.withColumn("page_number", F.when(moved, F.col("page_number") + F.col("__last")).otherwise(F.col("page_number"))).withColumn("report_id", F.when(moved, target).otherwise(F.col("report_id"))).drop("__last")
+    number = F.when(moved, F.col("page_number") + F.lit(last)).otherwise(F.col("page_number"))
+    return pages.withColumns({"page_number": number, "report_id": F.when(moved, target).otherwise(F.col("report_id"))})
 
 
 def without_pages(pages: DataFrame, removed: DataFrame) -> DataFrame:

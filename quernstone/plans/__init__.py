@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, listings, summaries, trends
+from . import documents, listings, records, summaries, trends
 
-_MODULES = (trends, listings, summaries, documents)
+_MODULES = (trends, listings, summaries, documents, records)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
 

@@ -9,6 +9,7 @@ from quernstone.functions.rules import finish_classification, scores_by_kind
 from quernstone.functions.text import REDACTIONS, redact
 from quernstone.operators.documents import drop_repeated_lines, line_frequency, pack, quality_ladder, text_lines
 from quernstone.operators.duplicates import exact_groups, overlapping_pairs
+from quernstone.sources.tables import spread
 
 from .tables import table
 
@@ -21,7 +22,7 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return text_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def repeated_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), redact(F.coalesce("text", F.lit(""))).alias("clean"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), redact(F.coalesce("text", F.lit(""))).alias("clean"))
     return docs.filter("clean <> text").select("doc_id", F.length("clean").alias("n_chars"), F.sha2("clean", 256).alias("clean_sha256"))
 
 
@@ -70,13 +71,13 @@ SIGNALS = {
 
 def content_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = finish_classification(scores_by_kind(F.coalesce("text", F.lit("")), SIGNALS))
-    rows = table(spark, sf_dir, "documents").select("doc_id", done.alias("c"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", done.alias("c"))
     return rows.select("doc_id", F.array_join("c.kinds", ",").alias("kinds"), F.col("c.confidence").alias("confidence"))
 
 
 def quality_score_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).alias("lines"), F.length(t).alias("chars"), F.length(F.regexp_replace(t, "[^0-9]", "")).alias("digits"),
         F.length(F.regexp_replace(t, "[^A-Za-z0-9]", "")).alias("useful"),
     )
@@ -107,7 +108,7 @@ def html_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     for pattern, mark in ((r"<(script|style)[^>]*>[^<]*</(script|style)>", ""), (r"<!--[^-]*-->", ""), (r"<(p|br|li|h1|div|/p|/li|/h1|/div)[^>]*>", "\n"), (r"<[^>]*>", "")):
         html = F.regexp_replace(html, pattern, mark)
-    lines = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split(html, "\n")).alias("line")).filter("trim(line) <> ''")
+    lines = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.explode(F.split(html, "\n")).alias("line")).filter("trim(line) <> ''")
     return lines.groupBy("page_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 

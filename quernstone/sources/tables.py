@@ -61,3 +61,13 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores over all cores.
+
+    A single small file is one split, and costly expressions on its rows would run on one core. A scan with enough
+    splits, as of any large table, is left alone and never shuffled for this.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

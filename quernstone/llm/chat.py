@@ -42,12 +42,12 @@ def escape(text: str) -> str:
         a, slashes, b = _parts(m)
         return f"{a}\\{slashes}{b}"
 
-    return _PLAIN.sub(more, text)
+    return _PLAIN.sub(more, text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
     """The text that ``escape`` was given."""
-    return _ESCAPED.sub(lambda m: "".join(_parts(m)), text)
+    return _ESCAPED.sub(lambda m: "".join(_parts(m)), text) if "\\" in text else text
 
 
 def segments(role: str, text: str) -> list[tuple[str, bool]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.rules import finish_classification, scores_by_kind
 from quernstone.functions.text import REDACTIONS, redact
 from quernstone.operators.documents import drop_repeated_lines, line_frequency, pack, quality_ladder, text_lines
-from quernstone.operators.duplicates import exact_groups, overlapping_pairs
+from quernstone.operators.duplicates import exact_groups, line_set_pairs, overlapping_pairs
 from quernstone.sources.tables import spread
 
 from .tables import table
@@ -32,6 +32,14 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", "shared", F.round("of_min", 4).alias("of_min"), F.round("of_max", 4).alias("of_max"))
 
 
+def near_duplicates_by_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share most of their lines, however common: pairs of representatives, and the documents with their line sets."""
+    members, pairs = line_set_pairs(_lines(spark, sf_dir).select("doc_id", "line"), "doc_id", "line")
+    low, high = F.least("na", "nb"), F.greatest("na", "nb")
+    out = pairs.select("a", "b", F.lit(False).alias("same"), "shared", F.round(F.col("shared") / low, 4).alias("of_min"), F.round(F.col("shared") / high, 4).alias("of_max"))
+    return out.unionByName(members.select("a", "b", F.lit(True).alias("same"), F.col("n").alias("shared"), F.lit(1.0).alias("of_min"), F.lit(1.0).alias("of_max")))
+
+
 def line_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq = line_frequency(_lines(spark, sf_dir), "doc_id").filter("n_docs >= 2")
     return freq.select("n_docs", F.sha2("key", 256).alias("line"))
@@ -115,7 +123,7 @@ def html_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_duplicates, near_duplicates, line_document_frequency, repeated_line_removal, pii_redaction, identifier_extraction, content_classifier,
+        exact_duplicates, near_duplicates, near_duplicates_by_all_lines, line_document_frequency, repeated_line_removal, pii_redaction, identifier_extraction, content_classifier,
         quality_score_ladder, dictionary_match_argmax, greedy_packing, html_text_lines,
     )
 }
@@ -146,6 +154,16 @@ SQL = {
         select a, b, shared, round(shared / least(s.n, t.n), 4) as of_min, round(shared / greatest(s.n, t.n), 4) as of_max
         from j join s on s.doc_id = a join s t on t.doc_id = b where shared >= 3 and shared / least(s.n, t.n) >= 0.6
     """,
+    "near_duplicates_by_all_lines": f"""
+        with {_LINES}, p as (select distinct doc_id, sha256(line) as k from l where line <> ''),
+        s as (select doc_id, count(*) as n, list_sort(list(k)) as ks from p group by 1),
+        r as (select *, min(doc_id) over (partition by ks) as rep from s),
+        i as (select doc_id, k from p join r using (doc_id) where doc_id = rep),
+        j as (select x.doc_id as a, y.doc_id as b, count(*) as shared from i x join i y on x.k = y.k and x.doc_id < y.doc_id group by 1, 2)
+        select a, b, false as same, shared, round(shared / least(s.n, t.n), 4) as of_min, round(shared / greatest(s.n, t.n), 4) as of_max
+        from j join s on s.doc_id = a join s t on t.doc_id = b where shared >= 3 and shared / least(s.n, t.n) >= 0.6
+        union all select rep, doc_id, true, n, 1.0, 1.0 from r where doc_id <> rep
+    """,
     "line_document_frequency": f"""
         with {_LINES}, k as (select distinct doc_id, {_KEY} as key from l where line <> '')
         select count(*) as n_docs, sha256(key) as line from k group by key having count(*) >= 2

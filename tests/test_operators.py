@@ -1,6 +1,7 @@
 """Operators on small hand-made tables."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -192,6 +193,22 @@ def test_duplicates(spark):
     assert rows(duplicates.overlapping_pairs(items, "d", "i", 20)) == [(1, 2, 4, 1.0, 1.0)]
 
 
+def test_line_set_pairs_without_a_cap(spark):
+    rng = random.Random(3)
+    docs = {d: {f"copy{k}" for k in range(5)} for d in range(25)}  # 25 equal sets
+    docs |= {100 + d: {f"near{k}" for k in range(8)} | {f"own{d}"} for d in range(25)}  # 25 near copies
+    docs |= {200 + d: {f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 9))} | {"everywhere"} for d in range(60)}
+    items = spark.createDataFrame([(d, i) for d, s in docs.items() for i in s] * 2, "d int, i string")
+    members, pairs = duplicates.line_set_pairs(items, "d", "i")
+    rep = {d: min(e for e, t in docs.items() if t == s) for d, s in docs.items()}
+    assert sorted(map(tuple, members.collect())) == sorted((r, d, len(docs[d])) for d, r in rep.items() if d != r)
+    reps = sorted(set(rep.values()))
+    want = [(a, b, len(docs[a] & docs[b]), len(docs[a]), len(docs[b])) for a in reps for b in reps if a < b]
+    want = [w for w in want if w[2] >= 3 and w[2] * 10 >= min(w[3:]) * 6]
+    assert sum(a >= 100 and b < 200 for a, b, *_ in want) == 300 and len(want) > 300
+    assert sorted(map(tuple, pairs.collect())) == want
+
+
 def test_queue(spark):
     t = dt.datetime(2024, 1, 1, 12)
     now = F.lit(t)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from . import grams
-from .common import map_text, shelter, slices, small_batches, spread
+from .common import cut, map_text, shelter, slices, small_batches, spread
 
 #: Benchmark windows up to this many are sent to every task (about 200 bytes each); beyond
 #: it, fingerprints are joined by a shuffle.
@@ -163,12 +163,13 @@ def decontaminate(
     * Repeated items and repeated rows change nothing for other rows.
     * An empty benchmark leaves every document clean; an empty table gives an empty result.
     * Benchmarks of more than ``broadcast_windows`` distinct windows take a shuffled join instead of
-      being sent to every task, with the same result; rows then need distinct values of ``id_col``.
+      being sent to every task, with the same result: rows get keys of their own, so ``id_col`` may
+      repeat or be null and is not read.
     """
     windows = benchmark_windows(benchmark, bench_id, bench_text, k, span)
     sample = windows.limit(broadcast_windows + 1).collect()
     if len(sample) > broadcast_windows:
-        return _by_join(df, windows, text_col, id_col, k, span, keep)
+        return _by_join(df, windows, text_col, k, span, keep)
     known = df.sparkSession.sparkContext.broadcast([tuple(r) for r in sample])
 
     def factory():
@@ -183,11 +184,12 @@ def decontaminate(
     return map_text(spread(df), text_col, _FIELDS, factory, keep)
 
 
-def _by_join(df: DataFrame, windows: DataFrame, text_col: str, id_col: str, k: int, span: int, keep: list[str] | None) -> DataFrame:
+def _by_join(df: DataFrame, windows: DataFrame, text_col: str, k: int, span: int, keep: list[str] | None) -> DataFrame:
     """The same for a benchmark too large to send to every task.
 
     Fingerprints of both sides meet in a shuffle join; matches, with the words around them, are
-    compared with the benchmark's windows, and what is left is summed up for each document.
+    compared with the benchmark's windows, and what is left is summed up for each row. A row's key is
+    a number that a checkpoint fixes; ids of documents may repeat.
     """
     lengths = sorted(r.n for r in windows.select("n").filter(F.col("n") < span).distinct().collect())  # at most span - 1 rows
     wide = span - k + 1
@@ -230,15 +232,17 @@ def _by_join(df: DataFrame, windows: DataFrame, text_col: str, id_col: str, k: i
                 good.append(b" ".join(w.text(i, n)) == known.encode("utf-8", "surrogateescape"))
             yield batch.select(["__id", "i", "n", "items"]).filter(pa.array(good, pa.bool_()))
 
-    docs = small_batches(df).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema["__id"].dataType.simpleString()
-    prints = docs.mapInArrow(run, f"__id {kind}, i long, n long, fp long, hash long").distinct()
+    passed = [c for c in df.columns if c not in _FIELDS.names and (keep is None or c in keep)]
+    text = [] if text_col in passed else [F.col(f"`{text_col}`").alias("__text")]
+    rows = cut(small_batches(df).select(F.monotonically_increasing_id().alias("__id"), *[F.col(f"`{c}`") for c in passed], *text))
+    docs = rows.select("__id", F.col("__text" if text else f"`{text_col}`").cast("string").alias("text"))
+    prints = docs.mapInArrow(run, "__id long, i long, n long, fp long, hash long").distinct()
     met = prints.join(windows, ["fp", "hash", "n"]).join(docs, "__id")
-    met = met.select("__id", "text", "i", "n", "words", "items").mapInArrow(same, f"__id {kind}, i long, n long, items array<string>")
+    met = met.select("__id", "text", "i", "n", "words", "items").mapInArrow(same, "__id long, i long, n long, items array<string>")
     spot = F.explode(F.sequence("i", F.col("i") + F.col("n") - 1))
     hit = met.select("__id", spot.alias("at")).distinct().groupBy("__id").agg(F.count("*").alias("n_hit"))
     names = met.select("__id", F.explode("items").alias("item")).distinct().groupBy("__id").agg(F.array_sort(F.collect_list("item")).alias("names"))
-    out = docs.mapInArrow(words_of, f"__id {kind}, n_words long").join(hit, "__id", "left").join(names, "__id", "left")
+    out = docs.mapInArrow(words_of, "__id long, n_words long").join(hit, "__id", "left").join(names, "__id", "left")
     out = out.select(
         "__id",
         "n_words",
@@ -246,9 +250,7 @@ def _by_join(df: DataFrame, windows: DataFrame, text_col: str, id_col: str, k: i
         F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
     ).withColumn("n_items", F.greatest("n_items", F.lit(0))).withColumn("contaminated", F.col("n_hit") > 0)
-    passed = [c for c in df.columns if c not in _FIELDS.names and (keep is None or c in keep)]
-    kept = df.select(F.col(id_col).alias("__key"), *[F.col(f"`{c}`") for c in passed])
-    return kept.join(out, F.col("__key").eqNullSafe(F.col("__id"))).select(*[f"`{c}`" for c in passed], *_FIELDS.names)
+    return rows.join(out, "__id").select(*[f"`{c}`" for c in passed], *_FIELDS.names)
 
 
 def _pieces(batch: pa.RecordBatch):

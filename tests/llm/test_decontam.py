@@ -72,6 +72,22 @@ def test_broadcast_and_join_equal_brute_force(spark):
     assert run(spark, docs, items, broadcast_windows=5) == want
 
 
+def test_repeated_and_null_ids(spark):
+    docs, items = case()
+    texts = [t for _, t in docs[:40]] + [None, "", "only four", "ONLY, four words; here", "only four words here"]
+    same = [(i % 3 or None, t) for i, t in enumerate(texts)] * 2  # ids: null, 1, 2
+    one = brute(enumerate(texts), items)
+    want = sorted(((d, t, *one[i]) for i, (d, t) in enumerate(same[: len(texts)])), key=repr) * 2
+    df, bench = spark.createDataFrame(same, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontam.BROADCAST_WINDOWS, 5):
+        got = decontam.decontaminate(df, bench, broadcast_windows=most).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+        kept = decontam.drop_contaminated(df, bench, broadcast_windows=most).collect()
+        assert sorted(map(tuple, kept), key=repr) == sorted((w[:2] for w in want if not w[-1]), key=repr)
+    bare = decontam.decontaminate(df, bench, keep=["doc_id"], broadcast_windows=5)
+    assert sorted(map(tuple, bare.collect()), key=repr) == sorted(((w[0], *w[2:]) for w in want), key=repr)
+
+
 def test_empty_benchmark_and_empty_table(spark):
     docs, items = case()
     assert not any(v[4] for v in run(spark, docs, []).values())

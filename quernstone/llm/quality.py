@@ -100,7 +100,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     Ids are chosen from the labels alone, so the texts are filtered by a broadcast of ``2 * rows`` ids and never
     shuffled. Null texts are left out; whole texts are used, and a class stops before the text that would
-    take it over half of ``most_bytes``. Two of three texts make the dictionaries, the third calibrates;
+    take it over half of ``most_bytes``. Texts over a 64th of ``most_bytes`` come last, the shortest first, so
+    they keep no shorter one out; where all texts of a class are over its half, the start of the shortest is used. Two of three texts make the dictionaries, the third calibrates;
     calibration weighs the classes by their counts over all labels. With one class only, or none,
     every text scores that class's (or an even) rate.
     """
@@ -109,9 +110,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     some = [known.filter(F.col("y") == y).orderBy("h", "o").limit(rows) for y in (0, 1)]
     chosen = df.select(F.col(id_col).alias("o"), F.col(text_col).alias("t")).join(F.broadcast(some[0].unionByName(some[1])), "o").filter("t is not null")
-    size = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy("h", "o", "t"))
+    n, most = F.octet_length("t"), most_bytes // 2
+    order = [F.when(n > most_bytes // 64, n).otherwise(0), "h", "o", "t"]
+    by_class = Window.partitionBy("y").orderBy(*order)
+    chosen = chosen.withColumn("size", F.sum(n).over(by_class)).withColumn("at", F.row_number().over(by_class)).filter((F.col("size") <= most) | (F.col("at") == 1))
+    whole = F.when(n <= most, F.col("t")).otherwise(F.substring("t", 1, most // 4))  # a character has up to 4 bytes
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in chosen.withColumn("size", size).filter(F.col("size") <= most_bytes // 2).orderBy("y", "h", "o", "t").select("y", "t").collect():
+    for r in chosen.orderBy("y", "at").select("y", whole.alias("t")).collect():
         texts[r.y].append(r.t.encode())
     if not texts[0] or not texts[1]:
         rate = 0.0 if not texts[0] and not texts[1] else 6.0 if texts[1] else -6.0

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import langid, quality
 
@@ -103,6 +104,24 @@ def test_quality_sample_is_bounded_and_repeatable(spark):
     assert a.good == b.good and a.bad == b.bad and np.allclose(a.weights, b.weights)
 
 
+def test_quality_with_a_long_text_first(spark):
+    rows, labels = labelled(4, 200)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    first = {y: lab.filter(F.col("quality") == y).orderBy(F.xxhash64("doc_id")).first().doc_id for y in (0, 1)}
+    fresh, truth = labelled(5, 100)
+    fresh = spark.createDataFrame(fresh, "doc_id long, text string")
+    label = dict(labels)
+    for y in (0, 1):
+        one = [(i, t * 400 if i == first[y] else t) for i, t in rows]
+        every = [(i, t * 400 if label[i] == y else t) for i, t in rows]
+        for docs in (one, every):
+            model = quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), lab, most_bytes=80_000)
+            out = {r.doc_id: r.predicted for r in quality.score(fresh, model).collect()}
+            assert set(out.values()) == {0, 1}
+            if docs is one:
+                assert sum(out[i] == v for i, v in truth) >= 90
+
+
 def test_quality_with_one_class_or_none(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     for labels, low, high in (([], 0.5, 0.5), ([(1, 1)], 0.9, 1.0), ([(1, 0)], 0.0, 0.1)):

@@ -15,6 +15,8 @@ from .tables import table
 
 #: Documents that share a line at most before it is boilerplate.
 MOST = 20
+#: Lines of a page where whole texts are cut into pages.
+PAGE = 40
 
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +55,15 @@ def repeated_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
+def repeated_line_removal_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents, each text cut into pages of ``PAGE`` lines."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line")).filter("trim(line) <> ''")
+    lines = each.select("doc_id", F.floor(F.col("at") / PAGE).alias("page"), (F.col("at") % PAGE).alias("line_no"), "line")
+    kept = drop_repeated_lines(lines, "doc_id", "page", "line_no")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
 def pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), redact(F.coalesce("text", F.lit(""))).alias("clean"))
     return docs.filter("clean <> text").select("doc_id", F.length("clean").alias("n_chars"), F.sha2("clean", 256).alias("clean_sha256"))
@@ -123,7 +134,7 @@ def html_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_duplicates, near_duplicates, near_duplicates_by_all_lines, line_document_frequency, repeated_line_removal, pii_redaction, identifier_extraction, content_classifier,
+        exact_duplicates, near_duplicates, near_duplicates_by_all_lines, line_document_frequency, repeated_line_removal, repeated_line_removal_in_documents, pii_redaction, identifier_extraction, content_classifier,
         quality_score_ladder, dictionary_match_argmax, greedy_packing, html_text_lines,
     )
 }
@@ -179,6 +190,18 @@ SQL = {
         select conv_id, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars
         from e left join r using (conv_id, fp) where not (first is not null and edge and (turn, line_no) <> first) group by 1
     """,
+    "repeated_line_removal_in_documents": f"""
+        with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+        u as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos from s),
+        l as (select doc_id, pos // {PAGE} as page, pos % {PAGE} as line_no, line from u),
+        f as (select *, {_KEY} as fp from l where trim(line) <> ''),
+        e as (select *, line_no < 4 or line_no > max(line_no) over (partition by doc_id, page) - 4 as edge from f),
+        t as (select doc_id, count(distinct page) as pages from f group by 1),
+        o as (select doc_id, fp, count(distinct page) as n, min((page, line_no)) as first from e where edge group by 1, 2),
+        r as (select doc_id, fp, first from o join t using (doc_id) where n >= greatest(3, ceil(pages * 0.2)))
+        select doc_id, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars
+        from e left join r using (doc_id, fp) where not (first is not null and edge and (page, line_no) <> first) group by 1
+    """,
     "pii_redaction": f"""
         with d as (select doc_id, coalesce(text, '') as text from documents), c as (select doc_id, text, {_redacted("text")} as clean from d)
         select doc_id, length(clean) as n_chars, sha256(clean) as clean_sha256 from c where clean <> text

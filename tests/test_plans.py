@@ -50,3 +50,16 @@ def test_query_matches_sql(spark, duck, name):
     columns = [c[0] for c in expected.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows(got.columns, got.collect()) == rows(columns, expected.fetchall())
+
+
+def test_repeated_lines_of_documents_are_removed(spark):
+    name, data = "repeated_line_removal_in_documents", DATA.parent / "sf0.01"  # the smallest tables have none
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    all_lines = con.execute("select count(*) from (select unnest(string_split(coalesce(text, ''), chr(10))) as line from documents) where trim(line) <> ''").fetchone()[0]
+    got = QUERIES[name](spark, str(data))
+    expected = con.execute(SQL[name])
+    columns = [c[0] for c in expected.description]
+    found = got.collect()
+    assert rows(got.columns, found) == rows(columns, expected.fetchall())
+    assert sum(r.n_lines for r in found) < all_lines

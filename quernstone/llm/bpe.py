@@ -21,10 +21,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import map_text, slices, small_batches, spread
+from .common import map_text, slices
 
-#: Characters of a piece that is encoded at once, and of the first window on each side of a seam.
-LEAF, WINDOW = 8192, 64
+#: Characters of a piece that is encoded at once (ids of one that is decoded at once), and of the first window on
+#: each side of a seam.
+LEAF, WINDOW = 512, 32
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,8 +89,11 @@ class TreeCodec:
         return runs[0] if len(runs) == 1 else np.concatenate(runs)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids. Concatenation needs no care at the seams, so the tree is flat."""
-        return b"".join(map(self._bytes.__getitem__, ids.tolist()))
+        """The bytes of ids: halves are decoded recursively and concatenated up the tree; seams need no care."""
+        if len(ids) <= self._leaf:
+            return b"".join(map(self._bytes.__getitem__, ids.tolist()))
+        cut = len(ids) // 2
+        return self.decode(ids[:cut]) + self.decode(ids[cut:])
 
 
 def _plain(space: str, before: str) -> bool:
@@ -133,26 +137,44 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
     Ordinary text only: strings of special tokens are encoded as text. A null or empty text
     has no ids. Input columns named ``ids`` or ``n_tokens`` are replaced; repeated rows are
-    encoded alike, and an empty table gives an empty result. Long texts are handled by pieces
-    of ``leaf`` characters.
+    encoded alike, and an empty table gives an empty result. Texts are handled by pieces
+    of ``leaf`` characters, joined by windows that start with ``window`` on each side of a seam.
     """
-    content = _ship(df, ranks_path)
+    return map_text(df, text_col, _IDS, _encoder(_ship(df, ranks_path), pattern, leaf, window), keep)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, leaf: int = LEAF, window: int = WINDOW) -> DataFrame:
+    """Add ``ids`` and ``n_tokens`` as ``encode`` does, and ``decoded``, the bytes that the ids stand for.
+
+    The same as ``decode`` after ``encode``, in one step of Python: a text and its ids pass between the JVM and Python
+    once. Cases are those of the two.
+    """
+    fields = StructType([*_IDS.fields, StructField("decoded", BinaryType())])
+    return map_text(df, text_col, fields, _encoder(_ship(df, ranks_path), pattern, leaf, window, decoded=True), keep)
 
+
+_IDS = StructType([StructField("ids", BinaryType()), StructField("n_tokens", LongType())])
+
+
+def _encoder(content, pattern: str, leaf: int, window: int, decoded: bool = False):
     def factory():
         codec = _codec(content.value, pattern, leaf, window)
 
         def work(column: pa.Array) -> list[pa.Array]:
             made = [codec.encode(t or "") for t in column.to_pylist()]
-            return [pa.array([m.astype("<u4").tobytes() for m in made], pa.binary()), pa.array([len(m) for m in made], pa.int64())]
+            out = [pa.array([m.astype("<u4").tobytes() for m in made], pa.binary()), pa.array([len(m) for m in made], pa.int64())]
+            return [*out, pa.array(map(codec.decode, made), pa.binary())] if decoded else out
 
         return work
 
-    fields = StructType([StructField("ids", BinaryType()), StructField("n_tokens", LongType())])
-    return map_text(spread(df), text_col, fields, factory, keep)
+    return factory
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Add the bytes that packed ids stand for; null ids give no bytes. Unknown ids are an error."""
+    """Add the bytes that packed ids stand for; null ids give no bytes. Unknown ids are an error.
+
+    An input column named ``out_col`` is replaced; repeated rows are decoded alike, and an empty table gives an empty result.
+    """
     content = _ship(df, ranks_path)
     fields = StructType([*[f for f in df.schema.fields if f.name != out_col], StructField(out_col, BinaryType())])
     at, others = df.columns.index(ids_col), [i for i, c in enumerate(df.columns) if c != out_col]
@@ -165,4 +187,4 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
                 rest = batch.slice(first, len(piece))
                 yield pa.RecordBatch.from_arrays([*[rest.column(i) for i in others], pa.array(made, pa.binary())], names=fields.names)
 
-    return small_batches(df).mapInArrow(run, fields)
+    return df.mapInArrow(run, fields)

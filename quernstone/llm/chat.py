@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import LEAF, WINDOW, _codec, _ship, read_ranks
-from .common import small_batches, spread
+from .common import slices
 
 # The control strings of the template. Their ids follow the vocabulary's.
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[TEXT]", "[/TEXT]")
@@ -80,14 +80,14 @@ def format_turns(df: DataFrame, ranks_path: str, pattern: str, conv_col: str = "
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    rows = small_batches(spread(rows)).withColumn("sha", F.sha2("text", 256))
+    rows = rows.withColumn("sha", F.sha2("text", 256))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     fields = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, sha string, ids binary, n_ids long, n_chars long, loss_from long, loss_to long"
 
     def run(batches):
         codec = _codec(content.value, pattern, LEAF, WINDOW)
         reserved = reserved_ids(codec)
-        for batch in batches:
+        for batch in (b.slice(first, len(piece)) for b in batches for first, piece in slices(b.column("text"))):
             ids, sizes, chars, lo, hi = [], [], [], [], []
             for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 runs, n, at = [], 0, (0, 0)
@@ -153,7 +153,7 @@ def read_back(formatted: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         def ended():
             return [now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
 
-        for batch in batches:
+        for batch in (b.slice(first, len(piece)) for b in batches for first, piece in slices(b.column("ids"))):
             done = []
             for key, ids, start, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "start", "loss_start", "loss_end")), strict=True):
                 if not open_ or key != now:
@@ -190,7 +190,7 @@ def read_back(formatted: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows_kind = to_arrow_type(rows.schema["conv_id"].dataType)
-    return small_batches(rows).mapInArrow(run, f"conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(run, f"conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _turn(parsed: list[str], texts: list[str]) -> tuple[str, str]:

@@ -3,29 +3,17 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructType
 
-#: Text bytes that one step of a batch handles at once; bounds the memory of a Python worker.
-STEP_BYTES = 2 << 20
-
-
-#: Rows of an Arrow batch between the JVM and Python at most; rows hold whole texts.
-BATCH_ROWS = 1000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """Keep Arrow batches of texts small, on either side; a smaller setting of the session's stays."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
-        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
-    return df
+#: Text bytes that one step of a batch handles at once; bounds the memory of a Python worker. Batches themselves are
+#: bounded by Spark (``spark.sql.execution.arrow.maxBytesPerBatch``).
+STEP_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,26 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that is an error, as executors could not
+    read each other's files.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quernstone-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is made.
+    Spark removes a checkpoint when nothing refers to it any more, if ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quernstone-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with fewer splits than cores over all cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores over all cores.
 
-    A single small file is one split; inputs with enough splits are left alone, so
-    large tables are never shuffled for this.
+    A single small file is one split; scans with enough splits are left alone, so large tables are never shuffled for
+    this. Only for scans: counting the splits of anything else would run its shuffles.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
 
 
 def is_held_out(doc_id: str | Column) -> Column:
@@ -72,39 +75,34 @@ def slices(column: pa.Array, most: int = STEP_BYTES):
         yield start, column.slice(start)
 
 
-def map_text(df: DataFrame, column: str, fields: StructType, factory, keep: list[str] | None = None) -> DataFrame:
+def map_text(df: DataFrame, column: str, fields: StructType, factory, keep: list[str] | None = None, only: str | None = None) -> DataFrame:
     """Add result columns computed from a text column, one Arrow batch at a time.
 
     ``factory()`` is called once in each task and gives a function from an Arrow string
     array to a list of Arrow arrays, one for each field. ``keep`` names the input columns
     that are passed on (default: all). An input column with the name of a result column
-    is replaced by the result. Rows keep their partition; nothing is shuffled.
+    is replaced by the result. With ``only``, the name of a boolean result, the rows for which
+    it is true are passed on as they were, without the results. Each text goes to Python once.
+    Rows keep their partition; nothing is shuffled.
     """
-    names = set(fields.names)
-    passed = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
-    df = small_batches(df).select(F.col(column).cast("string").alias("__text"), *[F.col(f"`{f.name}`") for f in passed])
-    types = [_arrow_type(f) for f in fields.fields]
+    gone = set() if only else set(fields.names)
+    passed = [f for f in df.schema.fields if f.name not in gone and (keep is None or f.name in keep)]
+    sent = [F.col(f"`{f.name}`") for f in passed]
+    at = next((i for i, f in enumerate(passed) if f.name == column and isinstance(f.dataType, StringType)), len(passed))
+    if at == len(passed):
+        sent.append(F.col(f"`{column}`").cast("string").alias("__text"))
+    types = [to_arrow_type(f.dataType) for f in fields.fields]
+    n, names, flag = len(passed), [f.name for f in passed], only and fields.names.index(only)
 
     def run(batches):
         work = factory()
         for batch in batches:
-            for at, piece in slices(batch.column(0)):
-                made = [m.cast(t) for m, t in zip(work(piece), types, strict=True)]
-                rest = batch.slice(at, len(piece))
-                yield pa.RecordBatch.from_arrays([*rest.columns[1:], *made], names=[*batch.schema.names[1:], *fields.names])
-
-    return df.mapInArrow(run, StructType([*passed, *fields.fields]))
-
-
-def shelter(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Rename columns that clash with ``names``; the function returned gives back just the columns of ``df``."""
-    other = {c: f"__own_{c}" if c in names else c for c in df.columns}
-    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in other.items()]), lambda out: out.select(
-        *[F.col(f"`{n}`").alias(c) for c, n in other.items()]
-    )
-
-
-def _arrow_type(field: StructField) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(field.dataType)
+            for first, piece in slices(batch.column(at)):
+                made, rest = work(piece), batch.slice(first, len(piece)).columns[:n]
+                if only:
+                    yield pa.RecordBatch.from_arrays(rest, names=names).filter(made[flag])
+                else:
+                    made = [m.cast(t) for m, t in zip(made, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*rest, *made], names=[*names, *fields.names])
+
+    return df.select(*sent).mapInArrow(run, StructType(passed if only else [*passed, *fields.fields]))

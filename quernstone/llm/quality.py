@@ -1,9 +1,9 @@
 """A quality classifier that compresses.
 
 Two zstandard dictionaries are made from labelled texts, one from good and one from bad
-ones. A text is compressed with either; the difference of the sizes, normalised by their
-sum, is calibrated to a probability by logistic regression on labelled texts that the
-dictionaries have not seen.
+ones. A text is compressed with either; the difference of the sizes, normalised by the
+text's own, is calibrated to a probability by logistic regression on labelled texts that the
+dictionaries have not seen. Nothing else enters a score.
 """
 
 from __future__ import annotations
@@ -15,20 +15,20 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import map_text, spread
+from .common import map_text
 
 #: Labelled rows of each class that the fit uses at most, and the bytes of all of them together.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
-DICTIONARY_BYTES = 112 << 10
-LEVEL = 3
+#: Bytes of labelled text in a dictionary, and the level at which texts are compressed.
+DICTIONARY_BYTES, LEVEL = 1 << 20, 6
 
 
 @dataclass
 class Model:
-    """Dictionaries and the calibration's weights."""
+    """Dictionaries and the calibration: intercept and slope."""
 
     good: bytes
     bad: bytes
@@ -41,21 +41,24 @@ class Model:
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     if not dictionary:
         return zstandard.ZstdCompressor(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
+    content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=content)
 
 
 def make_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary; where there is too little text to train on, the text itself."""
-    try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b"\n".join(samples)[-size:]
+    """A zstandard dictionary of raw content: whole texts up to ``size``; where the first is longer, its end."""
+    held, used = [], 0
+    for t in samples:
+        if used + len(t) <= size:
+            held.append(t)
+            used += len(t)
+    return b"\n".join(held or samples[:1])[-size:]
 
 
-def features(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """One, the normalised difference of the sizes, and the share of the text that stays."""
-    g, b = len(good.compress(text)), len(bad.compress(text))
-    return 1.0, 20.0 * (b - g) / (b + g), (b + g) / (2.0 * len(text) + 64)
+def difference(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
+    """How much smaller the good dictionary makes a text than the bad one, as a share of the text."""
+    return (len(bad.compress(text)) - len(good.compress(text))) / (len(text) + 64)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -89,12 +92,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return out
 
 
-def expand(f: np.ndarray) -> np.ndarray:
-    """The calibration's terms: difference, kept share, and their squares and product."""
-    d, r = np.clip(f[:, 1], -4, 4), np.clip(f[:, 2], 0, 1.5)
-    return np.stack([f[:, 0], d, r, d * d, r * r, d * r], axis=1)
-
-
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit to the texts of at most ``rows`` labelled ids of each class, chosen by a hash of the id.
 
@@ -120,19 +117,23 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         texts[r.y].append(r.t.encode())
     if not texts[0] or not texts[1]:
         rate = 0.0 if not texts[0] and not texts[1] else 6.0 if texts[1] else -6.0
-        return Model(b"", b"", np.array([rate, 0, 0, 0, 0, 0]))
+        return Model(b"", b"", np.array([rate, 0]))
     good, bad = (make_dictionary([t for i, t in enumerate(texts[y]) if i % 3] or texts[y]) for y in (1, 0))
-    model = Model(good, bad, np.zeros(6))
+    model = Model(good, bad, np.zeros(2))
     pair = model.compressors()
     unseen = [(t, y) for y in (0, 1) for i, t in enumerate(texts[y]) if i % 3 == 0]
     y = np.array([v for _, v in unseen], float)
-    x = expand(np.array([features(t, *pair) for t, _ in unseen]))
+    x = _columns([difference(t, *pair) for t, _ in unseen])
     share = {v: count[v] / sum(count.values()) / (y == v).mean() for v in (0, 1)}
     model.weights = _logistic(x, y, np.where(y == 1, share[1], share[0]))
     return model
 
 
-_FIELDS = StructType([StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+def _columns(d: list[float]) -> np.ndarray:
+    return np.stack([np.ones(len(d)), np.array(d, float)], axis=1)
+
+
+_FIELDS = StructType([StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("good", BooleanType())])
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -141,6 +142,18 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
     A null text counts as empty and is scored like any text; whole texts are compressed, however
     long. Input columns with the result's names are replaced; an empty table gives an empty result.
     """
+    return map_text(df, text_col, StructType(_FIELDS.fields[:2]), _scorer(df, model, threshold, 2), keep)
+
+
+def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose score is ``threshold`` or more, with all their columns as they were, whatever their names.
+
+    Cases are those of ``score``: a null text counts as empty, repeated rows stay or go together.
+    """
+    return map_text(df, text_col, _FIELDS, _scorer(df, model, threshold, 3), only="good")
+
+
+def _scorer(df: DataFrame, model: Model, threshold: float, n: int):
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def factory():
@@ -148,10 +161,10 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
         pair = model.compressors()
 
         def work(column: pa.Array) -> list[pa.Array]:
-            x = expand(np.array([features(t or b"", *pair) for t in column.cast(pa.binary()).to_pylist()]))
+            x = _columns([difference(t or b"", *pair) for t in column.cast(pa.binary()).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
-            return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
+            return [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(p >= threshold)][:n]
 
         return work
 
-    return map_text(spread(df), text_col, _FIELDS, factory, keep)
+    return factory

@@ -17,10 +17,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import map_text, spread
+from .common import map_text
 
-#: Words whose counts a Python worker remembers at most, half of them for certain the ones used last.
-REMEMBERED = 2_000_000
+#: Words whose counts a Python worker remembers at most, half of them for certain the ones used last, and characters of
+#: the longest of them.
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -103,13 +104,15 @@ class PairCounter:
             if len(known) + len(new) > self._half:
                 self._older, self._known = known, (known := {})
                 new = {*words}
-            older = self._older
+            older, long = self._older, {}
             for w in new:
                 n = older.get(w)
                 if n is None:
                     raw = w.encode()
                     n = len(raw) - self.merges(raw)
-                known[w] = n
+                (known if len(w) <= LONGEST else long)[w] = n
+            if long:
+                return sum(known[w] if w in known else long[w] for w in words)
         return sum(map(known.__getitem__, words))
 
 
@@ -143,4 +146,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text_col: str
 
         return work
 
-    return map_text(spread(df), text_col, _FIELDS, factory, keep)
+    return map_text(df, text_col, _FIELDS, factory, keep)

@@ -1,9 +1,12 @@
 """Language identification and quality: held-out accuracy, odd inputs, and what is learnt."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quernstone.llm import langid, quality
@@ -60,7 +63,8 @@ def test_nothing_to_learn_from(spark):
 def test_filters_answer_for_every_known_gram(filters):
     code, _ = langid.text_grams([b"then ein"])
     slots = langid.slots_of(code, filters.bits)
-    mask = filters.masks[slots[0]] & filters.masks[slots[1]] & filters.masks[slots[2]]
+    (masks,) = filters.masks
+    mask = masks[slots[0]] & masks[slots[1]] & masks[slots[2]]
     assert (mask != 0).any()
     assert (filters.by_chance() < 0.5).all()
 
@@ -73,6 +77,63 @@ def test_grams_stay_inside_texts():
     assert sorted(code[owner == 3].tolist()) == sorted(two.tolist())
 
 
+def grams_of(text):
+    low = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").encode().lower())
+    low = b" " + low + b"  "
+    return [low[i : i + 4] for i in range(len(low) - 3) if low[i : i + 4].strip() and low[i + 1 : i + 3] != b"  "]
+
+
+def by_sets(rows, texts, share=0.02, least=2):
+    """The decision with sets in place of filters."""
+    counts = {}
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams_of(t))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    top = Counter()
+    for lang, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[lang])
+    known = {lang: {g for g, n in c.items() if n >= least and n / total[lang] >= share * top[g]} for lang, c in counts.items()}
+    out = []
+    for t in texts:
+        votes = sorted(((sum(g in known[lang] for g in grams_of(t)), lang) for lang in sorted(known)), key=lambda x: -x[0])
+        out.append(votes)
+    return out
+
+
+def test_decisions_are_those_of_sets(spark, filters):
+    rows = [*corpus(1, 300), (900, None, "aa"), (901, "th er on", None)]
+    texts = [t for _, t, _ in corpus(8, 150)] + ["th ein", "eau ung er", "x th"]
+    want = by_sets(rows, texts)
+    got = filters.decide(texts)
+    for votes, lang, score in zip(want, *got, strict=True):
+        if votes[0][0] - votes[1][0] > 2:  # false positives may turn a tie
+            assert lang == votes[0][1]
+        assert abs(score - votes[0][0] / max(1, votes[0][0] + votes[1][0])) < 0.15
+    assert len(set(got[0])) == 3
+    small = langid.train(spark.createDataFrame(rows, SCHEMA), most_slots=1 << 8)  # far too full: by_chance is taken off
+    assert (small.by_chance() > 0.3).any()
+    assert np.mean([a == v[0][1] for a, v in zip(small.decide(texts[:150])[0], want[:150], strict=True)]) > 0.9
+
+
+def test_long_texts_in_parts():
+    rng = random.Random(3)
+    texts = [speech(rng, lang, n).encode() for lang, n in (("aa", 5), ("bb", 900), ("cc", 1), ("aa", 300))] + [None, b"", b"   "]
+    want = sorted(zip(*(x.tolist() for x in langid.text_grams(texts)), strict=True))
+    got = sorted(g for code, owner in langid.gram_runs(texts, 100) for g in zip(code.tolist(), owner.tolist(), strict=True))
+    assert got == want
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(4)
+    words = {f"l{i:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(130)}
+    say = lambda lang: " ".join(rng.choices(words[lang], k=20))
+    many = langid.train(spark.createDataFrame([(i, say(lang), lang) for i, lang in enumerate(list(words) * 4)], SCHEMA))
+    assert len(many.langs) == 130 and len(many.masks) == 3
+    assert np.mean([a == b for a, b in zip(many.decide([say(x) for x in words])[0], words, strict=True)]) > 0.97
+
+
 def labelled(seed, n):
     rng = random.Random(seed)
     rows, labels = [], []
@@ -130,11 +191,36 @@ def test_quality_with_one_class_or_none(spark):
 
 
 def test_logistic_regression_settles_on_separable_classes():
-    """Classes that a square separates wholly, and far apart scales: weights stay finite and right."""
-    rng = np.random.default_rng(1)
-    d, r = rng.normal(0, 1, 400), rng.uniform(0, 1, 400)
-    y = (d + 3 * (r - 0.5) > 0).astype(float)
-    x = quality.expand(np.stack([np.ones(400), 3 * d, r], axis=1))
-    w = quality._logistic(x, y, np.where(y == 1, 1.8, 0.2))
-    assert np.isfinite(w).all() and np.abs(w).max() < 1e4
+    """Classes that are wholly apart: weights stay finite and right."""
+    d = np.random.default_rng(1).normal(0, 0.05, 400)
+    y = (d > 0.01).astype(float)
+    x = quality._columns(d)
+    w = quality._logistic(x, y, np.ones(400))
+    assert np.isfinite(w).all() and np.abs(w).max() < 1e5
     assert ((x @ w > 0) == (y == 1)).mean() > 0.95
+
+
+def test_scores_are_those_of_the_compressed_sizes(spark):
+    """Scores computed directly: two dictionaries, sizes, one intercept and slope."""
+    rows, labels = labelled(6, 150)
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    label, text = dict(labels), dict(rows)
+    for y, made in ((1, model.good), (0, model.bad)):
+        assert all(any(t.encode() in made for i, t in rows if label[i] == y) for y in (y,)) and not any(t.encode() in made for i, t in rows if label[i] != y and t)
+    odd = [(900, None), (901, ""), (902, text[0] * 50), (0, text[0])]
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame([*rows[1:], *odd], "doc_id long, text string"), model).collect()}
+    size = lambda t, d: len(zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(t))
+    for i, t in [*rows[1:], *odd]:
+        t = (t or "").encode()
+        d = (size(t, model.bad) - size(t, model.good)) / (len(t) + 64)
+        assert abs(got[i] - 1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * d)))) < 1e-9
+    assert len(model.weights) == 2
+
+
+def test_keep_good_keeps_rows_as_they_were(spark):
+    rows, labels = labelled(7, 150)
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    df = spark.createDataFrame([(i, t, "s", 3, {"a": 1}) for i, t in [*rows, *rows[:3], (None, None)]], "doc_id long, text string, score string, good int, predicted map<string,int>")
+    out, want = quality.keep_good(df, model), [r.doc_id for r in quality.score(df.select("doc_id", "text"), model).filter("predicted = 1").collect()]
+    assert out.columns == df.columns and out.schema == df.schema
+    assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in out.collect()) and {(r.score, r.good) for r in out.collect()} == {("s", 3)}

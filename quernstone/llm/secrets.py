@@ -1,8 +1,9 @@
 """Secret scanning with ownership frequency.
 
 Candidates come from three patterns. Each candidate's hash is counted over the corpus by
-distinct repositories and owners: what many owners share is an example copied from
-documentation, what one owner alone has and looks random is likely live.
+distinct repositories and owners: what many owners share, or what is in many repositories,
+is an example copied from documentation; what one owner alone has, in few repositories,
+and looks random is likely live.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from .common import cut, map_text, spread
+from .common import cut, map_text
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: In the order in which spans with the same start are listed.
-KINDS = ("assign", "access", "hex", "live", "example")
+KINDS = ("assign", "access", "hex", "live", "shared", "example")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int, int]]:
@@ -130,14 +131,20 @@ def scan(
     repo_col: str | None = None,
     owner_col: str = "source",
     example_owners: int = 3,
+    example_repos: int = 10,
 ) -> DataFrame:
     """Find secrets and tell live-looking ones from copied examples.
 
     Returns one row for each input row: ``doc_id, n_assign, n_access, n_hex, base_sha256,
     spans``. ``spans`` lists ``kind:start:end`` of the base matches and, for each secret in them,
-    ``live`` (one owner only, random-looking) or ``example`` (``example_owners`` owners or
-    more); what is neither has no span of its own. ``repo_col`` defaults to the id: each
-    document is a repository of its own.
+    one of
+
+    * ``example``: ``example_owners`` owners or more have it, or ``example_repos`` repositories or more;
+    * ``live``: it looks random and one owner has it (or none is known), in fewer repositories;
+    * ``shared``: it looks random and several owners have it, though fewer than make an example.
+
+    What does not look random and is no example has no span of its own. ``repo_col`` defaults to the id:
+    each document is a repository of its own.
 
     A null or empty text has no matches. Rows of a null owner or id count as no owner or repository. Rows
     that repeat an id are scanned one by one. Texts are scanned whole; an empty table gives an empty
@@ -149,13 +156,16 @@ def scan(
         F.col(repo_col or id_col).cast("string").alias("repo"),
         F.col(owner_col).cast("string").alias("owner"),
     )
-    found = candidates(spread(owned), "text", ["doc_id", "repo", "owner"])
+    found = candidates(owned, "text", ["doc_id", "repo", "owner"])
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
     each = found.filter(F.size("candidates") > 0).select("row", "repo", "owner", F.explode("candidates").alias("c"))
     each = each.select("row", "repo", "owner", F.col("c.from").alias("from"), F.col("c.to").alias("to"), F.col("c.secret").alias("secret"), F.col("c.random").alias("random"))
     owners = ownership(each, "repo", "owner")
     judged = each.join(owners, "secret").withColumn(
-        "kind", F.when(F.col("n_owners") >= example_owners, "example").when((F.col("n_owners") <= 1) & F.col("random"), "live")
+        "kind",
+        F.when((F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos), "example").when(
+            F.col("random"), F.when(F.col("n_owners") <= 1, "live").otherwise("shared")
+        ),
     )
     added = judged.filter("kind is not null").groupBy("row").agg(F.collect_set(F.struct("from", "kind", "to")).alias("added"))
     out = found.join(added, "row", "left")

@@ -13,16 +13,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from . import grams
-from .common import cut, map_text, shelter, slices, small_batches, spread
+from .common import cut, map_text, slices
 
 #: Benchmark windows up to this many are sent to every task (about 200 bytes each); beyond
-#: it, fingerprints are joined by a shuffle.
+#: it, windows are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
+#: Bits of a sieve of hashes (2 MB).
+SIEVE = 1 << 24
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -45,29 +49,33 @@ def _windows(w: grams.Words, text: int, span: int) -> range:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, k: int, span: int) -> DataFrame:
-    """Distinct windows of the benchmark: ``words`` (space-joined), ``n`` words, ``hash``, ``fp``, ``items``.
+    """Windows of the benchmark: ``item``, ``words`` (space-joined), ``n`` words, ``hash``, ``fp``.
 
     ``fp`` is the window's fingerprint: the smallest k-gram hash, or for a window of fewer
-    than ``span`` words the hash of all its words. ``items`` lists the ids, as sorted
-    strings, of the items with that window.
+    than ``span`` words the hash of all its words. A window that an item holds twice is there twice.
     """
 
     def run(batches):
         for batch in batches:
-            w = grams.words(batch.column(1).cast(pa.binary()).to_pylist(), "alnum")
-            ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for t, item in enumerate(ids):
-                for i in _windows(w, t, span):
-                    n = min(span, int(w.first[t + 1]) - i)
-                    h = w.hash[i : i + n]
-                    fp = grams.shingles(h, k).min() if n == span else grams.sequence_hash(h)
-                    for column, value in zip(out, (item, b" ".join(w.text(i, n)).decode("utf-8", "surrogateescape"), n, int(grams.sequence_hash(h).view(np.int64)), int(fp.view(np.int64))), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["item", "words", "n", "hash", "fp"])
+            for first, piece in slices(batch.column(1)):
+                w = grams.words(piece.cast(pa.binary()).to_pylist(), "alnum")
+                ids, out = batch.column(0).slice(first, len(piece)).to_pylist(), ([], [], [], [], [])
+                for t, item in enumerate(ids):
+                    for i in _windows(w, t, span):
+                        n = min(span, int(w.first[t + 1]) - i)
+                        h = w.hash[i : i + n]
+                        fp = grams.shingles(h, k).min() if n == span else grams.sequence_hash(h)
+                        for column, value in zip(out, (item, _joined(w, i, n), n, int(grams.sequence_hash(h).view(np.int64)), int(fp.view(np.int64))), strict=True):
+                            column.append(value)
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["item", "words", "n", "hash", "fp"])
 
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter("item is not null and text is not null").mapInArrow(run, "item string, words string, n long, hash long, fp long")
-    return rows.groupBy("words", "n", "hash", "fp").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.filter("item is not null and text is not null").mapInArrow(run, "item string, words string, n long, hash long, fp long")
+
+
+def _joined(w: grams.Words, i: int, n: int) -> str:
+    return b" ".join(w.text(i, n)).decode("utf-8", "surrogateescape")
 
 
 class _Benchmark:
@@ -76,11 +84,14 @@ class _Benchmark:
     def __init__(self, rows: list[tuple], k: int, span: int) -> None:
         self.k, self.span = k, span
         self.by_hash: dict[int, list[tuple[bytes, list[str]]]] = {}
-        self.lengths = sorted({n for _, n, *_ in rows if n < span})
-        self.fps = np.unique(np.array([fp for *_, fp, _ in rows], np.int64).view(np.uint64))
-        self.hashes = np.unique(np.array([r[2] for r in rows], np.int64).view(np.uint64))
-        for words, _, h, _, items in rows:
-            self.by_hash.setdefault(h, []).append((words.encode("utf-8", "surrogateescape"), items))
+        self.lengths = sorted({r[2] for r in rows if r[2] < span})
+        self.fps = np.unique(np.array([r[4] for r in rows], np.int64).view(np.uint64))
+        self.hashes = np.unique(np.array([r[3] for r in rows], np.int64).view(np.uint64))
+        items: dict[tuple[int, bytes], set[str]] = {}
+        for item, words, _, h, _ in rows:
+            items.setdefault((h, words.encode("utf-8", "surrogateescape")), set()).add(item)
+        for (h, words), names in items.items():
+            self.by_hash.setdefault(h, []).append((words, sorted(names)))
 
     def _among(self, values: np.ndarray, known: np.ndarray) -> np.ndarray:
         if not len(known):
@@ -150,7 +161,6 @@ def decontaminate(
     span: int = 10,
     keep: list[str] | None = None,
     broadcast_windows: int = BROADCAST_WINDOWS,
-    id_col: str = "doc_id",
 ) -> DataFrame:
     """Mark the words of each document that lie in a window of the benchmark.
 
@@ -160,106 +170,142 @@ def decontaminate(
     (default: all); an input column of such a name is replaced.
 
     * A null or empty text has no words and no hit. Items without words or with a null id are ignored.
-    * Repeated items and repeated rows change nothing for other rows.
+    * Repeated items and repeated rows change nothing for other rows. Ids of documents are not read.
     * An empty benchmark leaves every document clean; an empty table gives an empty result.
-    * Benchmarks of more than ``broadcast_windows`` distinct windows take a shuffled join instead of
-      being sent to every task, with the same result: rows get keys of their own, so ``id_col`` may
-      repeat or be null and is not read.
+    * A benchmark of more than ``broadcast_windows`` windows is joined by a shuffle instead of being
+      sent to every task, with the same result.
     """
     windows = benchmark_windows(benchmark, bench_id, bench_text, k, span)
-    sample = windows.limit(broadcast_windows + 1).collect()
-    if len(sample) > broadcast_windows:
+    some = windows.limit(broadcast_windows + 1).collect()
+    if len(some) > broadcast_windows:
         return _by_join(df, windows, text_col, k, span, keep)
-    known = df.sparkSession.sparkContext.broadcast([tuple(r) for r in sample])
+    return map_text(df, text_col, _FIELDS, _look_up(df, some, k, span), keep)
+
+
+def drop_contaminated(
+    df: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    bench_id: str = "item_id",
+    bench_text: str = "text",
+    k: int = 5,
+    span: int = 10,
+    broadcast_windows: int = BROADCAST_WINDOWS,
+) -> DataFrame:
+    """Keep the documents without a hit, with all their columns as they were, whatever their names.
+
+    Cases are those of ``decontaminate``: null and empty texts are clean, repeated rows stay or go together, an empty
+    benchmark drops nothing.
+    """
+    windows = benchmark_windows(benchmark, bench_id, bench_text, k, span)
+    some = windows.limit(broadcast_windows + 1).collect()
+    if len(some) <= broadcast_windows:
+        return map_text(df, text_col, _CLEAN, _look_up(df, some, k, span, clean=True), only="clean")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    marked = _by_join(df.toDF(*names), windows, names[df.columns.index(text_col)], k, span, names)
+    return marked.filter(~F.col("contaminated")).select(names).toDF(*df.columns)
+
+
+_CLEAN = StructType([StructField("clean", BooleanType())])
+
+
+def _look_up(df: DataFrame, rows: list, k: int, span: int, clean: bool = False):
+    known = df.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
     def factory():
         bench = _Benchmark(known.value, k, span)
 
         def work(column: pa.Array) -> list[pa.Array]:
             w = grams.words(column.cast(pa.binary()).to_pylist(), "alnum")
-            return _summary(w, bench.hits(w))
+            made = _summary(w, bench.hits(w))
+            return [pc.invert(made[-1])] if clean else made
 
         return work
 
-    return map_text(spread(df), text_col, _FIELDS, factory, keep)
+    return factory
+
+
+class _Sieve:
+    """A bit for each of ``SIEVE`` hash ranges; tells which hashes may be known."""
+
+    def __init__(self, buckets: list) -> None:
+        bits = np.zeros(SIEVE // 8, np.uint8)
+        for bucket, part in buckets:
+            bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
+        self._bits = bits
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes & np.uint64(SIEVE - 1)).astype(np.int64)
+        return (self._bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sieve(hashes: DataFrame, column: str) -> list:
+    """The occupied ranges as bitmaps of 4096 bytes, ``SIEVE / 8`` bytes at most."""
+    place = (F.col(column).bitwiseAND(F.lit(SIEVE - 1)) + 1).alias("place")
+    bits = hashes.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")))
+    return [(r[0], bytes(r[1])) for r in bits.collect()]
 
 
 def _by_join(df: DataFrame, windows: DataFrame, text_col: str, k: int, span: int, keep: list[str] | None) -> DataFrame:
     """The same for a benchmark too large to send to every task.
 
-    Fingerprints of both sides meet in a shuffle join; matches, with the words around them, are
-    compared with the benchmark's windows, and what is left is summed up for each row. A row's key is
-    a number that a checkpoint fixes; ids of documents may repeat.
+    Bitmaps of a fixed size, of the benchmark's fingerprints and window hashes, sieve each document's fingerprints
+    and the windows around them where the text is read. What passes leaves the task as its words and meets the
+    benchmark's windows in a shuffle join on those. A checkpoint of the documents with their candidates fixes a number
+    for each row, by which hits come back; ids of documents may repeat. The items of a set of windows are looked up
+    once, however many documents have that set; a set's list of items is one row.
     """
-    lengths = sorted(r.n for r in windows.select("n").filter(F.col("n") < span).distinct().collect())  # at most span - 1 rows
+    windows = cut(windows.distinct())
+    lengths = sorted(r.n for r in windows.select("n").filter(F.col("n") < span).distinct().collect())  # span - 1 rows at most
+    kind = pa.list_(pa.struct([("i", pa.int64()), ("n", pa.int64()), ("words", pa.string())]))
+    sent = df.sparkSession.sparkContext.broadcast([_sieve(windows, c) for c in ("fp", "hash")])
     wide = span - k + 1
 
-    def run(batches):
-        for batch in batches:
-            for at, piece in _pieces(batch):
-                w = grams.words(piece, "alnum")
-                ends = np.repeat(w.first[1:], np.diff(w.first))
-                starts = np.repeat(w.first[:-1], np.diff(w.first))
-                out: tuple[list, ...] = ([], [], [], [], [])
-                runs = grams.shingles(w.hash, k)
-                todo = [(n, np.arange(max(0, len(w.hash) - n + 1)), grams.shingles(w.hash, n), None) for n in lengths]
-                todo.append((span, winnow(runs, wide), None, runs))
-                whole = grams.shingles(w.hash, span)
-                for n, picks, h, fp in todo:
-                    for p in picks.tolist():
-                        for i in [p] if fp is None else range(max(p - wide + 1, int(starts[p])), p + 1):
-                            if i + n <= ends[i]:
-                                t = int(np.searchsorted(w.first, i, "right")) - 1
-                                value = (fp[p] if fp is not None else h[i], whole[i] if n == span else h[i])
-                                for c, x in zip(out, (at + t, i - int(w.first[t]), n, int(value[0].view(np.int64)), int(value[1].view(np.int64))), strict=True):
-                                    c.append(x)
-                rows = pa.array(out[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *[pa.array(c, pa.int64()) for c in out[1:]]], names=["__id", "i", "n", "fp", "hash"])
-
-    def words_of(batches):
-        for batch in batches:
-            out = []
-            for _, piece in _pieces(batch):
-                w = grams.words(piece, "alnum")
-                out += np.diff(w.first).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["__id", "n_words"])
+    def factory():
+        may_fp, may_hash = map(_Sieve, sent.value)
 
-    def same(batches):
-        for batch in batches:
-            good = []
-            for text, i, n, known in zip(*(batch.column(c).to_pylist() for c in ("text", "i", "n", "words")), strict=True):
-                w = grams.words([text.encode()], "alnum")
-                good.append(b" ".join(w.text(i, n)) == known.encode("utf-8", "surrogateescape"))
-            yield batch.select(["__id", "i", "n", "items"]).filter(pa.array(good, pa.bool_()))
+        def work(column: pa.Array) -> list[pa.Array]:
+            w = grams.words(column.cast(pa.binary()).to_pylist(), "alnum")
+            ends = np.repeat(w.first[1:], np.diff(w.first))
+            runs, whole = grams.shingles(w.hash, k), grams.shingles(w.hash, span)
+            picked = winnow(runs, wide)
+            picked = picked[may_fp(runs[picked])]
+            at = np.unique((picked[:, None] - np.arange(wide)[None, :]).ravel())
+            tries = [(span, at[(at >= 0) & (at < len(whole))], whole)]
+            for n in lengths:
+                h = grams.shingles(w.hash, n)
+                tries.append((n, np.arange(len(h)), h))
+            found: list[list[dict]] = [[] for _ in range(len(column))]
+            for n, at, h in tries:
+                at = at[at + n <= ends[at]] if len(at) else at
+                at = at[may_hash(h[at])] if len(at) else at
+                for i, t in zip(at.tolist(), (np.searchsorted(w.first, at, "right") - 1).tolist(), strict=True):
+                    found[t].append({"i": i - int(w.first[t]), "n": n, "words": _joined(w, i, n)})
+            return [pa.array(np.diff(w.first)), pa.array(found, kind)]
+
+        return work
 
+    window = StructType([StructField("i", LongType()), StructField("n", LongType()), StructField("words", StringType())])
+    fields = StructType([StructField("n_words", LongType()), StructField("__candidates", ArrayType(window))])
     passed = [c for c in df.columns if c not in _FIELDS.names and (keep is None or c in keep)]
-    text = [] if text_col in passed else [F.col(f"`{text_col}`").alias("__text")]
-    rows = cut(small_batches(df).select(F.monotonically_increasing_id().alias("__id"), *[F.col(f"`{c}`") for c in passed], *text))
-    docs = rows.select("__id", F.col("__text" if text else f"`{text_col}`").cast("string").alias("text"))
-    prints = docs.mapInArrow(run, "__id long, i long, n long, fp long, hash long").distinct()
-    met = prints.join(windows, ["fp", "hash", "n"]).join(docs, "__id")
-    met = met.select("__id", "text", "i", "n", "words", "items").mapInArrow(same, "__id long, i long, n long, items array<string>")
-    spot = F.explode(F.sequence("i", F.col("i") + F.col("n") - 1))
-    hit = met.select("__id", spot.alias("at")).distinct().groupBy("__id").agg(F.count("*").alias("n_hit"))
-    names = met.select("__id", F.explode("items").alias("item")).distinct().groupBy("__id").agg(F.array_sort(F.collect_list("item")).alias("names"))
-    out = docs.mapInArrow(words_of, "__id long, n_words long").join(hit, "__id", "left").join(names, "__id", "left")
-    out = out.select(
-        "__id",
+    rows = cut(map_text(df, text_col, fields, factory, passed).withColumn("__id", F.monotonically_increasing_id()))
+    tried = rows.filter(F.size("__candidates") > 0).select("__id", F.inline("__candidates"))
+    hits = cut(tried.join(windows.select("words").distinct(), "words", "left_semi"))
+    # Words under overlapping windows count once: each window adds what lies beyond the ends of those before it.
+    before = Window.partitionBy("__id").orderBy("i", "n").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.col("i") + F.col("n")).over(before), F.lit(0))
+    fresh = hits.select("__id", F.greatest(F.lit(0), F.col("i") + F.col("n") - F.greatest("i", reach)).alias("fresh"))
+    n_hit = fresh.groupBy("__id").agg(F.sum("fresh").alias("n_hit"))
+    sets = hits.groupBy("__id").agg(F.array_sort(F.collect_set("words")).alias("words")).withColumn("set", F.sha2(F.array_join("words", ","), 256))
+    items = sets.groupBy("set").agg(F.any_value("words").alias("words")).select("set", F.explode("words").alias("words"))
+    items = items.join(windows.select("words", "item"), "words").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = items.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    out = rows.join(n_hit, "__id", "left").join(sets.select("__id", "set").join(items, "set"), "__id", "left")
+    return out.select(
+        *[f"`{c}`" for c in passed],
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-    ).withColumn("n_items", F.greatest("n_items", F.lit(0))).withColumn("contaminated", F.col("n_hit") > 0)
-    return rows.join(out, "__id").select(*[f"`{c}`" for c in passed], *_FIELDS.names)
-
-
-def _pieces(batch: pa.RecordBatch):
-    for at, piece in slices(batch.column(1)):
-        yield at, piece.cast(pa.binary()).to_pylist()
-
-
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """Keep the documents without a hit, with all their columns as they were."""
-    held, back = shelter(df, _FIELDS.names)
-    clean = decontaminate(held, benchmark, text_col, **options).filter(~F.col("contaminated"))
-    return back(clean)
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(b""), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )

@@ -8,7 +8,8 @@ import numpy as np
 
 from quernstone.llm import decontam
 
-DOCS = "doc_id long, text string, contaminated string"
+DOCS = "doc_id long, text string, contaminated string, i string, n string, fp string, hash string, items string, words string, c0 string"
+CLASH = ("clash",) * 8
 
 
 def words(text):
@@ -57,10 +58,10 @@ def case(seed=4):
 
 
 def run(spark, docs, items, **options):
-    df = spark.createDataFrame([(d, t, "clash") for d, t in docs], DOCS)
+    df = spark.createDataFrame([(d, t, *CLASH) for d, t in docs], DOCS)
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontam.decontaminate(df, bench, **options)
-    assert out.columns == ["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] or "text" not in out.columns
+    assert out.columns == [*[c for c in df.columns if c != "contaminated"], "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()}
 
 
@@ -96,12 +97,24 @@ def test_empty_benchmark_and_empty_table(spark):
 
 def test_drop_contaminated_keeps_columns(spark):
     docs, items = case()
-    df = spark.createDataFrame([(d, t, "clash") for d, t in docs], DOCS)
-    out = decontam.drop_contaminated(df, spark.createDataFrame(items, "item_id long, text string"))
-    assert out.columns == df.columns
-    rows = out.collect()
-    assert {r.contaminated for r in rows} == {"clash"}
-    assert {r.doc_id for r in rows} == {d for d, v in brute(docs, items).items() if not v[4]}
+    df = spark.createDataFrame([(d, t, *CLASH) for d, t in docs], DOCS)
+    for most in (decontam.BROADCAST_WINDOWS, 5):
+        out = decontam.drop_contaminated(df, spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=most)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert {r.contaminated for r in rows} == {"clash"} and {r.items for r in rows} == {"clash"}
+        assert {r.doc_id for r in rows} == {d for d, v in brute(docs, items).items() if not v[4]}
+
+
+def test_a_phrase_in_every_item(spark):
+    """One window shared by all items and by most documents: items are listed for each set of windows, not each document."""
+    phrase = "ten words that all of these items have in common"
+    items = [(i, f"{phrase} own{i} tail{i}") for i in range(300)]
+    docs = [(d, f"start{d} {phrase} end{d}" if d % 3 else f"nothing {d} here") for d in range(90)]
+    want = brute(docs, items)
+    assert want[1][2] == 300
+    assert run(spark, docs, items) == want
+    assert run(spark, docs, items, broadcast_windows=5) == want
 
 
 def test_winnow_selects_from_every_window():

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import grams
-from .common import cut, map_text, small_batches, spread
+from .common import cut, map_text
 from .components import connected_components
 
 #: 25 bands of 5 minima: two sets of similarity 0.85 miss each other in every band with
@@ -20,8 +20,8 @@ BIN_BITS = 11
 BINS = 1 << BIN_BITS
 #: Hash ranges of ids by which documents without a candidate pair are left out.
 SIEVE = 1 << 19
-#: Members of a bucket that one step compares with each other at most.
-BLOCK = 256
+#: Members of a bucket that one step compares with as many others.
+BLOCK = 1024
 
 
 def text_shingles(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, bands: int = B
 
         return work
 
-    rows_in = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    rows_in = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return map_text(rows_in, "text", _SIGNED, factory, keep=["doc_id"])
 
 
@@ -120,9 +120,8 @@ def _among(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     What is broadcast are the occupied ones of ``SIEVE`` hash ranges of ids: that many integers at most,
     however many pairs there are. A document that passes by chance is dropped by the joins that follow.
     """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE)).cast("int")
-    used = pairs.select(spot("u").alias("spot")).unionByName(pairs.select(spot("v").alias("spot"))).distinct()
-    return docs.withColumn("spot", spot("doc_id")).join(F.broadcast(used), "spot", "left_semi").drop("spot")
+    used = pairs.select(_spot(F.col("u")).alias("spot")).unionByName(pairs.select(_spot(F.col("v")).alias("spot"))).distinct()
+    return docs.withColumn("spot", _spot(F.col("doc_id"))).join(F.broadcast(used), "spot", "left_semi").drop("spot")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -145,7 +144,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 good.append(100 * both >= percent * (len(last[1]) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return small_batches(joined).mapInArrow(check, pairs.select("u", "v").schema)
+    return joined.mapInArrow(check, pairs.select("u", "v").schema)
 
 
 def pack_sketches(dense: np.ndarray) -> list[bytes]:
@@ -204,26 +203,16 @@ def _compare(x: dict, y: dict, bucket: int, percent: int) -> tuple[np.ndarray, n
 _MEMBER = ["bucket", "a", "b", "side", "minor", "rep", "n", "component", "bands", "sketch"]
 
 
-def _cross_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket's members that are in different components so far and look similar.
 
-    ``members``: ``bucket, rep, n, component, bands, sketch``. The members outside a bucket's largest
-    component are cut into blocks of about ``block``; each block meets all members of the
-    bucket, again in blocks, so no task holds more than two blocks of a bucket and every
+    ``members``: ``bucket, rep, n, component, bands, sketch``, and of each bucket ``major``, its largest component, and
+    ``na`` and ``nb``, the blocks into which all its members and those outside ``major`` are cut. Each block of the
+    latter meets each block of all, so no task holds more than two blocks of a bucket and every
     such pair is compared. The looks: set sizes that allow the similarity, and sketches that
     do. A pair that shares several buckets is given by the first one only.
     """
-    per = members.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    per = per.groupBy("bucket").agg(
-        F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("parts")
-    )
-    per = per.filter("parts > 1").select(
-        "bucket",
-        F.col("top.component").alias("major"),
-        F.ceil(F.col("size") / block).cast("int").alias("na"),
-        F.ceil((F.col("size") - F.col("top.c")) / block).cast("int").alias("nb"),
-    )
-    m = members.join(per, "bucket").withColumn("minor", F.col("component") != F.col("major"))
+    m = members.withColumn("minor", F.col("component") != F.col("major"))
     spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = m.withColumn("side", F.lit(0)).withColumn("a", spot("na")).withColumn("b", upto("nb"))
@@ -284,8 +273,12 @@ def near_duplicates(
        smallest one of each of its buckets: as many pairs as there are bucket members, however
        large the bucket. Components of these links follow.
     3. Members of one bucket that are still in different components are compared by signature,
-       block by block, and what looks similar is checked on full sets. The components of all
-       links are the result. Pairs inside a component need no check, so nothing is lost.
+       block by block, and what looks similar is checked on full sets. These links join whole
+       components. Pairs inside a component need no check, so nothing is lost.
+
+    Work that grows with a bucket's square: step 3 sends each member of such a bucket to one block in
+    ``block`` of the members outside the largest component, and compares those. Sets that lie
+    around the similarity asked for share bands whether they link or not, so no banding parts them.
 
     Null, empty and blank texts have an empty set, link with nothing and are kept. Ids must be
     integers; rows that repeat an id share its component through any of their texts; a null id is kept
@@ -294,36 +287,81 @@ def near_duplicates(
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(signatures(docs, "doc_id", "text", k, bands, rows))
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    sets = usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    reps = usable.join(sets.select(F.col("rep").alias("doc_id"), "s1", "s2", "n_shingles"), ["doc_id", "s1", "s2", "n_shingles"], "left_semi")
+    key = ["s1", "s2", "n_shingles"]
+    sets = usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    reps = usable.join(sets.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi")
     reps = reps.select("doc_id", "n_shingles", "bands", "sketch")
     buckets = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    members = cut(buckets.join(hubs.select("bucket", "hub"), "bucket"))
+    # What is joined with a large bucket's rows is written first, so that adaptive execution can split those.
+    hubs = cut(buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("bucket", "hub"))
+    members = cut(buckets.join(hubs, "bucket"))
     pairs = members.filter(
         (F.col("rep") > F.col("hub.rep"))
         & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
     ).select(F.col("hub.rep").alias("u"), F.col("rep").alias("v")).distinct()
     texts = docs.filter("text is not null and doc_id is not null")
-    links = cut(_verify(pairs, texts, k, percent))
-    first = connected_components(links)
-    labelled = members.select("bucket", "rep", "n").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    labels = connected_components(_verify(pairs, texts, k, percent))
+    labelled = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rest = labelled.join(mixed.select("bucket"), "bucket", "left_semi")
-    rest = rest.join(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), ["rep", "n"])
-    more = cut(_cross_pairs(rest, percent, block))
-    if not more.isEmpty():
-        links = links.unionByName(_verify(more, texts, k, percent))
-    copies = usable.select("doc_id", "s1", "s2", "n_shingles").join(sets.filter("c > 1"), ["s1", "s2", "n_shingles"])
-    links = links.unionByName(copies.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
-    found = connected_components(links).filter("node <> component")
-    out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    mixed = cut(_mixed(labelled, block))
+    links = _repeated(usable, sets)
+    if not mixed.isEmpty():
+        rest = labelled.join(mixed, "bucket")
+        rest = rest.join(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), ["rep", "n"])
+        links = links.unionByName(_verify(cut(_cross_pairs(rest, percent)), texts, k, percent))
+    labels = _joined(labels, links)
+    found = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").filter("c > 1 or component <> rep")
+    found = found.select(*key, F.coalesce("component", "rep").alias("component"))
+    out = signed.select("doc_id", *key).join(found, key, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _mixed(labelled: DataFrame, block: int) -> DataFrame:
+    """Buckets whose members are in more than one component: the largest one, and counts of blocks."""
+    per = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    per = per.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("parts"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    return per.filter("parts > 1").select(
+        "bucket", F.col("top.component").alias("major"), blocks(F.col("size")).alias("na"), blocks(F.col("size") - F.col("top.c")).alias("nb")
+    )
+
+
+def _repeated(usable: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the representatives of different sets that rows of one id have."""
+    twice = usable.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    of = usable.select("doc_id", "s1", "s2", "n_shingles").join(twice, "doc_id", "left_semi").join(sets, ["s1", "s2", "n_shingles"])
+    return of.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links, which only join components as wholes."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    between = links.join(end("u"), "u", "left").join(end("v"), "v", "left").select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v"))
+    further = connected_components(between)
+    out = labels.join(further.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    out = out.select("node", F.coalesce("to", "component").alias("component"))
+    return out.unionByName(further.join(labels.select("node"), "node", "left_anti"))
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group, with all its columns."""
-    gone = near_duplicates(df, id_col, text_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti")
+    """Keep the document with the smallest id of each near-duplicate group, with all its columns as they were.
+
+    Rows that repeat an id stay or go together. Null, empty and blank texts, and null ids, stay; an empty table gives
+    an empty result. Ids must be integers. Documents whose ids are in none of the hash ranges of those that go pass by
+    without a shuffle.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]  # own names, so that no column of the table can clash
+    i = names[df.columns.index(id_col)]
+    gone = near_duplicates(df, id_col, text_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = cut(gone)
+    rows = df.toDF(*names).withColumn("spot", _spot(F.col(i).cast("long")))
+    used = F.broadcast(gone.select(_spot(F.col("gone")).alias("spot")).distinct())
+    alone = rows.join(used, "spot", "left_anti").select(names)
+    maybe = rows.join(used, "spot", "left_semi")
+    return alone.unionByName(maybe.join(gone, F.col(i).cast("long") == F.col("gone"), "left_anti").select(names)).toDF(*df.columns)
+
+
+def _spot(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SIEVE)).cast("int")

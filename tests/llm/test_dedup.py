@@ -163,3 +163,18 @@ def test_words_and_shingles_are_the_patterns():
         for i, t in enumerate(texts):
             got = [b.decode() for b in w.text(int(w.first[i]), int(w.first[i + 1] - w.first[i]))]
             assert got == re.findall(pattern, (t or "").translate(low))
+
+
+def test_drop_exact_copies_with_any_other_columns(spark):
+    names = ["id", "no_id", "null_text", "__row", "__h", "h", "spot", "row", "a.b", "text_sha256", "c0"]
+    kinds = ", ".join(f"`{c}` string" for c in names)
+    other = lambda x: tuple(f"{x}{j}" for j in range(len(names)))
+    rows = [(2, "a", *other("k"), {"y": 1}, [b"1"]), (1, "a", *other("q"), {"x": 1}, None), (1, "a", *other("q"), None, [b"2"]), (3, None, *other("k"), None, None), (3, "", *other("z"), None, None), (4, "b", *other("z"), {"x": 2, "w": 3}, [])]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {kinds}, tags map<string,int>, raw array<binary>")
+    for deal in (1, 5):
+        out = exact_dedup.drop_exact_copies(df.repartition(deal))
+        assert out.columns == df.columns and out.schema.simpleString() == df.schema.simpleString()
+        got = {r.doc_id: r for r in out.collect()}
+        assert len(got) == 3 and {r["h"] for r in got.values()} == {"q5", "z5"}
+        assert got[3].text == "" and got[4].tags == {"x": 2, "w": 3} and got[1].tags == {"x": 1}
+    assert exact_dedup.drop_exact_copies(df.limit(0)).count() == 0

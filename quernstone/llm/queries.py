@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, exact_dedup, langid, minhash, quality, secrets, token_count, warc
-from .common import is_held_out, table
+from .common import is_held_out, spread, table
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~is_held_out("doc_id"))
     model = quality.fit(docs, labels)
     found = quality.score(docs, model, keep=["doc_id"])
@@ -66,10 +66,9 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode(docs, ranks, pattern, keep=["doc_id"])
-    both = bpe.decode(coded, ranks, pattern)
+    both = bpe.round_trip(docs, ranks, pattern, keep=["doc_id"])
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -78,7 +77,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -86,25 +85,25 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return token_count.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return minhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k=3, percent=85)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     filters = langid.train(docs.filter(~is_held_out("doc_id")))
     found = langid.predict(docs.select("doc_id", "text"), filters, keep=["doc_id"])
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")

@@ -1,4 +1,6 @@
 import ast
+import subprocess
+import sys
 from pathlib import Path
 
 import __spark_entry__ as entry
@@ -21,3 +23,8 @@ def test_nothing_else_imports_the_llm_subpackage():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n.split(".") for n in names), path
+
+
+def test_other_queries_stay_where_a_library_is_missing():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op2_') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)

@@ -140,5 +140,5 @@ def output_budget(estimate: Column, low: int = 2048, high: int = 12000) -> Colum
 
 
 def display_number(x: Column) -> Column:
-    """Digits by magnitude: none from 100 on, one from 10 on, else two."""
-    return F.when(F.abs(x) >= 100, F.format_string("%.0f", x)).when(F.abs(x) >= 10, F.format_string("%.1f", x)).otherwise(F.format_string("%.2f", x))
+    """Digits by magnitude: none from 100 on, one from 10 on, else two; null for null."""
+    return F.when(F.abs(x) >= 100, F.format_string("%.0f", x)).when(F.abs(x) >= 10, F.format_string("%.1f", x)).when(x.isNotNull(), F.format_string("%.2f", x))

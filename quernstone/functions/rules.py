@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 
 def first_match(text: Column, rules: Sequence[tuple[str, str]], default: Column | None = None) -> Column:
-    """The label of the first pattern that is found in a text."""
-    out = None
-    for pattern, label in rules:
-        out = F.when(text.rlike(pattern), label) if out is None else out.when(text.rlike(pattern), label)
-    if out is None:
+    """The label of the first pattern that is found in a text.
+
+    The text is bound once, as the variable of a lambda: otherwise its expression is evaluated, and compiled, for each rule.
+    """
+    if not rules:
         return default if default is not None else F.lit(None).cast("string")
-    return out.otherwise(default) if default is not None else out
+
+    def chain(t: Column) -> Column:
+        out = F.when(t.rlike(rules[0][0]), rules[0][1])
+        for pattern, label in rules[1:]:
+            out = out.when(t.rlike(pattern), label)
+        return out
+
+    found = F.get(F.transform(F.array(text), chain), F.lit(0))
+    return F.coalesce(found, default) if default is not None else found
 
 
 def weighted_sum(text: Column, rules: Sequence[tuple[str, float]]) -> Column:

@@ -53,3 +53,24 @@ def conversion_table(spark: SparkSession) -> DataFrame:
     other = {"divide": "multiply", "multiply": "divide"}
     rows = [(k, a, b, f, op) for keys, a, b, op, f in CONVERSIONS for k in keys] + [(k, b, a, f, other[op]) for keys, a, b, op, f in CONVERSIONS for k in keys]
     return spark.createDataFrame(rows, "key string, from_unit string, to_unit string, factor double, op string")
+
+
+def length_rule(unit: Column, to: Column) -> tuple[Column, Column]:
+    """Operation and factor between centimetres and millimetres, for any analyte; null for other units."""
+    op = F.when((unit == "cm") & (to == "mm"), "multiply").when((unit == "mm") & (to == "cm"), "divide")
+    return op, F.when(op.isNotNull(), 10.0)
+
+
+def converted(key: Column, value: Column, unit: Column, to: Column) -> Column:
+    """A value in another unit; null where there is no rule. Units are canonical spellings."""
+    op, factor = length_rule(unit, to)
+    out = F.when(unit == to, value).when(op == "multiply", value * factor).when(op == "divide", value / factor)
+    for keys, a, b, how, f in CONVERSIONS:
+        there, back = (value / f, value * f) if how == "divide" else (value * f, value / f)
+        out = out.when(key.isin(*keys) & (unit == a) & (to == b), there).when(key.isin(*keys) & (unit == b) & (to == a), back)
+    return out
+
+
+def convertible(key: Column, unit: Column, to: Column) -> Column:
+    """Whether there is a rule between two units of an analyte."""
+    return converted(key, F.lit(1.0), unit, to).isNotNull()

@@ -105,11 +105,11 @@ def timelines(linked: DataFrame) -> DataFrame:
     """One row for each timeline: its latest and previous report, the sizes, and the kind of change.
 
     Input needs ``group_id, report_id, report_date, presence, classification, size_mm, description``; the richest
-    row of a report stands for it.
+    row of a report stands for it, then the one of the largest size, then the first by ``id``.
     """
     rich = sum((F.col(c).isNotNull().cast("int") for c in ("size_mm", "classification", "description")), F.lit(0))
     state = F.struct("presence", "classification", "size_mm", "description", "report_date", "report_id")
-    one = linked.filter("group_id is not null").groupBy("group_id", "report_id").agg(F.max_by(state, F.struct(rich, F.coalesce("size_mm", F.lit(-1.0)))).alias("s"))
+    one = linked.filter("group_id is not null").groupBy("group_id", "report_id").agg(F.min_by(state, F.struct(-rich, -F.coalesce("size_mm", F.lit(-1.0)), "id")).alias("s"))
     w = Window.partitionBy("group_id").orderBy("s.report_date", "report_id")
     seen = one.withColumn("p", F.lag("s").over(w)).withColumn("at", F.struct("s.report_date", "report_id"))
     out = seen.groupBy("group_id").agg(F.count("*").alias("n_reports"), F.max_by(F.struct("s", "p"), "at").alias("x"))
@@ -118,3 +118,29 @@ def timelines(linked: DataFrame) -> DataFrame:
         "group_id", "n_reports", s["report_date"].alias("latest_date"), s["size_mm"].alias("latest_mm"), p["size_mm"].alias("previous_mm"),
         F.round(s["size_mm"] - p["size_mm"], 3).alias("delta_mm"), finding_change(s, p).alias("change"),
     )
+
+
+def tracking_summary(linked: DataFrame) -> DataFrame:
+    """One row: timelines, those with several reports, findings on a timeline, and findings without one."""
+    per = linked.filter("group_id is not null").groupBy("group_id").agg(F.count_distinct("report_id").alias("reports"), F.count("*").alias("n"))
+    on = per.agg(F.count("*").alias("groups"), F.count_if(F.col("reports") > 1).alias("multi_report_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
+    off = linked.agg(F.count_if(F.col("group_id").isNull()).alias("untracked"))
+    return on.join(off)  # one row each
+
+
+def rebuild_counters(linked: DataFrame) -> DataFrame:
+    """One row that tells what a rebuild of the timelines did: scanned, linked, groups, untracked, ambiguous, members."""
+    g = F.col("group_id")
+    return linked.agg(
+        F.count("*").alias("scanned"), F.count(g).alias("linked"), F.count_distinct(g).alias("groups"), F.count_if(g.isNull()).alias("untracked"), F.count_if("ambiguous").alias("ambiguous"), F.count_distinct("member_id").alias("members")
+    )
+
+
+def shown_timelines(series: DataFrame, mode: str = "all", query: str | None = None) -> DataFrame:
+    """Timelines for a list: ``multi`` or ``single`` by their number of reports, and a keyword in name, organ, region or type."""
+    if mode != "all":
+        series = series.filter(F.col("n_reports") > 1 if mode == "multi" else F.col("n_reports") <= 1)
+    q = (query or "").strip().lower()
+    if q:
+        series = series.filter(F.contains(F.lower(F.concat_ws(" ", "name", "d_organ", "d_region", "d_type")), F.lit(q)))
+    return series

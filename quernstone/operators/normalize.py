@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.numeric import first_number, quality_bucket
 from quernstone.functions.text import name_variants, narrow
-from quernstone.functions.units import canonical_unit, conversion_table
+from quernstone.functions.units import canonical_unit, conversion_table, length_rule
 
 # Sections by which a name that several panels share is told apart.
 STOOL = r"便常规|粪便|大便"
@@ -76,8 +76,10 @@ def normalize_observations(observations: DataFrame, dictionary: DataFrame) -> Da
     names = F.broadcast(dictionary) if small else dictionary
     met = obs.withColumn("normalized_alias", F.explode("variants")).join(names, "normalized_alias")
     table = F.broadcast(conversion_table(spark))
-    rule = table.select(F.col("key").alias("canonical_key"), F.col("from_unit").alias("raw_unit"), F.col("to_unit").alias("__to"), "factor", "op")
+    rule = table.select(F.col("key").alias("canonical_key"), F.col("from_unit").alias("raw_unit"), F.col("to_unit").alias("__to"), F.col("factor").alias("__f"), F.col("op").alias("__o"))
     met = met.withColumn("__to", canonical_unit(F.col("default_unit"))).join(rule, ["canonical_key", "raw_unit", "__to"], "left")
+    op, factor = length_rule(F.col("raw_unit"), F.col("__to"))
+    met = met.withColumns({"op": F.coalesce("__o", op), "factor": F.coalesce("__f", factor)})
     scored = match_scores(met.withColumn("convertible", F.col("factor").isNotNull()))
     value = F.when(F.col("op") == "divide", F.col("number") / F.col("factor")).when(F.col("op") == "multiply", F.col("number") * F.col("factor")).otherwise(F.col("number"))
     excluded = ~F.col("trend_enabled") | (F.col("value_type") != "numeric") | F.col("number").isNull()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -139,3 +140,37 @@ def drop_labelled_lines(text: Column, labels: list[str]) -> Column:
     """Leave out lines that begin with one of the labels and a colon."""
     pattern = r"^\s*(?:" + "|".join(labels) + r")\s*[:：]"
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(pattern)), "\n")
+
+
+# Names under which trends of an indicator are known; each also stands for itself.
+TREND_NAMES = {
+    "白细胞计数": ("wbc", "白细胞", "白细胞数"),
+    "红细胞计数": ("rbc", "红细胞", "红细胞数"),
+    "血红蛋白": ("hgb", "hb", "血色素"),
+    "血小板计数": ("plt", "血小板", "血小板数"),
+    "空腹血糖": ("glu", "glucose", "血糖"),
+    "总胆固醇": ("tc", "胆固醇"),
+    "甘油三酯": ("tg", "三酰甘油"),
+    "高密度脂蛋白胆固醇": ("hdl", "hdl-c", "高密度脂蛋白"),
+    "低密度脂蛋白胆固醇": ("ldl", "ldl-c", "低密度脂蛋白"),
+    "尿酸": ("ua",),
+    "肌酐": ("crea", "creatinine"),
+    "尿素氮": ("bun",),
+    "丙氨酸氨基转移酶": ("alt", "谷丙转氨酶"),
+    "天门冬氨酸氨基转移酶": ("ast", "谷草转氨酶"),
+    "γ-谷氨酰转肽酶": ("ggt", "γ谷氨酰转肽酶"),
+    "总胆红素": ("tbil",),
+}
+
+
+def trend_key(name: Column) -> Column:
+    """A name as a key of trends: narrow, lower case, without remarks in round brackets, spaces and separators."""
+    bare = F.regexp_replace(F.lower(narrow(name)), r"[（(].*?[）)]", "")
+    return F.regexp_replace(bare, r"[\s：:，,。.;；、_-]+", "")
+
+
+def trend_name(name: Column) -> Column:
+    """The name under which an indicator's trend is shown: of the table of names, else its own with single spaces."""
+    pairs = {re.sub(r"[\s_-]", "", alias): shown for shown, others in TREND_NAMES.items() for alias in (shown, *others)}
+    known = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, trend_key(name)), F.trim(F.regexp_replace(name, r"\s+", " ")))

@@ -92,3 +92,26 @@ def classify_pages(scores: DataFrame, doc: str = "doc_id", page: str = "page", k
         F.max(F.when(F.col("r") == 2, F.col("total"))).alias("second_score"),
     )
     return out.withColumn("both", F.coalesce(F.col("second_score") >= F.greatest(F.lit(6.0), F.col("top_score") * 0.55), F.lit(False)))
+
+
+def readable_length(pages: DataFrame, key: str = "report_id") -> DataFrame:
+    """Characters of recognised text of each report; a page of which only the lines are known counts 1: ``key, n``."""
+    lines = F.col("lines_json")
+    n = F.when(F.col("text_length").isNotNull(), F.col("text_length")).when(lines.isNotNull() & ~lines.isin("", "[]"), 1).otherwise(0)
+    return pages.groupBy(key).agg(F.sum(n).cast("long").alias("n"))
+
+
+def merged_histogram(parts: list[DataFrame], key: str, n: str = "n") -> DataFrame:
+    """Histograms added up: ``key, n``."""
+    out = parts[0].select(key, n)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(key, n))
+    return out.groupBy(key).agg(F.sum(n).alias(n))
+
+
+def log_volume(files: DataFrame, current: str) -> DataFrame:
+    """One row over log files (``name, bytes``): all bytes, those of the current file, files, and archives among them."""
+    mine = F.col("name") == current
+    return files.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"), F.coalesce(F.max(F.when(mine, F.col("bytes"))), F.lit(0)).alias("current_bytes"), F.count("*").alias("files"), F.count_if(~mine).alias("archives")
+    )

@@ -89,15 +89,15 @@ def place(observations: DataFrame, categories: DataFrame, groups: DataFrame, kin
     """Where an observation belongs: by its category, else by a hint in its section's name, else by the report's kind.
 
     ``observations``: ``id, category, section_name, report_type``; ``categories``: ``category, group, subgroup``; ``groups``: ``group, hints,
-    item_order``; ``kinds``: ``report_type, group``. Adds ``group, subgroup, placed_by, confidence``. All three are taxonomies of a few
-    dozen rows, checked when they are loaded, and are broadcast.
+    item_order``; ``kinds``: ``report_type, group``. Adds ``group, subgroup, placed_by, confidence``. Every join is by equality, so
+    Spark broadcasts the taxonomies while they are small.
     """
-    c = F.broadcast(categories.select("category", F.col("group").alias("__cg"), "subgroup"))
+    c = categories.select("category", F.col("group").alias("__cg"), "subgroup")
     out = observations.join(c, "category", "left")
     hints = groups.select(F.col("group").alias("__hg"), "item_order", F.explode("hints").alias("hint"))
     section = observations.filter("section_name is not null").select("id", compact_alias(F.col("section_name")).alias("s"))
-    met = section.join(F.broadcast(hints), F.contains(F.col("s"), compact_alias(F.col("hint")))).groupBy("id").agg(F.min_by("__hg", F.struct(-F.length("hint"), "item_order")).alias("__hg"))
-    out = out.join(met, "id", "left").join(F.broadcast(kinds.select("report_type", F.col("group").alias("__kg"))), "report_type", "left")
+    met = mentions(section, "s", hints.withColumn("name", compact_alias(F.col("hint")))).groupBy("id").agg(F.min_by("__hg", F.struct(-F.length("hint"), "item_order")).alias("__hg"))
+    out = out.join(met, "id", "left").join(kinds.select("report_type", F.col("group").alias("__kg")), "report_type", "left")
     by = F.when(F.col("__cg").isNotNull(), "category").when(F.col("__hg").isNotNull(), "section").when(F.col("__kg").isNotNull(), "report")
     return out.select(
         *observations.columns, F.coalesce("__cg", "__hg", "__kg").alias("group"), "subgroup", by.alias("placed_by"),
@@ -105,12 +105,24 @@ def place(observations: DataFrame, categories: DataFrame, groups: DataFrame, kin
     )
 
 
+def mentions(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
+    """Texts with each ``name`` that they hold: a row for each such pair.
+
+    Candidates meet by the first two characters of the name (or its only one), so this is an equality join, not a loop over
+    texts and names; then the whole name is looked for.
+    """
+    each = F.sequence(F.lit(1), F.length(text))
+    grams = F.array_distinct(F.flatten(F.transform(each, lambda i: F.array(F.substring(F.col(text), i, F.lit(1)), F.substring(F.col(text), i, F.lit(2))))))
+    left = texts.filter(F.length(text) > 0).withColumn("__g", F.explode(grams))
+    right = names.filter(F.length("name") > 0).withColumn("__g", F.substring("name", 1, 2))
+    return left.join(right, "__g").filter(F.contains(F.col(text), F.col("name"))).drop("__g")
+
+
 def facts_for_lines(lines: DataFrame, aliases: DataFrame, most: int = 8) -> DataFrame:
     """Entries of the dictionary that lines mention: ``line_id, canonical_key, alias``, the longest aliases first, ``most`` a line.
 
     A code in Latin letters must stand as a word; another name must be the first cell of a table row, or occur in
-    other text. Words and cells are joined by equality; only the remaining names are searched in text, against the
-    broadcast dictionary.
+    other text. Words and cells are joined by equality, names in text by their first two characters (``mentions``).
     """
     cell = F.trim(F.get(F.split("text", r"[|｜]"), F.lit(0)))
     rows = lines.select("line_id", cell.alias("cell"), F.col("text").rlike(r"[|｜]").alias("table"), "text")
@@ -121,7 +133,7 @@ def facts_for_lines(lines: DataFrame, aliases: DataFrame, most: int = 8) -> Data
     cells = rows.filter("table").select("line_id", compact_alias(F.col("cell")).alias("name"))
     by_cell = cells.join(names.filter(~code), "name")
     text = rows.filter("not table").select("line_id", compact_alias(F.col("text")).alias("t"))
-    by_text = text.join(F.broadcast(names.filter(~code)), F.contains(F.col("t"), F.col("name"))).select("name", "line_id", "canonical_key", "alias")
+    by_text = mentions(text, "t", names.filter(~code)).select("name", "line_id", "canonical_key", "alias")
     met = by_code.unionByName(by_cell).unionByName(by_text).groupBy("line_id", "canonical_key").agg(F.max_by("alias", F.struct(F.length("name"), "alias")).alias("alias"))
     w = Window.partitionBy("line_id").orderBy(F.length("alias").desc(), "canonical_key")
     return met.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).drop("__r")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quernstone.functions import report_rules as R
 from quernstone.functions.rules import anchored, finish_classification, weighted_sum
@@ -103,27 +106,40 @@ def classify_documents(pages: DataFrame, doc: str, page: str, text: str) -> Data
 def pack(df: DataFrame, keys: list[str], order: list[str], size: Column, most_size: int, most_items: int) -> DataFrame:
     """Pack the items of each group, in order, into units of bounded size and number; an item never splits.
 
-    An item larger than the bound has a unit of its own. A fold over the ordered items of a group, as a built-in
-    higher-order function: groups are documents, whose number of items is small.
-    Returns keys, ``unit`` (from 1), ``items``, ``total`` and ``first`` (the order of its first item).
+    An item larger than the bound has a unit of its own. Items of a group stream through its task in order, and only
+    the open unit's counts are held, so a group of any size needs no memory. A null key is a group.
+    Returns keys, ``unit`` (from 1), ``items``, ``total`` and ``first`` (the place of its first item in the group, from 0).
     """
-    item = F.struct(*[F.col(c) for c in order], size.cast("long").alias("__size"))
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    numbered = F.transform("__items", lambda x, i: F.struct(i.alias("at"), x["__size"].alias("size")))
-    start = F.expr("struct(0 as unit, 0L as items, 0L as total, cast(array() as array<struct<unit:int,at:int,size:bigint>>) as done)")
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["items"] > 0) & (acc["items"] < most_items) & (acc["total"] + x["size"] <= most_size)
-        unit = F.when(fits, acc["unit"]).otherwise(acc["unit"] + 1).cast("int")
-        mark = F.struct(unit.alias("unit"), x["at"].cast("int").alias("at"), x["size"].alias("size"))
-        return F.struct(
-            unit.alias("unit"), F.when(fits, acc["items"] + 1).otherwise(F.lit(1)).cast("long").alias("items"),
-            F.when(fits, acc["total"] + x["size"]).otherwise(x["size"]).cast("long").alias("total"), F.concat(acc["done"], F.array(mark)).alias("done"),
-        )
-
-    folded = F.aggregate(numbered, start, step, lambda acc: acc["done"])
-    each = rows.select(*keys, F.explode(folded).alias("x"))
-    return each.groupBy(*keys, F.col("x.unit").alias("unit")).agg(F.count("*").alias("items"), F.sum("x.size").alias("total"), F.min("x.at").alias("first"))
+    rows = df.select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.coalesce(size.cast("long"), F.lit(0)).alias("__size"))
+    places = [f"__o{i}" for i in range(len(order))]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *places).select(*keys, "__size")
+    made = ["unit", "items", "total", "first"]
+    kinds = [to_arrow_type(rows.schema[k].dataType) for k in keys]
+
+    def run(batches):
+        now, unit, items, total, at, first = None, 0, 0, 0, 0, 0
+        for batch in batches:
+            done = []
+            sizes = batch.column(len(keys)).to_pylist()
+            for key, n in zip(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True), sizes, strict=True):
+                if key != now or items >= most_items or total + n > most_size:
+                    if items:
+                        done.append((*now, unit, items, total, first))
+                    if key != now:
+                        now, unit, at = key, 0, 0
+                    unit, items, total, first = unit + 1, 0, 0, at
+                items, total, at = items + 1, total + n, at + 1
+            if done:
+                yield packed(done)
+        if items:
+            yield packed([(*now, unit, items, total, first)])
+
+    def packed(done: list[tuple]) -> pa.RecordBatch:
+        types = [*kinds, pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=[*keys, *made])
+
+    fields = [*[rows.schema[k] for k in keys], StructField("unit", IntegerType()), StructField("items", LongType()), StructField("total", LongType()), StructField("first", IntegerType())]
+    return rows.mapInArrow(run, StructType(fields))
 
 
 def split_units(units: DataFrame, items: str) -> DataFrame:

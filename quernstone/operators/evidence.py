@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,11 +127,17 @@ def fold_compatible(facts: DataFrame, exact: list[str], nullable: list[str], ran
     return facts.groupBy("report_id", *exact).applyInPandas(fold, facts.schema)
 
 
-def run_hook(batches: DataFrame, hook, schema: str) -> DataFrame:
-    """Run an injected executor (a model or an OCR engine) over rows: ``hook(pandas frame) -> pandas frame``."""
+def not_extracted(local: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Facts read from the lines themselves that no extracted fact stands for.
+
+    Both have ``fact_id, report_id, item_name, normalized_name, result_text`` and ``evidence`` (page number and quote). One stands for another when
+    name (or normalised name), result and a piece of evidence are equal once spaces and punctuation are gone.
+    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield hook(f)
+    def keys(df: DataFrame, *more: str) -> DataFrame:
+        names = F.array_distinct(F.array(F.concat(F.lit("a"), compact(F.col("item_name"))), F.concat(F.lit("b"), compact(F.col("normalized_name")))))
+        rows = df.select("report_id", *more, compact(F.col("result_text")).alias("r"), names.alias("names"), F.explode("evidence").alias("e"))
+        return rows.select("report_id", *more, "r", F.explode("names").alias("n"), F.col("e.pageNumber").alias("p"), compact(F.col("e.quote")).alias("q"))
 
-    return batches.mapInPandas(run, schema)
+    met = keys(local, "fact_id").join(keys(extracted), ["report_id", "r", "n", "p", "q"], "left_semi")
+    return local.join(met.select("fact_id"), "fact_id", "left_anti")

@@ -1,6 +1,7 @@
-"""Order-dependent folds over the lines of a page or a document, in grouped-map functions.
+"""Order-dependent folds over the lines of a page or a document.
 
-Each group is a page or a document, whose lines are few; groups are many, so Spark deals them over all executors.
+Those that need more than a window are grouped-map functions. Each group is a page or a document, whose lines are few; groups
+are many, so Spark deals them over all executors.
 """
 
 from __future__ import annotations
@@ -9,6 +10,13 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quernstone.functions import line_rules as L
+from quernstone.functions.text import table_cells
+
+from .screening import education_pages, label_of
 
 #: Share of the smaller height by which rows overlap, and of the width by which cells of a row may.
 ROW_OVERLAP, CELL_OVERLAP = 0.55, 0.25
@@ -106,28 +114,44 @@ def fill_budget(lines: DataFrame, doc: str = "doc_id", budget: int = 8000) -> Da
 
 
 def carry_context(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The section and table header that each line stands under, across pages.
+    """The section and table header that each line stands under, across pages: ``doc, page, line_no, section, table_header``.
 
     Lines have ``page, line_no, text, boundary`` (``section``, ``table_header`` or null) and ``candidate`` (a result row). A section ends the
     header before it. The next page inherits both only when the page before it ended with a result row and its own first
-    line is one. The state runs over pages, so this is a fold over a document.
+    line is one. So pages form runs, found on a row for each page; within a run context is the last boundary so far.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        section = header = None
-        last_page, last_candidate = None, False
-        out = []
-        for r in pdf.sort_values(["page", "line_no"]).itertuples():
-            if r.page != last_page:
-                follows = last_page is not None and r.page == last_page + 1 and last_candidate and r.candidate
-                section, header = (section, header) if follows else (None, None)
-            if r.boundary == "section":
-                section, header = r.text, None
-            elif r.boundary == "table_header":
-                header = r.text
-            out.append([getattr(r, doc), r.page, r.line_no, section, header])
-            last_page, last_candidate = r.page, bool(r.candidate)
-        return pd.DataFrame(out, columns=[doc, "page", "line_no", "section", "table_header"])
-
-    return lines.groupBy(doc).applyInPandas(fold, f"{doc} {kinds[doc]}, page {kinds['page']}, line_no {kinds['line_no']}, section string, table_header string")
+    ends = lines.groupBy(doc, "page").agg(F.min_by("candidate", "line_no").alias("__first"), F.max_by("candidate", "line_no").alias("__last"))
+    pages = Window.partitionBy(doc).orderBy("page")
+    follows = (F.lag("page").over(pages) == F.col("page") - 1) & F.lag("__last").over(pages) & F.col("__first")
+    ends = ends.withColumn("__new", (~F.coalesce(follows, F.lit(False))).cast("int"))
+    ends = ends.select(F.col(doc).alias("__d"), F.col("page").alias("__p"), F.sum("__new").over(pages).alias("__run"))
+    rows = lines.join(ends, (F.col(doc) == F.col("__d")) & (F.col("page") == F.col("__p")))
+    so_far = lambda *keys: Window.partitionBy(*keys).orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_section, is_header = (F.coalesce(F.col("boundary") == b, F.lit(False)) for b in ("section", "table_header"))
+    rows = rows.withColumn("section", F.last(F.when(is_section, F.col("text")), ignorenulls=True).over(so_far(doc, "__run")))
+    rows = rows.withColumn("__part", F.sum(is_section.cast("int")).over(so_far(doc, "__run")))
+    header = F.last(F.when(is_header, F.col("text")), ignorenulls=True).over(so_far(doc, "__run", "__part"))
+    return rows.select(doc, "page", "line_no", "section", header.alias("table_header"))
+
+
+def without_education(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Lines without general advice, which may run over several pages, and without what follows a heading of earlier results on a page.
+
+    Lines have ``page, line_no, text, boundary``. A page of advice starts a run (``screening.education_pages``), of which only its
+    headings among the first ten lines stay; a page with a table header, or with words among its first twelve lines that
+    begin a report or a summary, ends it. The state is the last such event so far, on a row for each page.
+    """
+    at = F.row_number().over(Window.partitionBy(doc, "page").orderBy("line_no"))
+    t = F.trim("text")
+    bare = F.trim(F.regexp_replace(F.col("text"), r"^【\s*|\s*】$", ""))
+    again = F.coalesce(F.col("boundary") == "table_header", F.lit(False)) | t.rlike(L.CONTENT_RESTART) | label_of(F.get(table_cells(F.col("text")), F.lit(0))).rlike(L.SUMMARY_HEADING)
+    rows = lines.withColumn("__at", at)
+    starts = education_pages(lines, [doc, "page"]).withColumn("__starts", F.lit(True))
+    pages = rows.groupBy(doc, "page").agg(F.bool_or((F.col("__at") <= 12) & again).alias("__again"), F.min(F.when(bare.rlike(L.HISTORICAL_SECTION), F.col("__at"))).alias("__old"))
+    pages = pages.join(starts, [doc, "page"], "left").withColumn("__starts", F.coalesce("__starts", F.lit(False)))
+    event = F.when(F.col("__starts"), True).when(F.col("__again"), False)
+    state = F.last(event, ignorenulls=True).over(Window.partitionBy(doc).orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pages = pages.withColumn("__advice", F.coalesce(state, F.lit(False)))
+    advice = F.col("__starts") & (F.col("__at") <= 10) & t.rlike(L.EDUCATION_HEADING)
+    keep = F.when(F.col("__advice"), advice).otherwise(F.col("__old").isNull() | (F.col("__at") < F.col("__old")))
+    return rows.join(pages, [doc, "page"]).filter(keep).select(*lines.columns)

@@ -89,3 +89,39 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str], values: lis
     """The values of the newest row of each key, by one hash aggregate instead of a sort."""
     best = F.max_by(F.struct(*values), F.struct(*order)).alias("__best")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__best.{v}").alias(v) for v in values])
+
+
+def with_page_text(reports: DataFrame, pages: DataFrame, query: str | None, report_id: str = "report_id", text: str = "lines_json") -> DataFrame:
+    """Reports with a page whose recognised text holds the query, whatever the case of Latin letters; a blank query keeps all.
+
+    A semi join on the pages that match, so a report with many such pages is there once.
+    """
+    q = (query or "").strip()
+    if not q:
+        return reports
+    hits = pages.filter(F.contains(F.lower(text), F.lit(q.lower()))).select(F.col(report_id).alias("__r"))
+    return reports.join(hits, F.col("id") == F.col("__r"), "left_semi")
+
+
+def with_keyword(df: DataFrame, columns: list[str], query: str | None) -> DataFrame:
+    """Rows of which any column holds the keyword, whatever the case; a blank keyword keeps all."""
+    q = (query or "").strip().lower()
+    return df.filter(reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(q)) for c in columns])) if q else df
+
+
+def with_attention(series: DataFrame, group: str = "all", attention: str = "all", level: str = "level") -> DataFrame:
+    """Series of a group by the attention that they need: ``attention`` (any), ``unflagged`` (none), or one level."""
+    if group != "all":
+        series = series.filter(F.col("group") == group)
+    some = F.col(level).isNotNull() & (F.col(level) != "none")
+    return series if attention == "all" else series.filter(some if attention == "attention" else ~some if attention == "unflagged" else F.col(level) == attention)
+
+
+def is_filled_list(json: Column) -> Column:
+    """Whether a JSON array has an element; null and malformed JSON have none."""
+    return F.coalesce(F.json_array_length(json), F.lit(0)) > 0
+
+
+def page_order(page: Column) -> Column:
+    """A page number to sort by; rows without one come last."""
+    return F.coalesce(page, F.lit(999_999))

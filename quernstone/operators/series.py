@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,7 +115,12 @@ def infer_if_unique(df: DataFrame, keys: list[str], column: str, name: str) -> D
 
 
 def scaled(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Min-max scale the points of each series; a flat series lies at one half."""
-    w = Window.partitionBy(*keys)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(name, F.when(hi == lo, 0.5).otherwise((F.col(value) - lo) / (hi - lo)))
+    """Min-max scale the points of each series; a flat series lies at one half.
+
+    Ranges are an aggregate and joined, so a large series isn't one task's window.
+    """
+    span = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    out = df.join(span, reduce(lambda a, b: a & b, on))
+    height = F.when(F.col("__hi") == F.col("__lo"), 0.5).otherwise((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
+    return out.withColumn(name, height).drop("__lo", "__hi", *[f"__k{i}" for i in range(len(keys))])

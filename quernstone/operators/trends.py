@@ -2,48 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.functions.numeric import attention
 
+from .listing import top_per_group
 from .series import drop_repeated_points
 
 
 def series_summary(points: DataFrame, keys: list[str], time: str, value: str, tie: str) -> DataFrame:
     """Count, first and last time, latest and previous value, change, and range of each series.
 
-    One hash aggregate for the counts and the range. The two newest points are found for each (series, day) first and
-    then for the series, so a series with a third of all points is split by its days. Points without a value
-    are left out.
+    Counts and range are one hash aggregate. The two newest points are a ranking, of which each task passes on two rows
+    for each series, so a series with a third of all points is no burden on any. Points without a value are left out.
     """
-    order = F.struct(F.col(time), F.col(tie))
     used = points.filter(F.col(value).isNotNull())
-    day = used.withColumn("__day", F.to_date(time)).groupBy(*keys, "__day").agg(
-        F.count("*").alias("n"),
-        F.min(time).alias("first_ts"),
-        F.max(time).alias("last_ts"),
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
-        F.slice(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(value).alias("v"))), asc=False), 1, 2).alias("__top"),
-    )
-    out = day.groupBy(*keys).agg(
-        F.sum("n").alias("point_count"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-        F.min("min_value").alias("min_value"),
-        F.max("max_value").alias("max_value"),
-        F.slice(F.sort_array(F.flatten(F.collect_list("__top")), asc=False), 1, 2).alias("__top"),
+    stats = used.groupBy(*keys).agg(
+        F.count("*").alias("point_count"), F.min(time).alias("first_ts"), F.max(time).alias("last_ts"), F.min(value).alias("min_value"), F.max(value).alias("max_value")
     )
-    latest, previous = F.get("__top", F.lit(0)).getField("v"), F.get("__top", F.lit(1)).getField("v")
-    return out.select(
+    newest = _newest_two(used, keys, [F.col(time), F.col(tie)], {"value": F.col(value)})
+    latest, previous = F.col("new.value"), F.col("old.value")
+    return _beside(stats, newest, keys).select(
         *keys, "point_count", "first_ts", "last_ts",
         latest.alias("latest_value"), previous.alias("previous_value"), F.round(latest - previous, 6).alias("delta"),
         "min_value", "max_value",
     )
 
 
+def _newest_two(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """``new`` and ``old`` of each group: structs of values of its last and last but one row."""
+    made = df.select(*keys, F.struct(*[v.alias(c) for c, v in values.items()]).alias("__v"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("__o"))
+    top = top_per_group(made, keys, [F.col("__o").desc()], 2, rank="__r")
+    return top.groupBy(*keys).agg(F.max(F.when(F.col("__r") == 1, F.col("__v"))).alias("new"), F.max(F.when(F.col("__r") == 2, F.col("__v"))).alias("old"))
+
+
+def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of two tables of one row for each key; null keys meet too."""
+    other = b.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return a.join(other, reduce(lambda x, y: x & y, on)).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def trend_points(observations: DataFrame, normalizations: DataFrame, reports: DataFrame) -> DataFrame:
     """Observations with their canonical key, value and unit, their report's date, and why one is left out of trends.
 
@@ -73,16 +76,16 @@ def trend_series(points: DataFrame, same: Column | None = None, most_left_out: i
     same = same if same is not None else (F.substring("p.sort_date", 1, 10) == F.substring("o.sort_date", 1, 10)) & (F.abs(F.col("p.value") - F.col("o.value")) < 1e-9)
     kept = drop_repeated_points(used.withColumn("__rank", rank), keys, "__rank", same)
     a = attention(F.col("value"), F.col("reference_low"), F.col("reference_high"), F.col("abnormal_flag"))
-    point = F.struct("sort_date", "__rank", "value", a.alias("attention"))
     out = kept.groupBy(*keys).agg(
         F.count("*").alias("point_count"), F.min("sort_date").alias("first_date"), F.max("sort_date").alias("last_date"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.slice(F.sort_array(F.collect_list(point), asc=False), 1, 2).alias("__top"), F.max_by("series_name", F.struct("sort_date", "__rank")).alias("name"),
+        F.max_by("series_name", F.struct("sort_date", "__rank")).alias("name"),
         F.slice(F.array_sort(F.collect_set("item_name")), 1, most_names).alias("names"),
     )
-    new, old = F.get("__top", F.lit(0)), F.get("__top", F.lit(1))
+    out = _beside(out, _newest_two(kept, keys, [F.col("sort_date"), F.col("__rank")], {"value": F.col("value"), "level": a["level"], "boundary": a["boundary"]}), keys)
+    new, old = F.col("new"), F.col("old")
     out = out.select(
         *keys, "name", "point_count", "first_date", "last_date", new["value"].alias("latest_value"), old["value"].alias("previous_value"), F.round(new["value"] - old["value"], 6).alias("delta"),
-        "min_value", "max_value", "names", new["attention"]["level"].alias("level"), new["attention"]["boundary"].alias("boundary"),
+        "min_value", "max_value", "names", new["level"].alias("level"), new["boundary"].alias("boundary"),
     )
     lost = points.filter("left_out is not null")
     newest = Window.partitionBy("member_id", "item_name").orderBy(F.col("sort_date").desc(), "id")

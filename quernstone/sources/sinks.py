@@ -19,7 +19,7 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The current version of a table, or None before the first."""
     try:
         versions = spark.read.schema("version long, folder string").json(f"{path}/_versions")
-        last = versions.orderBy(F.col("version").desc()).first()
+        last = versions.orderBy(F.col("version").desc(), "folder").first()
     except Exception as e:  # no such folder yet: every store has its own wording
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return None
@@ -28,7 +28,11 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def publish(df: DataFrame, path: str) -> int:
-    """Write a table as its next version and make that current; returns the version."""
+    """Write a table as its next version and make that current; returns the version.
+
+    Two writers that take the same number at the same time don't hide each other: the one whose folder sorts first keeps it,
+    the other gets an error and may try again on the new version.
+    """
     spark = df.sparkSession
     folder = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{folder}")
@@ -39,6 +43,9 @@ def publish(df: DataFrame, path: str) -> int:
             raise
         version = 1
     spark.createDataFrame([(version, folder)], "version long, folder string").write.mode("append").json(f"{path}/_versions")
+    first = spark.read.schema("version long, folder string").json(f"{path}/_versions").filter(F.col("version") == version).agg(F.min("folder")).first()[0]
+    if first != folder:
+        raise RuntimeError(f"another writer published version {version} of {path}")
     return version
 
 

@@ -90,8 +90,8 @@ def trend_series(points: DataFrame, same: Column | None = None, most_left_out: i
     lost = points.filter("left_out is not null")
     newest = Window.partitionBy("member_id", "item_name").orderBy(F.col("sort_date").desc(), "id")
     lost = lost.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= most_left_out)
-    by_name = lost.groupBy("member_id", F.col("item_name").alias("__n")).agg(F.array_sort(F.collect_list(F.struct("sort_date", "id", "left_out"))).alias("left_out"))
-    return out.join(by_name, (out["member_id"] == by_name["member_id"]) & (F.col("name") == F.col("__n")), "left").drop(by_name["member_id"]).drop("__n")
+    by_name = lost.groupBy(F.col("member_id").alias("__m"), F.col("item_name").alias("__n")).agg(F.array_sort(F.collect_list(F.struct("sort_date", "id", "left_out"))).alias("left_out"))
+    return out.join(by_name, (F.col("member_id") == F.col("__m")) & (F.col("name") == F.col("__n")), "left").drop("__m", "__n")
 
 
 def in_shown_order(series: DataFrame) -> DataFrame:

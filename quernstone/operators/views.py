@@ -38,14 +38,14 @@ def unit_labels(units: DataFrame) -> DataFrame:
 
 
 def job_rollup(attempts: DataFrame, units: DataFrame) -> DataFrame:
-    """Extraction of each report in one row: attempts, tokens, seconds, units by state, pages done of all.
+    """Extraction of each report in one row: attempts, tokens, seconds, units by state, pages done of all: a page is, once a unit with it is.
 
     ``attempts``: ``report_id, unit_id, input_tokens, output_tokens, elapsed_ms``; ``units``: ``report_id, unit_id, status, pages`` (array).
     """
     a = attempts.groupBy("report_id").agg(F.count("*").alias("attempts"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.round(F.coalesce(F.sum("elapsed_ms"), F.lit(0)) / 1000, 3).alias("seconds"))
     s = F.col("status")
     u = units.groupBy("report_id").agg(F.count_if(s == "done").alias("done"), F.count_if(s == "failed").alias("failed"), F.count_if(s.isin("queued", "processing")).alias("open"))
-    p = units.select("report_id", (s == "done").alias("d"), F.explode("pages").alias("page")).groupBy("report_id", "page").agg(F.bool_and("d").alias("d"))
+    p = units.select("report_id", (s == "done").alias("d"), F.explode("pages").alias("page")).groupBy("report_id", "page").agg(F.bool_or("d").alias("d"))
     p = p.groupBy("report_id").agg(F.count_if("d").alias("pages_done"), F.count("*").alias("pages"))
     return u.join(p, "report_id", "left").join(a, "report_id", "left").fillna(0, ["attempts", "input_tokens", "output_tokens", "seconds", "pages", "pages_done"])
 

@@ -17,7 +17,7 @@ def test_rollups(spark):
     assert rows(views.page_ranges(u)) == [("u1", "1-3、5"), ("u2", "7")]
     a = spark.createDataFrame([("r", "u1", 10, 5, 1500), ("r", "u1", None, 1, 500)], "report_id string, unit_id string, input_tokens int, output_tokens int, elapsed_ms int")
     units = spark.createDataFrame([("r", "u1", "done", [1, 2]), ("r", "u2", "failed", [2, 3]), ("s", "u3", "queued", [1])], "report_id string, unit_id string, status string, pages array<int>")
-    assert rows(views.job_rollup(a, units), "report_id", "done", "failed", "open", "pages_done", "pages", "attempts", "input_tokens", "seconds") == [("r", 1, 1, 0, 1, 3, 2, 10, 2.0), ("s", 0, 0, 1, 0, 1, 0, 0, 0.0)]
+    assert rows(views.job_rollup(a, units), "report_id", "done", "failed", "open", "pages_done", "pages", "attempts", "input_tokens", "seconds") == [("r", 1, 1, 0, 2, 3, 2, 10, 2.0), ("s", 0, 0, 1, 0, 1, 0, 0, 0.0)]
     empty = spark.createDataFrame([], "attempts int, status string, input_tokens int, output_tokens int, elapsed_ms int")
     assert rows(views.usage_summary(empty)) == [(0, 0, 0, 0, 0.0)]
     i = spark.createDataFrame([("a", 1, "u", "s1", "2024"), ("a", 2, None, "s0", "2025")], "name string, n int, unit string, section_name string, latest string")

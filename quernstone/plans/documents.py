@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from quernstone.functions.rules import finish_classification, scores_by_kind
 from quernstone.functions.text import REDACTIONS, redact
 from quernstone.operators.documents import drop_repeated_lines, line_frequency, pack, quality_ladder, text_lines
-from quernstone.operators.duplicates import exact_groups, line_set_pairs, overlapping_pairs
+from quernstone.operators.duplicates import exact_groups, line_set_pairs
 from quernstone.sources.tables import spread
 
 from .tables import table
 
-#: Documents that share a line at most before it is boilerplate.
-MOST = 20
 #: Lines of a page where whole texts are cut into pages.
 PAGE = 40
 
@@ -28,10 +26,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share most of their informative lines."""
-    lines = _lines(spark, sf_dir).select("doc_id", F.sha2("line", 256).alias("key"))
-    pairs = overlapping_pairs(lines, "doc_id", "key", MOST).filter("shared >= 3 and of_min >= 0.6")
-    return pairs.select("a", "b", "shared", F.round("of_min", 4).alias("of_min"), F.round("of_max", 4).alias("of_max"))
+    """Documents that share most of their lines, however common: pairs of the smallest ids with their line sets."""
+    return near_duplicates_by_all_lines(spark, sf_dir).filter("not same").drop("same")
 
 
 def near_duplicates_by_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +119,13 @@ def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(turns, ["conv_id"], ["turn"], F.length(F.coalesce("text", F.lit(""))), 1500, 3)
 
 
+def packing_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source, in the order of their ids, in units of 60,000 characters and 40 documents at most."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    out = pack(docs, ["source"], ["doc_id"], F.length(F.coalesce("text", F.lit(""))), 60_000, 40)
+    return out.select(F.coalesce("source", F.lit("")).alias("source"), "unit", "items", "total", "first")
+
+
 def html_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     for pattern, mark in ((r"<(script|style)[^>]*>[^<]*</(script|style)>", ""), (r"<!--[^-]*-->", ""), (r"<(p|br|li|h1|div|/p|/li|/h1|/div)[^>]*>", "\n"), (r"<[^>]*>", "")):
@@ -135,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_duplicates, near_duplicates, near_duplicates_by_all_lines, line_document_frequency, repeated_line_removal, repeated_line_removal_in_documents, pii_redaction, identifier_extraction, content_classifier,
-        quality_score_ladder, dictionary_match_argmax, greedy_packing, html_text_lines,
+        quality_score_ladder, dictionary_match_argmax, greedy_packing, packing_of_documents, html_text_lines,
     )
 }
 
@@ -159,8 +162,8 @@ SQL = {
     "exact_duplicates": "select sha256(coalesce(text, '')) as content, count(*) as n, min(doc_id) as first from documents group by 1 having count(*) >= 2",
     "near_duplicates": f"""
         with {_LINES}, p as (select distinct doc_id, sha256(line) as k from l where line <> ''),
-        f as (select k, count(*) as n from p group by 1),
-        i as (select doc_id, k from p join f using (k) where n <= {MOST}), s as (select doc_id, count(*) as n from i group by 1),
+        s as (select doc_id, count(*) as n, list_sort(list(k)) as ks from p group by 1), r as (select *, min(doc_id) over (partition by ks) as rep from s),
+        i as (select doc_id, k from p join r using (doc_id) where doc_id = rep),
         j as (select x.doc_id as a, y.doc_id as b, count(*) as shared from i x join i y on x.k = y.k and x.doc_id < y.doc_id group by 1, 2)
         select a, b, shared, round(shared / least(s.n, t.n), 4) as of_min, round(shared / greatest(s.n, t.n), 4) as of_max
         from j join s on s.doc_id = a join s t on t.doc_id = b where shared >= 3 and shared / least(s.n, t.n) >= 0.6
@@ -236,6 +239,15 @@ SQL = {
         s as (select p_partkey, key, 55 + bonus + case when p_type = kind then 25 else -15 end + case when p_size < 20 then 15 else 0 end as score from w join a using (alias))
         select p_partkey, key, score from s qualify row_number() over (partition by p_partkey order by score desc, key) = 1
     """,
+    "packing_of_documents": """
+        with recursive t as (select coalesce(source, '') as s, length(coalesce(text, '')) as n, row_number() over (partition by source order by doc_id) - 1 as ord from documents),
+        p(s, ord, unit, items, total, n) as (
+          select s, ord, 1, 1, n, n from t where ord = 0
+          union all
+          select t.s, t.ord, case when items < 40 and total + t.n <= 60000 then unit else unit + 1 end, case when items < 40 and total + t.n <= 60000 then items + 1 else 1 end, case when items < 40 and total + t.n <= 60000 then total + t.n else t.n end, t.n
+          from p join t on t.s = p.s and t.ord = p.ord + 1)
+        select s as source, unit, count(*) as items, cast(sum(n) as bigint) as total, cast(min(ord) as integer) as first from p group by 1, 2
+    """,
     "greedy_packing": """
         with recursive t as (select conv_id, length(coalesce(text, '')) as n, row_number() over (partition by conv_id order by turn) - 1 as ord from conversations),
         p(conv_id, ord, unit, items, total, n) as (

@@ -13,6 +13,7 @@ from quernstone.functions import line_rules as L
 from quernstone.functions import numeric as N
 from quernstone.functions import text as T
 from quernstone.functions import units as U
+from quernstone.functions.report_rules import IDENTIFIER_LABELS
 from quernstone.functions.text import _NARROW, _WIDE
 from quernstone.operators import screening as S
 from quernstone.operators.dictionary import compact_alias
@@ -171,6 +172,15 @@ def line_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def identifiers_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Business identifiers behind their labels, of three characters or more."""
+    i = F.col("line_id")
+    label = F.get(F.array(*[F.lit(x) for x in IDENTIFIER_LABELS]), (i % len(IDENTIFIER_LABELS)).cast("int"))
+    said = F.concat(F.col("text"), F.lit("; "), label, F.when(i % 2 == 0, "： ").otherwise(" #"), F.when(i % 3 == 0, "A1").otherwise(F.concat(F.lit("A-"), i)))
+    x = lines(spark, sf_dir).select("line_id", said.alias("t"))
+    return x.select("line_id", *[F.coalesce(T.labelled_value(F.col("t"), x), F.lit("")).alias(f"id{n}") for n, x in enumerate(IDENTIFIER_LABELS[:3])])
+
+
 def pages_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of reports that have to be read as images, for their little text or their large pictures."""
     x = lines(spark, sf_dir).groupBy("report_id", "page_number").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("value").alias("v"))
@@ -190,7 +200,7 @@ _MESSAGES = ("OCR worker started", "AI_extract done", "Upload finished", "backup
 QUERIES = {
     f.__name__: f
     for f in (
-        text_keys, name_keys, similar_lines, numbers_in_text, token_budgets, sizes_in_text, dates_in_text, units_of_values, line_roles, pages_to_read, log_pages,
+        text_keys, name_keys, similar_lines, numbers_in_text, token_budgets, sizes_in_text, dates_in_text, units_of_values, line_roles, identifiers_in_lines, pages_to_read, log_pages,
     )
 }
 
@@ -314,6 +324,9 @@ SQL = {
           {_has('s', r'^(?:第?\d+页(?:共\d+页)?|\d+/\d+页?|-?\d+-?|本报告仅供.*|仅供临床参考.*|打印时间.*|打印日期.*|以下空白)$')} or not {_has('s', r'[\p{L}\p{N}]')} or (line_id % 3 = 0 and length(s) <= 2) as noise
         from (select *, {_NOISE} as s from lines)
     """,
+    "identifiers_in_lines": f"""
+        with {LINES} select line_id, {", ".join(f"case when line_id % {len(IDENTIFIER_LABELS)} = {n} and line_id % 3 > 0 then 'A-' || line_id else '' end as id{n}" for n in range(3))} from lines
+    """,
     "pages_to_read": f"""
         with {LINES}, p as (select report_id, page_number, count(*) * 4 as n, sum(length(text)) * 10 as c, max(value) / 1000 as v from lines group by 1, 2)
         select report_id, page_number, n < 8 or c < 300 or v >= 0.18 or (v >= 0.06 and c < 1500) as read from p

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators.aggregates import with_counts
 from quernstone.operators.listing import keyset_page, latest_per_key, list_filter, top_per_group, visible_to
+from quernstone.operators.series import renumber
 
 from .tables import table
 
@@ -91,10 +92,10 @@ def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lease_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order in which a queue's jobs are claimed, for each queue: by type, time and id."""
+    """The place of each job in its queue's order: by type, time and id."""
     rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
     jobs = table(spark, sf_dir, "events").withColumn("rank", rank)
-    return top_per_group(jobs, ["user_id"], [F.col("rank"), F.col("ts"), F.col("event_id")], 5, rank="position").select("user_id", "position", "event_id", "event_type")
+    return renumber(jobs, ["user_id"], ["rank", "ts", "event_id"], "position").select("user_id", "position", "event_id", "event_type")
 
 
 QUERIES = {
@@ -159,6 +160,6 @@ SQL = {
     "lease_claim_order": """
         select user_id, cast(row_number() over (partition by user_id order by
                  case event_type when 'error' then 0 when 'purchase' then 1 else 2 end, ts, event_id) as integer) as position, event_id, event_type
-        from events qualify position <= 5
+        from events
     """,
 }

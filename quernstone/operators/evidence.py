@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from quernstone.functions.text import narrow
@@ -108,23 +109,35 @@ def fold_compatible(facts: DataFrame, exact: list[str], nullable: list[str], ran
     """Greedy de-duplication within a report: rows with equal exact keys are one if their nullable keys don't contradict.
 
     A null agrees with anything, so being the same isn't transitive and the order decides: rows are taken by ``rank``, and each
-    joins the first kept row that it agrees with, whose missing values it fills. Groups are the facts of one report
-    with equal exact keys, a few rows each.
+    joins the first kept row that it agrees with, whose missing values it fills. Groups stream through their task in order,
+    many to a batch; only the kept rows of the one at hand are held.
     """
-    columns = facts.columns
+    keys = ["report_id", *exact]
+    rows = facts.repartition(*keys).sortWithinPartitions(*keys, *rank)
+    schema = to_arrow_schema(facts.schema)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
+        now: tuple | None = None
         kept: list[dict] = []
-        for row in pdf.sort_values(rank, kind="stable").to_dict("records"):
-            for k in kept:
-                if all(pd.isna(row[c]) or pd.isna(k[c]) or row[c] == k[c] for c in nullable):
-                    k.update({c: v for c, v in row.items() if pd.isna(k[c]) and not pd.isna(v)})
-                    break
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=columns)
-
-    return facts.groupBy("report_id", *exact).applyInPandas(fold, facts.schema)
+        for batch in batches:
+            done: list[dict] = []
+            for row in batch.to_pylist():
+                key = tuple(row[c] for c in keys)
+                if key != now:
+                    done += kept
+                    now, kept = key, []
+                for k in kept:
+                    if all(row[c] is None or k[c] is None or row[c] == k[c] for c in nullable):
+                        k.update({c: v for c, v in row.items() if k[c] is None})
+                        break
+                else:
+                    kept.append(row)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if kept:
+            yield pa.RecordBatch.from_pylist(kept, schema=schema)
+
+    return rows.mapInArrow(run, facts.schema)
 
 
 def not_extracted(local: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ BINS = 1 << BIN_BITS
 #: Hash ranges of ids by which documents without a candidate pair are left out.
 SIEVE = 1 << 19
 #: Members of a bucket that one step compares with as many others.
-BLOCK = 1024
+BLOCK = 512
 
 
 def text_shingles(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:

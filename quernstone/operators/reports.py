@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.functions.dates import follow_up_date
+from quernstone.functions.text import content_key
 
 # Titles that say nothing of a report.
 GENERIC_TITLES = ("健康报告", "检查报告", "检验报告", "体检报告", "医疗报告", "报告", "报告单", "未命名报告")
@@ -28,6 +29,13 @@ def is_generic_title(title: Column) -> Column:
     return (t == "") | t.isin(*GENERIC_TITLES)
 
 
+def similar_title(a: Column, b: Column, least: int = 8) -> Column:
+    """Equal titles, or one within the other when both have ``least`` characters or more; titles that say nothing are like none."""
+    x, y = content_key(a), content_key(b)
+    within = (F.least(F.length(x), F.length(y)) >= least) & (F.contains(x, y) | F.contains(y, x))
+    return (x != "") & ~is_generic_title(a) & ~is_generic_title(b) & ((x == y) | within)
+
+
 def report_title(title: Column, report_type: Column, subtype: Column, body_part: Column, department: Column, section: Column, observation: Column, ward: Column, medication: Column, vaccine: Column) -> Column:
     """A title that says something: the report's own, or one made for its type; 80 characters at most."""
     join = lambda *parts: F.concat_ws("", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

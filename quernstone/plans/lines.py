@@ -18,6 +18,7 @@ from quernstone.functions.text import _NARROW, _WIDE
 from quernstone.operators import screening as S
 from quernstone.operators.dictionary import compact_alias
 from quernstone.operators.documents import is_noise
+from quernstone.operators.reports import similar_title
 from quernstone.operators.views import abbreviated, log_kind
 
 from .tables import table
@@ -101,7 +102,7 @@ def similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lines(spark, sf_dir)
     before = x.select((F.col("line_id") + len(PHRASES)).alias("line_id"), F.col("text").alias("was"))
     a, b = F.col("text"), F.col("was")
-    return x.join(before, "line_id").select("line_id", T.similar_text(a, b, 6, 5).alias("alike"), T.same_institution(a, b).alias("institution"))
+    return x.join(before, "line_id").select("line_id", T.similar_text(a, b, 6, 5).alias("alike"), T.same_institution(a, b).alias("institution"), similar_title(a, b).alias("title"))
 
 
 def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +285,8 @@ SQL = {
     "similar_lines": f"""
         with {LINES}, p as (select a.line_id, {_CONTENT('a.text')} as x, {_CONTENT('b.text')} as y from lines a join lines b on b.line_id + {len(PHRASES)} = a.line_id)
         select line_id, length(x) >= 6 and length(y) >= 6 and (x = y or contains(x, substring(y, 1, 5)) or contains(y, substring(x, 1, 5))) as alike,
-          x <> '' and y <> '' and (x = y or (least(length(x), length(y)) >= 6 and least(length(x), length(y)) / greatest(length(x), length(y)) >= 0.55 and (contains(x, y) or contains(y, x)))) as institution
+          x <> '' and y <> '' and (x = y or (least(length(x), length(y)) >= 6 and least(length(x), length(y)) / greatest(length(x), length(y)) >= 0.55 and (contains(x, y) or contains(y, x)))) as institution,
+          x <> '' and (x = y or (least(length(x), length(y)) >= 8 and (contains(x, y) or contains(y, x)))) as title
         from p
     """,
     "numbers_in_text": f"""

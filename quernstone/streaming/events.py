@@ -1,11 +1,11 @@
-"""Structured Streaming over event logs: status changes by keyed state, late data by watermarks, and a polled queue.
+"""Structured Streaming over event logs: status changes by keyed state, late data by watermarks, and sessions.
 
 The archive that these operators come from polls a table; the windowed aggregates here go beyond it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +53,3 @@ def status_transitions(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(
         step, "user_id long, event_id long, previous string, status string", "last string", "append", GroupStateTimeout.NoTimeout
     )
-
-
-def process_queue(jobs: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, every: str = "2 seconds"):
-    """Hand each micro-batch of jobs to ``work(batch, batch_id)``; a batch that failed is handed out again with its id."""
-    writer = jobs.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -39,11 +39,3 @@ def test_windows_and_sessions(spark, tmp_path):
     assert sum(r.n for r in spark.table("sliding").collect()) == 120
     drain(events.sessions(events.read_events(spark, str(tmp_path / "in")), "20 minutes"), "sessions", "complete")
     assert sum(r.n for r in spark.table("sessions").collect()) == 60
-
-
-def test_queue_hands_out_every_job_once(spark, tmp_path):
-    spark.createDataFrame(rows(10), events.EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
-    seen = []
-    q = events.process_queue(events.read_events(spark, str(tmp_path / "in")), lambda batch, _: seen.extend(r.event_id for r in batch.collect()), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert sorted(seen) == list(range(10))

@@ -82,21 +82,24 @@ def link_findings(findings: DataFrame) -> DataFrame:
     """
     base = ["member_id", "d_organ", "d_type"]
     d = descriptors(findings)
+    # One value only is the least and the largest; windows over a member's findings of one kind need no second pass.
+    least = lambda c, *keys: F.min(c).over(Window.partitionBy(*keys))
+    most = lambda c, *keys: F.max(c).over(Window.partitionBy(*keys))
     side = F.when(F.col("d_side") != "unspecified", F.col("d_side"))
-    sides = d.withColumn("__s", side).groupBy(*base).agg(F.count_distinct("__s").alias("__sn"), F.min("__s").alias("__sv"))
-    d = d.join(sides, base, "left")
-    d = d.withColumn("__side", F.coalesce(side, F.when(F.col("__sn") == 1, F.col("__sv")), F.when(F.coalesce("__sn", F.lit(0)) == 0, F.lit("unspecified"))))
-    regions = d.groupBy(*base, "__side").agg(F.count_distinct("d_region").alias("__rn"), F.min("d_region").alias("__rv"))
-    d = d.join(regions, [*base, "__side"], "left")
-    region = F.coalesce("d_region", F.when(F.col("__rn") == 1, F.col("__rv")))
-    d = d.withColumn("__region", region).withColumn("__many", F.col("d_region").isNull() & (F.coalesce("__rn", F.lit(0)) > 1))
+    d = d.withColumn("__s", side).withColumns({"__s0": least("__s", *base), "__s1": most("__s", *base)})
+    alone = F.when(F.col("__s0").isNull(), F.lit("unspecified")).when(F.col("__s0") == F.col("__s1"), F.col("__s0"))
+    d = d.withColumn("__side", F.coalesce("__s", alone))
+    d = d.withColumns({"__r0": least("d_region", *base, "__side"), "__r1": most("d_region", *base, "__side")})
+    several = F.coalesce(F.col("__r0") != F.col("__r1"), F.lit(False))
+    region = F.coalesce("d_region", F.when(~several, F.col("__r0")))
+    d = d.withColumn("__region", region).withColumn("__many", F.col("d_region").isNull() & several)
     known = F.col("d_organ").isNotNull() & F.col("d_type").isNotNull()
     open_ = F.col("__side").isNull() | F.col("__many")
     group = F.when(known & ~open_, tracking_id(F.col("member_id"), F.col("d_organ"), F.col("d_type"), F.col("__side"), F.col("__region")))
-    d = d.withColumn("__g", group)
-    clash = d.filter("__g is not null").groupBy("__g", "report_id").agg(F.count_distinct(F.round("size_mm", 1)).alias("__sizes"))
-    d = d.join(clash, ["__g", "report_id"], "left")
-    bad = F.coalesce(F.col("__sizes") > 1, F.lit(False))
+    d = d.withColumn("__g", group).withColumn("__mm", F.round("size_mm", 1))
+    bad = F.col("__g").isNotNull() & F.coalesce(least("__mm", "__g", "report_id") != most("__mm", "__g", "report_id"), F.lit(False))
+    d = d.withColumn("__bad", bad)
+    bad = F.col("__bad")
     out = d.withColumn("group_id", F.when(~bad, F.col("__g"))).withColumn("ambiguous", known & (open_ | bad))
     return out.select(*findings.columns, "d_organ", "d_type", "d_side", "d_region", "group_id", "ambiguous")
 

@@ -76,16 +76,17 @@ def trend_series(points: DataFrame, same: Column | None = None, most_left_out: i
     same = same if same is not None else (F.substring("p.sort_date", 1, 10) == F.substring("o.sort_date", 1, 10)) & (F.abs(F.col("p.value") - F.col("o.value")) < 1e-9)
     kept = drop_repeated_points(used.withColumn("__rank", rank), keys, "__rank", same)
     a = attention(F.col("value"), F.col("reference_low"), F.col("reference_high"), F.col("abnormal_flag"))
-    out = kept.groupBy(*keys).agg(
-        F.count("*").alias("point_count"), F.min("sort_date").alias("first_date"), F.max("sort_date").alias("last_date"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("sort_date").desc(), F.col("__rank").desc()))
+    at = lambda n: F.max(F.when(F.col("__d") == n, F.struct("value", "__a")))
+    out = kept.withColumn("__d", newest).withColumn("__a", F.struct(a["level"].alias("level"), a["boundary"].alias("boundary"))).groupBy(*keys).agg(
+        at(1).alias("new"), at(2).alias("old"), F.count("*").alias("point_count"), F.min("sort_date").alias("first_date"), F.max("sort_date").alias("last_date"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
         F.max_by("series_name", F.struct("sort_date", "__rank")).alias("name"),
         F.slice(F.array_sort(F.collect_set("item_name")), 1, most_names).alias("names"),
     )
-    out = _beside(out, _newest_two(kept, keys, [F.col("sort_date"), F.col("__rank")], {"value": F.col("value"), "level": a["level"], "boundary": a["boundary"]}), keys)
     new, old = F.col("new"), F.col("old")
     out = out.select(
         *keys, "name", "point_count", "first_date", "last_date", new["value"].alias("latest_value"), old["value"].alias("previous_value"), F.round(new["value"] - old["value"], 6).alias("delta"),
-        "min_value", "max_value", "names", new["level"].alias("level"), new["boundary"].alias("boundary"),
+        "min_value", "max_value", "names", new["__a"]["level"].alias("level"), new["__a"]["boundary"].alias("boundary"),
     )
     lost = points.filter("left_out is not null")
     newest = Window.partitionBy("member_id", "item_name").orderBy(F.col("sort_date").desc(), "id")

@@ -13,6 +13,7 @@ from quernstone.operators import edits as E
 from quernstone.operators import findings as O
 from quernstone.operators import screening as S
 from quernstone.operators.views import comparable_series, series_name
+from quernstone.sources.tables import spread
 
 from .lines import _cut, _gone, _has, _q, narrowed, roles_sql
 from .tables import table
@@ -32,11 +33,11 @@ def _pick(values: tuple, at: Column) -> Column:
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
-    return e.select(
+    return spread(e.select(
         i.alias("id"), F.floor(i / 3).alias("report_id"), (u % 12).alias("member_id"), _pick(ORGAN, i * 5 + u).alias("organ"), _pick(REGION, i + u * 2).alias("region"), _pick(SIDE, i * 3 + u).alias("laterality"),
         _pick(KIND, i + u).alias("finding_type"), _pick(NAME, i * 2 + u).alias("finding_name"), _pick(RAW, i * 4 + u).alias("raw_text"), F.when(i % 7 == 0, "absent").otherwise("present").alias("presence"),
         F.when(i % 4 != 1, F.round(F.abs("value"), 1)).alias("size_mm"), F.when(i % 5 == 2, _pick(("2", "3", "4a"), i + u)).alias("classification"), _pick(RAW, i).alias("description"), F.date_format("ts", "yyyy-MM-dd").alias("report_date"),
-    )
+    ))
 
 
 def finding_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from quernstone.operators.dictionary import compact_alias
 from quernstone.operators.documents import is_noise
 from quernstone.operators.reports import similar_title
 from quernstone.operators.views import abbreviated, log_kind
+from quernstone.sources.tables import spread
 
 from .tables import table
 
@@ -46,10 +47,10 @@ def said(id_: Column, member: Column, value: Column) -> Column:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_id, member_id, report_id, page_number, line_no, text, value, ts, event_type``."""
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
-    return e.select(
+    return spread(e.select(
         i.alias("line_id"), F.col("user_id").alias("member_id"), F.floor(i / 16).alias("report_id"), (F.floor(i / 4) % 4 + 1).cast("int").alias("page_number"), (i % 4).cast("int").alias("line_no"),
         said(i, F.col("user_id"), F.col("value")).alias("text"), "value", "ts", "event_type",
-    )
+    ))
 
 
 def _q(s: str) -> str:

@@ -16,6 +16,7 @@ from quernstone.operators import dictionary as D
 from quernstone.operators import listing as G
 from quernstone.operators import normalize as Z
 from quernstone.operators import trends as W
+from quernstone.sources.tables import spread
 
 from .findings import _list, _pick
 from .lines import _CODE, _cut, _double, _gone, _has, _no_plus, _q, narrowed
@@ -49,12 +50,12 @@ def dictionary(spark: SparkSession) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, u, n = F.col("event_id"), F.col("user_id"), F.abs("value")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select(
         i.alias("id"), F.floor(i / 5).alias("report_id"), _pick(NAMES, i * 3 + u).alias("item_name"), F.when(i % 9 == 4, "阴性").otherwise(F.concat(F.lit("<"), n.cast("decimal(12,2)"))).alias("result_text"),
         F.when(i % 3 == 0, n).alias("numeric_value"), _pick(UNITS, i + u).alias("unit"), _pick(SECTIONS, i * 2 + u).alias("section_name"), F.when(u % 2 == 0, "检验").otherwise("laboratory").alias("report_type"),
         F.date_format("ts", "yyyy-MM-dd").alias("report_date"), F.when(i % 4 != 0, F.lit(4.0)).alias("reference_low"), F.when(i % 4 != 1, F.lit(40.0)).alias("reference_high"),
         F.when(i % 31 == 0, "high").when(i % 37 == 0, "normal").alias("abnormal_flag"),
-    )
+    ))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:

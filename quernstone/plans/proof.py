@@ -14,6 +14,7 @@ from quernstone.operators import evidence as V
 from quernstone.operators import folds as D
 from quernstone.operators import screening as S
 from quernstone.operators.aggregates import signature
+from quernstone.sources.tables import spread
 
 from .findings import _list, _pick
 from .lines import LINES, PHRASES, SPACE, _cut, _gone, _has, lines, narrowed, roles_sql
@@ -188,7 +189,7 @@ def measurements_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records_with_one_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a member's records with an identifier of one kind and value."""
     i = F.col("event_id")
-    ids = F.map_from_arrays(F.array(F.lit("报告号"), F.lit("门诊号")), F.array((i % 97 * 11).cast("string"), F.when(i % 4 == 0, F.concat(F.lit("M"), i % 61 + 100)).otherwise("12")))
+    ids = F.map_from_arrays(F.array(F.lit("报告号"), F.lit("门诊号")), F.array((F.floor(i / 60) * 7 + 100).cast("string"), F.when(i % 4 == 0, F.concat(F.lit("M"), F.floor(i / 90))).otherwise("12")))
     x = table(spark, sf_dir, "events").select(i.alias("id"), (F.col("user_id") % 9).alias("member"), ids.alias("ids"))
     return U.shared_identifiers(x, "id", "ids", "member").select("a", "b", F.array_join("kinds", ",").alias("kinds"))
 
@@ -202,7 +203,7 @@ def candidates_of_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicates_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as reports: candidates by a shared first turn, judged by shingles and lines of their whole texts; equal texts are certain."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") >= 120)
+    t = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") >= 120)
     head = t.select("doc_id", F.sha2(F.substring("text", 1, 60), 256).alias("h"))
     pairs = head.select(F.col("doc_id").alias("a"), "h").join(head.groupBy("h").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1"), "h").filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"))
     snaps = t.select(F.col("doc_id").alias("id"), "text", F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("lines"))
@@ -313,7 +314,7 @@ SQL = {
         select report_id, m.n as name, arg_min(m.v, line_id) as value from m where case m.n when '身高' then m.v between 30 and 250 when 'bapwv left' then m.v between 100 and 5000 when '收缩压' then m.v between 50 and 280 else true end group by 1, 2
     """,
     "records_with_one_identifier": """
-        with k as (select event_id as id, user_id % 9 as m, '报告号' as k, cast(event_id % 97 * 11 as varchar) as v from events union all select event_id, user_id % 9, '门诊号', case when event_id % 4 = 0 then 'M' || (event_id % 61 + 100) else '12' end from events)
+        with k as (select event_id as id, user_id % 9 as m, '报告号' as k, cast(event_id // 60 * 7 + 100 as varchar) as v from events union all select event_id, user_id % 9, '门诊号', case when event_id % 4 = 0 then 'M' || event_id // 90 else '12' end from events)
         select x.id as a, y.id as b, string_agg(distinct x.k, ',' order by x.k) as kinds from k x join k y on x.m = y.m and x.k = y.k and x.v = y.v and x.id < y.id where length(x.v) >= 3 group by 1, 2
     """,
     "candidates_of_checks": """

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, langid, minhash, quality, secrets, token_count, warc
+from . import bpe, chat, decontam, exact_dedup, langid, minhash, quality, secrets, spelling, token_count, warc
 from .common import is_held_out, spread, table
 
 
@@ -109,6 +109,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(spelling.count_words(docs, damage=199))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisit_resolution": op1_revisit_resolution,
     "op2_compression_quality": op2_compression_quality,
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_language_id": op10_language_id,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -204,4 +210,40 @@ SQL: dict[str, str] = {
         m as (select a as doc_id, min(b) as component_id from r group by 1)
         select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from m left join n using (doc_id)
     """,
+    "op12_spelling_variants": r"""
+        with recursive r as (
+          select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as w
+          from documents
+        ), c as (
+          select coalesce(cast(doc_id as varchar), '') || ':' || w as s, w, count(*) as k from r where length(w) >= 6 group by all
+        ), bytes as (
+          select w, k, list_transform(range(1, 2 * octet_length(encode(s)), 2), lambda i: cast(('0x' || substr(hex(encode(s)), i, 2)) as bigint)) as b from c
+        ), h as (
+          -- crc32, half a byte at a time; t has the remainders of the 16 half bytes
+          select w, k, xor(4294967295, list_reduce(b, lambda a, x:
+            xor(xor(xor(a, x) >> 4, t[(xor(a, x) & 15) + 1]) >> 4, t[(xor(xor(a, x) >> 4, t[(xor(a, x) & 15) + 1]) & 15) + 1]), 4294967295)) as h
+          from bytes, (select [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+            3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108] as t)
+        ), e as (
+          select case when h % 199 = 0 then substr(w, 1, cast(h % length(w) as bigint)) || substr(w, cast(h % length(w) as bigint) + 2) else w end as word, k from h
+        ), words as (
+          select word, cast(sum(k) as bigint) as n from e where length(word) >= 6 group by 1 having sum(k) >= 5
+        ), holed as (
+          select word, i, substr(word, 1, i - 1) || ' ' || substr(word, i + 1) as hole, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+          from (select word, unnest(range(1, length(word) + 1)) as i from words)
+        ), near as (
+          select a.word, b.word as other from holed a join holed b on a.hole = b.hole and a.word <> b.word
+          union select a.word, b.word from holed a join words b on a.rest = b.word
+          union select b.word, a.word from holed a join words b on a.rest = b.word
+        ), best as (
+          select word, count(*) as n_near, first(other order by m desc, other) as other, max(m) as m
+          from (select near.word, other, words.n as m from near join words on words.word = other) group by 1
+        ), forms as (
+          select word, n, coalesce(n_near, 0) as n_near, case when m >= 5 * n then other end as form, case when m >= 5 * n then m end as form_n
+          from words left join best using (word)
+        ), walk(word, reached) as (
+          select word, word from forms union all select walk.word, f.form from walk join forms f on f.word = reached where f.form is not null
+        ), ends as (select walk.word, reached as root from walk join forms f on f.word = reached where f.form is null)
+        select word, form, root, n, n_near, form_n from forms join ends using (word)
+    """,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, langid, minhash, quality, secrets, spelling, token_count, warc
+from . import bpe, chat, decontam, exact_dedup, langid, minhash, negatives, quality, secrets, spelling, token_count, toxicity, warc
 from .common import is_held_out, spread, table
 
 
@@ -109,11 +109,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out))
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return spelling.variants(spelling.count_words(docs, damage=199))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spread(table(spark, sf_dir, "embeddings")).withColumn("label", noisy))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisit_resolution": op1_revisit_resolution,
     "op2_compression_quality": op2_compression_quality,
@@ -125,7 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_toxicity": op11_toxicity,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -246,4 +261,24 @@ SQL: dict[str, str] = {
         ), ends as (select walk.word, reached as root from walk join forms f on f.word = reached where f.form is null)
         select word, form, root, n, n_near, form_n from forms join ends using (word)
     """,
+    "op13_hard_negatives": """
+        with e as (
+          select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                 list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+          from embeddings
+          where label is not null and embedding is not null and vec_id is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+          select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+          from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+        ), p as (
+          select anchor_id, other as positive_id, score as positive_score from s where same
+          qualify row_number() over (partition by anchor_id order by score desc, other) <= 5
+        )
+        select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other) as rank,
+               other as negative_id, positive_score, score as negative_score
+        from p join s using (anchor_id)
+        where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+        qualify row_number() over (partition by anchor_id, positive_id order by score desc, other) <= 3
+    """,
 }

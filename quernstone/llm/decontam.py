@@ -287,10 +287,13 @@ def _by_join(df: DataFrame, windows: DataFrame, text_col: str, k: int, span: int
 
     window = StructType([StructField("i", LongType()), StructField("n", LongType()), StructField("words", StringType())])
     fields = StructType([StructField("n_words", LongType()), StructField("__candidates", ArrayType(window))])
+    own = {c: f"c{i}" for i, c in enumerate(df.columns)}  # names that none of the columns below has
     passed = [c for c in df.columns if c not in _FIELDS.names and (keep is None or c in keep)]
-    rows = cut(map_text(df, text_col, fields, factory, passed).withColumn("__id", F.monotonically_increasing_id()))
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    rows = cut(map_text(df, own[text_col], fields, factory, [own[c] for c in passed]).withColumn("__id", F.monotonically_increasing_id()))
     tried = rows.filter(F.size("__candidates") > 0).select("__id", F.inline("__candidates"))
-    hits = cut(tried.join(windows.select("words").distinct(), "words", "left_semi"))
+    # both sides are plain shuffles, so a window that a third of all documents have is split
+    hits = cut(tried.join(cut(windows.select("words").distinct()), "words", "left_semi"))
     # Words under overlapping windows count once: each window adds what lies beyond the ends of those before it.
     before = Window.partitionBy("__id").orderBy("i", "n").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max(F.col("i") + F.col("n")).over(before), F.lit(0))
@@ -302,7 +305,7 @@ def _by_join(df: DataFrame, windows: DataFrame, text_col: str, k: int, span: int
     items = items.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
     out = rows.join(n_hit, "__id", "left").join(sets.select("__id", "set").join(items, "set"), "__id", "left")
     return out.select(
-        *[f"`{c}`" for c in passed],
+        *[F.col(own[c]).alias(c) for c in passed],
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),

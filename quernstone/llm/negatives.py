@@ -79,11 +79,11 @@ def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     """``id, label, v``: the rows that take part, with each component ``x`` as ``floor(scale * x)``.
 
     Rows with a null id, label or vector, or with a null or non-finite component, take no part. Of rows that share an id, the
-    one of smallest label, then vector, does. Components are held within what lets inner products fit a long.
+    one of smallest label, then vector, does. Components are held within what lets a hundred times an inner product fit a long.
     """
     x = F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double"))
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    most = F.least(F.floor(F.sqrt(F.lit(float(1 << 62)) / F.greatest(F.size("x"), F.lit(1)))), F.lit((1 << 31) - 1))
+    most = F.least(F.floor(F.sqrt(F.lit(float(1 << 55)) / F.greatest(F.size("x"), F.lit(1)))), F.lit((1 << 31) - 1))
     ints = F.transform("x", lambda c: F.greatest(-F.col("most"), F.least(F.col("most"), F.floor(c * scale))).cast("int"))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), x.alias("x"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & finite)
@@ -222,9 +222,9 @@ def search(index: Index, rows: DataFrame, queries: DataFrame, k: int, same: bool
         out: list[tuple] = []
         if held.num_rows and asked.num_rows:
             index = shared.value
-            shard, q = _Shard(held, index.width), _matrix(asked.column("v"), index.width)
+            shard, q = _Shard(held, index.width), _matrix(asked.column("q_v"), index.width)
             one, two = index.half_bounds(q)
-            lists = [asked.column(c).to_pylist() for c in ("id", "label", "lows", "highs")]
+            lists = [asked.column(f"q_{c}").to_pylist() for c in ("id", "label", "lows", "highs")]
             for i, (own, label, lows, highs) in enumerate(zip(*lists, strict=True)):
                 found, visited = shard.best(q[i], own, label, (one[i], two[i]), list(zip(lows, highs, strict=True)), k, same)
                 out += [(own, slot, row, -below, visited) for slot, rows in enumerate(found) for below, row in rows]
@@ -232,10 +232,10 @@ def search(index: Index, rows: DataFrame, queries: DataFrame, k: int, same: bool
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=_FOUND.names)
 
     queries = queries.select("id", "label", "v", "lows", "highs")
-    sent = queries.join(shards, "id").select(*_SENT.names) if shards is not None else queries.mapInArrow(routed, _SENT)
-    sent = sent.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long")))
+    sent = queries.join(shards, "id") if shards is not None else queries.mapInArrow(routed, _SENT)
+    sent = sent.select(*[F.col(c).alias(f"q_{c}") for c in _SENT.names]).withColumn("q_block", F.pmod(F.xxhash64("q_id"), F.lit(blocks).cast("long")))
     held = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(searched, _FOUND)
+    found = held.groupBy("shard", "block").cogroup(sent.groupBy("q_shard", "q_block")).applyInArrow(searched, _FOUND)
     first = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "id")
     return found.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= k)
 

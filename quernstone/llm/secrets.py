@@ -160,7 +160,7 @@ def scan(
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
     each = found.filter(F.size("candidates") > 0).select("row", "repo", "owner", F.explode("candidates").alias("c"))
     each = each.select("row", "repo", "owner", F.col("c.from").alias("from"), F.col("c.to").alias("to"), F.col("c.secret").alias("secret"), F.col("c.random").alias("random"))
-    owners = ownership(each, "repo", "owner")
+    owners = cut(ownership(each, "repo", "owner"))  # written, so that the join is of plain shuffles and a frequent secret is split
     judged = each.join(owners, "secret").withColumn(
         "kind",
         F.when((F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos), "example").when(

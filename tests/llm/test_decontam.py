@@ -8,8 +8,8 @@ import numpy as np
 
 from quernstone.llm import decontam
 
-DOCS = "doc_id long, text string, contaminated string, i string, n string, fp string, hash string, items string, words string, c0 string"
-CLASH = ("clash",) * 8
+DOCS = "doc_id long, text string, contaminated string, i string, n string, fp string, hash string, items string, words string, c0 string, set string"
+CLASH = ("clash",) * 9
 
 
 def words(text):
@@ -123,3 +123,34 @@ def test_winnow_selects_from_every_window():
         want = {i + max(range(w), key=lambda j: (-int(h[i + j]), j)) for i in range(len(h) - w + 1)}
         assert set(decontam.winnow(h, w).tolist()) == want
     assert len(decontam.winnow(h[:3], 6)) == 0
+
+
+def hot_conf(spark):
+    """Settings under which adaptive execution splits small skewed partitions, as it splits large ones by default."""
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "2k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "shuffle.partitions": "16"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    return small, before
+
+
+def test_a_passage_of_a_third_of_all_documents(spark, monkeypatch):
+    docs, items = case(8)
+    item = next(t for _, t in items if t and len(words(t)) > 20)
+    docs += [(5000 + i, f"n{i} {item}") for i in range(60)]
+    plans, cut = [], decontam.cut
+
+    def watched(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(decontam, "cut", watched)
+    small, before = hot_conf(spark)
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        assert run(spark, docs, items, broadcast_windows=5) == brute(docs, items)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    joins = [p for p in plans if "SortMergeJoin" in p]
+    assert joins and not any("HashAggregate" in p for p in joins)  # both sides are plain shuffles, which can be split

@@ -109,3 +109,22 @@ def test_spans_equal_brute_force(spark):
 
 def test_scan_of_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_secret_of_most_rows_is_split(spark):
+    from test_decontam import hot_conf
+
+    rows = [(i, f"password = {'hunter2hunter2' if i % 10 else f'other{i:08d}'}", f"src{i % 3}") for i in range(4000)]
+    small, before = hot_conf(spark)
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        assert sum("example" in r.spans for r in out.collect()) == 3600
+        out.write.format("noop").mode("overwrite").save()
+        each = out._jdf.queryExecution().executedPlan()
+        out.collect()
+        assert "skew=true" in each.toString() or "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)

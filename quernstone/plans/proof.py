@@ -202,14 +202,9 @@ def candidates_of_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicates_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as reports: candidates by a shared first turn, judged by shingles and lines of their whole texts; equal texts are certain."""
-    t = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") >= 120)
-    head = t.select("doc_id", F.sha2(F.substring("text", 1, 60), 256).alias("h"))
-    pairs = head.select(F.col("doc_id").alias("a"), "h").join(head.groupBy("h").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1"), "h").filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    snaps = t.select(F.col("doc_id").alias("id"), "text", F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("lines"))
-    out = U.text_evidence(pairs, snaps, every=True)
-    same = t.select(F.col("doc_id").alias("a"), F.sha2("text", 256).alias("x")), t.select(F.col("doc_id").alias("b"), F.sha2("text", 256).alias("y"))
-    return pairs.join(same[0], "a").join(same[1], "b").filter("x = y").join(out, ["a", "b"]).select("a", "b", "confidence", "similarity")
+    """Documents as reports: all pairs of different texts that shingles and lines call duplicates, and each text's copies."""
+    out = U.near_duplicate_texts(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
+    return out.withColumn("shared_lines", F.coalesce("shared_lines", F.lit(-1)))
 
 
 def file_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,8 +317,25 @@ SQL = {
         select x.id as a, y.id as b from r x join r y on y.m = x.m and y.id <> x.id and not y.gone where x.id % 15 = 0 qualify row_number() over (partition by x.id order by y.u desc, y.id) <= 5
     """,
     "duplicates_by_text": """
-        with t as (select doc_id, text, min(doc_id) over (partition by substring(text, 1, 60)) as b from documents where length(text) >= 120),
-        p as (select b as a, t.doc_id as b from t join documents d on d.doc_id = t.b where t.doc_id > t.b and t.text = d.text) select a, b, 'high' as confidence, 1.0 as similarity from p
+        with t as (select doc_id, text, min(doc_id) over (partition by text) as a from documents where length(text) >= 120),
+        r as (select doc_id, text, length(text) as n, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) as l from t where doc_id = a),
+        sh as (select distinct doc_id, substring(text, i, 7) as s from (select doc_id, text, unnest(range(1, n - 5)) as i from r)),
+        c as (select doc_id, count(*) as m from sh group by 1),
+        x as (select s1.doc_id as a, s2.doc_id as b, count(*) as k from sh s1 join sh s2 on s1.s = s2.s and s1.doc_id < s2.doc_id group by 1, 2),
+        p as (
+          select a, b, least(ra.n, rb.n) / greatest(ra.n, rb.n) as ratio, k / least(ca.m, cb.m) as t_min, k / greatest(ca.m, cb.m) as t_max,
+            len(list_intersect(ra.l, rb.l)) as ln, len(list_intersect(ra.l, rb.l)) / least(len(ra.l), len(rb.l)) as l_min, len(list_intersect(ra.l, rb.l)) / greatest(len(ra.l), len(rb.l)) as l_max
+          from x join r ra on ra.doc_id = a join r rb on rb.doc_id = b join c ca on ca.doc_id = a join c cb on cb.doc_id = b
+          where k >= 0.78 * least(ca.m, cb.m)
+        ), e as (
+          select a, b, case
+            when ratio >= 0.78 and t_min >= 0.92 and t_max >= 0.72 and (ln >= 3 and l_min >= 0.35 or t_min >= 0.985 and t_max >= 0.95) then 'high'
+            when ln >= 8 and l_min >= 0.85 and l_max >= 0.6 and t_min >= 0.78 then 'high'
+            when ratio >= 0.65 and t_min >= 0.82 and t_max >= 0.55 and ln >= 4 then 'medium' end as confidence, round(t_min, 4) as similarity, ln as shared_lines
+          from p
+        )
+        select a, b, confidence, similarity, cast(shared_lines as integer) as shared_lines from e where confidence is not null
+        union all select a, doc_id, 'same', 1.0, -1 from t where doc_id <> a
     """,
     "file_signatures": """
         select event_id // 4 as report_id, case when bool_and(event_id % 9 > 0) then string_agg(md5(props) || ':' || event_id % 4, '|' order by md5(props) || ':' || event_id % 4) else '' end as signature from events group by 1

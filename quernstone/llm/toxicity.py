@@ -108,12 +108,22 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, rounds: int = 60,
     common = {w: DAMPING / (DAMPING + n / total) for w, n in every.items() if n / total > DAMPING / 20}
     seen = Counter(w for b in bags for w in b)
     vocabulary = {w: i for i, w in enumerate(w for w, n in seen.items() if n > 2)}
-    parts = [(i, vocabulary[w], n * common.get(w, 1.0) / whole) for i, b in enumerate(bags) if (whole := PADDING + sum(n * common.get(w, 1.0) for w, n in b.items())) for w, n in b.items() if w in vocabulary]
-    row, column, value = (np.array(x, k) for x, k in zip(list(zip(*parts, strict=True)) or [[]] * 3, (np.int64, np.int64, np.float32), strict=True))
+    rows, columns, values = [], [], []
+    for i, b in enumerate(bags):
+        whole = PADDING + sum(n * common.get(w, 1.0) for w, n in b.items())
+        some = [w for w in b if w in vocabulary]
+        rows.append(np.full(len(some), i))
+        columns.append(np.fromiter((vocabulary[w] for w in some), np.int64, len(some)))
+        values.append(np.fromiter((b[w] * common.get(w, 1.0) / whole for w in some), np.float32, len(some)))
+        b.clear()
+    row, column, value = (np.concatenate(x) for x in (rows, columns, values))
+    del bags, seen, every, rows, columns, values
     in_texts = _Mean(row, column, value * GAIN, (len(texts), len(vocabulary)))
-    lists = [subwords(w) for w in vocabulary]
-    word, sizes = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([len(x) for x in lists], np.int64)
-    used, at = np.unique(np.array([s for x in lists for s in x], np.int64), return_inverse=True)
+    lists = [np.array(subwords(w), np.int64) for w in vocabulary]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    word = np.repeat(np.arange(len(lists)), sizes)
+    used, at = np.unique(np.concatenate([np.empty(0, np.int64), *lists]), return_inverse=True)
+    del lists
     each = 1 / sizes[word]
     in_words = _Mean(word, at, each, (len(vocabulary), len(used)))
 

@@ -10,28 +10,21 @@ from pyspark.sql.window import Window
 
 from quernstone.functions.text import narrow
 
+from .grounding import lines_of_results
+
 
 def compact(text: Column) -> Column:
     return F.regexp_replace(F.lower(narrow(F.coalesce(text, F.lit("")))), r"[\s\p{P}\p{S}]+", "")
 
 
 def supported(facts: DataFrame, lines: DataFrame, most: int = 5) -> DataFrame:
-    """The lines that support each fact: ``fact_id, line_id, score``, the best ``most``.
+    """The lines that support each fact: ``fact_id, line_id, score``, the best ``most``; see ``grounding.lines_of_results``.
 
-    ``facts``: ``fact_id, report_id, page_number, quote, name, value``; ``lines``: ``line_id, report_id, page_number, text``. A line supports a
-    fact when it holds the quote (or the quote holds it, at a similar length), or both name and value. Only
-    lines of the fact's page are compared: the join is by report and page.
+    Without a column ``line_no``, lines of a page are in the order of their ids.
     """
-    f = facts.select("fact_id", "report_id", "page_number", compact(F.col("quote")).alias("q"), compact(F.col("name")).alias("n"), compact(F.col("value")).alias("v"))
-    g = lines.select("line_id", "report_id", "page_number", compact(F.col("text")).alias("t")).filter("t <> ''")
-    both = f.join(g, ["report_id", "page_number"])
-    quoted = (F.length("q") >= 2) & (F.contains(F.col("t"), F.col("q")) | (F.contains(F.col("q"), F.col("t")) & (F.length("t") / F.length("q") >= 0.35)))
-    named = (F.length("n") >= 2) & F.contains(F.col("t"), F.col("n"))
-    valued = (F.col("v") != "") & F.contains(F.col("t"), F.col("v"))
-    score = F.when(quoted, 1.5).otherwise(0.0) + F.when(named, 0.75).otherwise(0.0) + F.when(named & valued, 0.5).otherwise(0.0)
-    met = both.withColumn("score", score).filter("score >= 1.25")
-    w = Window.partitionBy("fact_id").orderBy(F.col("score").desc(), "line_id")
-    return met.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).select("fact_id", "line_id", "score")
+    if "line_no" not in lines.columns:
+        lines = lines.withColumn("line_no", F.lit(0))
+    return lines_of_results(facts, lines, most)
 
 
 def source_line(evidence: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _supported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.supported(_facts(spark, sf_dir), lines(spark, sf_dir).select("line_id", "report_id", "page_number", "text"), 3)
+    return V.supported(_facts(spark, sf_dir), lines(spark, sf_dir).select("line_id", "report_id", "page_number", "line_no", "text"), 3)
 
 
 def lines_that_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ def lines_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lines(spark, sf_dir)
     candidates = x.filter(S.is_candidate(F.col("text")))
     done = V.coverage(candidates.select("line_id"), _supported(spark, sf_dir), candidates.filter("line_id % 5 < 2"))
-    open_ = done.filter("outcome = 'unresolved'").join(x, "line_id").select("line_id", F.lit(1).alias("report_id"), F.lit(1).alias("page_number"), "event_type", "line_no").withColumnRenamed("event_type", "mode")
-    blocks = V.omission_blocks(open_.withColumn("line_no", F.col("line_id")), 30)
+    open_ = done.filter("outcome = 'unresolved'").join(x, "line_id").select("line_id", "report_id", "page_number", F.col("event_type").alias("mode"), "line_no")
+    blocks = V.omission_blocks(open_, 2)
     return done.join(blocks.select("line_id", "block"), "line_id", "left").select("line_id", "outcome", F.coalesce("block", F.lit(-1)).alias("block"))
 
 
@@ -221,13 +221,14 @@ QUERIES = {
     )
 }
 
-_COMPACT = lambda x: _gone(f"lower({narrowed(x)})", SPACE)
+_BARE_PROOF = lambda x: _gone(f"lower({narrowed(x)})", r"[（）()，,。.:：;；、|\s_\-]+")
 _V = "cast(abs(floor(value)) as bigint)"
-SUPPORT = f"""{LINES}, fa as (select line_id as fact_id, report_id, page_number, {_COMPACT("case line_id % 3 when 0 then substring(text, 2, 9) when 1 then text || '！？' else '别处' end")} as q, {_COMPACT(_list(NAMES, 'line_id + member_id'))} as n, cast({_V} % 9 + 1 as varchar) as v from lines where line_id % 2 = 0),
-  lt as (select line_id, report_id, page_number, {_COMPACT('text')} as t from lines),
-  sc as (select fact_id, line_id, case when length(q) >= 2 and (contains(t, q) or (contains(q, t) and length(t) / length(q) >= 0.35)) then 1.5 else 0 end + case when contains(t, n) then 0.75 else 0 end + case when contains(t, n) and contains(t, v) then 0.5 else 0 end as score
+SUPPORT = f"""{LINES}, fa as (select line_id as fact_id, report_id, page_number, {_BARE_PROOF("case line_id % 3 when 0 then substring(text, 2, 9) when 1 then text || '！？' else '别处' end")} as q, {_BARE_PROOF(_list(NAMES, 'line_id + member_id'))} as n, cast({_V} % 9 + 1 as varchar) as v from lines where line_id % 2 = 0),
+  lt as (select line_id, report_id, page_number, line_no, text, {_BARE_PROOF('text')} as t from lines),
+  sc as (select fact_id, line_id, line_no, text, case when length(q) >= 4 and (contains(t, q) or contains(q, t)) then 2 when length(n) >= 2 and contains(t, n) and contains(t, v) then 1 else 0 end as score
     from fa join lt using (report_id, page_number) where t <> ''),
-  su as (select * from sc where score >= 1.25 qualify row_number() over (partition by fact_id order by score desc, line_id) <= 3)"""
+  best as (select * from sc where score > 0 qualify row_number() over (partition by fact_id order by score desc, line_no, line_id) <= 3),
+  su as (select fact_id, line_id, score from best qualify row_number() over (partition by fact_id, text order by score desc, line_no, line_id) = 1)"""
 _ROLE = roles_sql("text")
 PAGED = f"pg as (select line_id, report_id as doc_id, page_number as page, line_no, text, {_ROLE['boundary']} as boundary, {_ROLE['candidate']} as candidate from lines)"
 _BARE = f"trim({_gone('text', r'^【\\s*|\\s*】$'.replace(chr(92) * 2, chr(92)))})"
@@ -242,7 +243,7 @@ SQL = {
     "lines_covered": f"""
         with {SUPPORT}, c as (select line_id, event_type, line_id in (select line_id from su) as ai, line_id % 5 < 2 as mine from lines where {_ROLE['candidate']}),
         o as (select line_id, event_type, case when ai and mine then 'redundant' when mine then 'local' when ai then 'ai' else 'unresolved' end as outcome from c)
-        select line_id, outcome, case when outcome = 'unresolved' then cast(floor((row_number() over (partition by outcome, event_type order by line_id) - 1) / 30) as integer) else -1 end as block from o
+        select line_id, outcome, case when outcome = 'unresolved' then cast(floor((row_number() over (partition by outcome, event_type, line_id // 4 order by line_id) - 1) / 2) as integer) else -1 end as block from o
     """,
     "fields_picked": "select event_id // 20 as report_id, event_type as field, arg_max('v' || event_id, (event_id * 7 % 5, -event_id)) as value from events where event_id % 4 > 0 group by 1, 2",
     "sections_merged": """

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from quernstone.functions.text import narrow
@@ -26,13 +27,13 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(F.lower(narrow(F.coalesce(text.cast("string"), F.lit("")))), LEFT_OUT, "")
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(ArrayType(LongType()))
 def _grams(texts: pd.Series) -> pd.Series:
     """The hashes of a text's grams of one, two and four characters."""
     return pd.Series([np.unique(np.concatenate([shingle_hashes(t, n) for n in (1, 2, 4)])).view(np.int64) for t in texts])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _key(texts: pd.Series) -> pd.Series:
     """The hash of one gram of a text, of the largest size that the text has."""
     return pd.Series([int(shingle_hashes(t, 4 if len(t) >= 4 else 2 if len(t) >= 2 else 1).view(np.int64)[0]) for t in texts], dtype="int64")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quernstone.operators import grounding as G
+from quernstone.operators import leaders as D
+from quernstone.operators import packing as P
 from quernstone.sources.tables import spread
 
 from .tables import table
@@ -56,7 +59,49 @@ def lines_of_documents_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.explained_lines(x, results, facts.filter("fact_id % 2 = 1").withColumn("sizes", sizes))
 
 
-QUERIES = {f.__name__: f for f in (results_in_lines_of_documents, findings_in_lines_of_documents, facts_in_lines_of_documents, lines_of_documents_explained)}
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of ``PAGE`` lines of the documents, with their measures: lines with a digit are candidates, those with a bar findings."""
+    text = F.col("text")
+    x = document_lines(spark, sf_dir).groupBy("report_id", "page_number").agg(
+        (F.sum(F.length("text") + 1) - 1).alias("characters"), F.count_if(text.rlike("[0-9]")).alias("candidate_rows"), F.count_if(F.contains(text, F.lit("|"))).alias("morphology_rows"))
+    return x.withColumnRenamed("page_number", "place")
+
+
+def units_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of pages of each document under the limits of tables and findings."""
+    return P.pack_pages(_pages(spark, sf_dir), "report_id")
+
+
+def narrative_units_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of pages of each document under the limits of narratives."""
+    return P.pack_pages(_pages(spark, sf_dir), "report_id", P.NARRATIVE)
+
+
+def units_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents as the pages of one long document: a few documents of many pages."""
+    d = spread(table(spark, sf_dir, "documents")).select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    d = d.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    return P.pack_pages(d.select("source", "place", F.col("n").alias("characters"), (F.col("n") % 40).alias("candidate_rows"), (F.col("n") % 7).alias("morphology_rows")), "source")
+
+
+def findings_within_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of events, folded where regions don't contradict and sizes are within half a millimetre."""
+    i, v = F.col("event_id"), F.round(F.abs("value") % 6, 1)
+    x = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 500).alias("report_id"), F.col("event_type").alias("organ"), i.alias("position"), F.when(i % 4 > 0, F.concat(F.lit("region "), i % 2)).alias("region"),
+        F.when(i % 3 > 0, F.when(i % 5 > 0, F.array(v + 3, v)).otherwise(F.array(v))).alias("sizes"), F.concat(F.lit("text "), "props").alias("raw_text"))
+    return D.fold_findings(x, ["report_id", "organ"], ["position"], longest=("raw_text",))
+
+
+def results_by_source_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of events, folded by the first of their sources that is known."""
+    i = F.col("event_id")
+    keys = F.array_compact(F.array(F.when(i % 5 > 0, F.concat(F.lit("line "), F.floor(i / 300))), F.when(i % 7 > 2, F.concat(F.lit("quote "), F.abs(F.floor("value")) % 40))))
+    x = table(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("report_id"), F.col("event_type").alias("name"), i.alias("position"), keys.alias("keys"), F.when(i % 3 == 0, F.concat(F.lit("u"), i % 9)).alias("unit"))
+    return D.fold_by_first_key(x, ["report_id", "name"], ["position"], "keys")
+
+
+QUERIES = {f.__name__: f for f in (units_of_documents, narrative_units_of_documents, units_of_sources, findings_within_tolerance, results_by_source_line, results_in_lines_of_documents, findings_in_lines_of_documents, facts_in_lines_of_documents, lines_of_documents_explained)}
 
 _BARE = lambda x: f"regexp_replace(lower(translate(coalesce({x}, ''), '（）', '()')), '[()，,。.:：;；、|\\s_\\-]+', '', 'g')"
 _LINES = f"""
@@ -107,3 +152,33 @@ SQL = {
         ) select * from p where by_text or by_result or by_finding
     """,
 }
+
+
+def _packed(pages: str, doc: str, limit_pages: int, rows: int | None) -> str:
+    """Next-fit page by page; ``pages`` selects ``d, place, ch, c, m``."""
+    fits = f"k < {limit_pages} and ch + x.ch + 2 * k <= 8000 and 768 + 96 * (k + 1) + 100 * (c + x.c) + 180 * (m + x.m) + least(768, (ch + x.ch + 2 * k + 7) // 8) <= 12000"
+    fits += f" and c + x.c <= {rows}" if rows else ""
+    fits = fits.replace("ch + x.ch", "p.ch + x.ch").replace("(c + x.c", "(p.c + x.c").replace("and c + x.c", "and p.c + x.c").replace("(m + x.m", "(p.m + x.m")
+    add = lambda n: f"case when {fits} then p.{n} + x.{n} else x.{n} end"
+    return f"""
+        with recursive {pages},
+        p(d, place, unit, k, ch, c, m) as (
+          select d, place, 1, 1, ch, c, m from x where place = 0
+          union all
+          select x.d, x.place, case when {fits} then unit else unit + 1 end, case when {fits} then k + 1 else 1 end, {add('ch')}, {add('c')}, {add('m')}
+          from p join x on x.d = p.d and x.place = p.place + 1
+        )
+        select x.d as {doc}, cast(unit as bigint) as unit, cast(min(x.place) as bigint) as first, count(*) as n_pages, cast(sum(x.ch) as bigint) as characters, cast(sum(x.c) as bigint) as candidate_rows, cast(sum(x.m) as bigint) as morphology_rows
+        from p join x on x.d = p.d and x.place = p.place group by all
+    """
+
+
+_PAGES = """l as (select doc_id as d, i // 40 as place, s[i + 1] as text from (select doc_id, s, unnest(range(0, len(s))) as i from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null))),
+        x as (select d, place, cast(sum(length(text) + 1) - 1 as bigint) as ch, count(*) filter (regexp_matches(text, '[0-9]')) as c, count(*) filter (contains(text, '|')) as m from l group by 1, 2)"""
+SQL |= {
+    "units_of_documents": _packed(_PAGES, "report_id", 12, 60),
+    "narrative_units_of_documents": _packed(_PAGES, "report_id", 24, None),
+    "units_of_sources": _packed(
+        "x as (select coalesce(source, '') as d, row_number() over (partition by coalesce(source, '') order by doc_id) - 1 as place, length(coalesce(text, '')) as ch, length(coalesce(text, '')) % 40 as c, length(coalesce(text, '')) % 7 as m from documents)", "source", 12, 60
+    ),
+}

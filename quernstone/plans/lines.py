@@ -247,13 +247,13 @@ def roles_sql(t: str) -> dict[str, str]:
     tt, first, second = f"trim({t})", f"{cells}[1]", f"coalesce({cells}[2], '')"
     unit, digit = _has(tt, L.UNIT), _has(tt, r"\d")
     against = " or ".join((
-        non_result, *[_has(tt, p) for p in (L.TABLE_HEADER, L.METADATA, L.PAGE_MARK, L.REFERENCE_ONLY, L.DIRECTORY, L.NUMBER_ONLY)],
+        non_result, *[_has(tt, p) for p in (L.TABLE_HEADER, L.METADATA_LABEL, L.METADATA_ROW, L.PAGE_MARK, L.REFERENCE_ONLY, L.DIRECTORY_LINE, L.DIRECTORY_ROW, L.NUMBER_ONLY)],
         f"({_has(tt, r'\d{12,}')} and not {unit} and not {_has(tt, '参考值|参考范围|正常范围')})", f"not ({_has(first, r'\p{L}{2,}')} or ({_has(first, r'[\x{3400}-\x{9fff}]')} and {unit}))",
-        _has(first, rf"^(?:{L.QUALITATIVE})$"), f"(length({tt}) > 240 and not {_has(tt, '[|｜]')})",
+        _has(first, L.QUALITATIVE_NAME), f"(length({tt}) > 240 and not {_has(tt, '[|｜]')})",
     ))
     for_ = " or ".join((
-        morphology, f"(len({cells}) >= 2 and {_has(second, S.RESULT_CELL)})", f"({unit} and {digit})", f"({_has(tt, '[↑↓▲▼]')} and {digit})", _has(tt, rf"(?:检验)?结果\s*[:：]\s*(?:{L.QUALITATIVE})"),
-        _has(tt, rf"^[^|｜，。；:：]{{1,30}}\s+(?:{L.QUALITATIVE})$"), f"({_has(tt, '参考值|参考范围|正常范围')} and {digit})", f"(not {_has(tt, r'\b20\d{2}-\d{1,2}')} and {_has(tt, r'\d(?:\.\d+)?\s*[~～-]\s*\d')})",
+        morphology, f"(len({cells}) >= 2 and {_has(second, L.CANDIDATE_CELL)})", f"({unit} and {digit})", f"({_has(tt, '[↑↓▲▼]')} and {digit})", _has(tt, L.QUALITATIVE_RESULT),
+        _has(tt, L.QUALITATIVE_TAIL), f"({_has(tt, '[|｜]')} and {_has(tt, L.QUALITATIVE_COLUMN)} and not {_has(tt, L.REGION_LEGEND)})", f"({_has(tt, '参考值|参考范围|正常范围')} and {digit})", f"(not {_has(tt, r'\b20\d{2}-\d{1,2}')} and {_has(tt, r'\d(?:\.\d+)?\s*[~～-]\s*\d')})",
         _has(tt, r"(?:^|[|｜])[^|｜]{1,24}[:：]\s*[-+]?\d+(?:\.\d+)?"),
     ))
     heads = f"coalesce(list_bool_and(list_transform({cells}, lambda x: {_has(label('x'), L.SECTION_HEADING)} or {label('x')} in ('诊断所见', '诊断结果', '检查描述', '检查提示'))), true)"

@@ -169,7 +169,7 @@ def results_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(i % 3 == 0, "项目名称 | 历史结果 | 本次结果 | 单位 | 参考范围").when(i % 3 == 1, "项目 | 结果 | 参考")
     q = (F.abs(F.floor("value")).cast("long") % 9 + 1).cast("string")
     row = F.when(i % 3 == 0, F.concat(F.lit("白细胞 | 9.9 | "), q, F.lit(".5 ↑ | 10^9/L | 3.5-9.5"))).when(i % 3 == 1, F.concat(F.lit("尿蛋白 | 阴性 | "), q)).otherwise(F.concat(F.lit("血糖 | "), q, F.lit(" mmol/L | <6.1")))
-    x = lines(spark, sf_dir).select("line_id", F.when(i % 7 == 0, F.lit("检查日期 | 2024-01-01")).otherwise(row).alias("text"), header.alias("table_header"), F.when(i % 10 == 0, 0.5).otherwise(0.9).alias("confidence"))
+    x = lines(spark, sf_dir).select("line_id", F.when(i % 7 == 0, F.lit("检查日期 | 2024-01-01")).when(i % 11 == 0, F.lit("尿糖 | 阴性异常 | 5.2异常")).otherwise(row).alias("text"), header.alias("table_header"), F.when(i % 10 == 0, 0.5).otherwise(0.9).alias("confidence"))
     out = S.table_results(x)
     none = F.lit(-1.0)
     return out.select("line_id", "item_name", "result_text", F.coalesce("numeric_value", none).alias("number"), F.coalesce("unit", F.lit("")).alias("unit"), F.coalesce("range.low", none).alias("low"), F.coalesce("range.high", none).alias("high"), F.coalesce("flag", F.lit("")).alias("flag"))
@@ -299,7 +299,7 @@ SQL = {
         with {LINES} select line_id as page_id, case when line_id % 3 = 0 then 'L' || line_id else 'p' || page_number || 'l1' end as line_id, 0 as line_no, sha256(trim(text)) as text, round(least(line_id % 5 / 3, 1.0), 4) as confidence from lines where trim(text) <> ''
     """,
     "results_in_tables": f"""
-        with {LINES}, q as (select line_id, {_V} % 9 + 1 as q from lines where line_id % 7 > 0 and line_id % 10 > 0)
+        with {LINES}, q as (select line_id, {_V} % 9 + 1 as q from lines where line_id % 7 > 0 and line_id % 11 > 0 and line_id % 10 > 0)
         select line_id, ['白细胞', '尿蛋白', '血糖'][line_id % 3 + 1] as item_name, case line_id % 3 when 0 then q || '.5 ↑' when 1 then '阴性' else q || ' mmol/L' end as result_text, case line_id % 3 when 0 then q + 0.5 when 1 then -1 else q end as number,
           ['10^9/L', '', 'mmol/L'][line_id % 3 + 1] as unit, case line_id % 3 when 0 then 3.5 else -1 end as low, case line_id % 3 when 0 then 9.5 when 1 then -1 else 6.1 end as high, case line_id % 3 when 0 then 'high' else '' end as flag from q
     """,

@@ -41,3 +41,15 @@ def test_small_rules(spark):
     obs = spark.createDataFrame([("超声", "甲状腺", "结节", None, None, None), ("血常规", "WBC", "6", 6.0, "x", None)], "section_name string, item_name string, result_text string, numeric_value double, unit string, reference_text string")
     a, b = screening.split_legacy(obs)
     assert [r.item_name for r in a.collect()] == ["甲状腺"] and [r.item_name for r in b.collect()] == ["WBC"]
+
+
+def test_result_cells_and_candidate_lines(spark):
+    lines = {
+        "尿糖 | 未见异常": True, "尿糖 | 阴性": True, "尿糖 | 阴性异常": True, "尿糖 | 5.2异常": False, "白细胞 5.2 10^9/L": True, "阴性 | 正常": False, "姓名：张三 | 阴性": False, "病历号：1 | 阴性": False,
+        "1 | 血常规检查 | 12": False, "血常规 ........ 12": False, "目录": False, "尿蛋白 弱阳性": True, "备注 | 说明 | 阳性": True, "备注 | 正常区域 | 阳性": True, "图例 | 说明 | 正常区域 | 阳性": False, "未见": False,
+    }
+    df = spark.createDataFrame([(t, None, 0.9) for t in lines], "text string, table_header string, confidence double")
+    got = {r.text: r.c for r in df.select("text", screening.is_candidate(F.col("text")).alias("c")).collect()}
+    assert got == lines
+    assert {r.text for r in screening.table_results(df).collect()} >= {"尿糖 | 未见异常", "尿糖 | 阴性"}
+    assert not {"尿糖 | 阴性异常", "尿糖 | 5.2异常"} & {r.text for r in screening.table_results(df).collect()}

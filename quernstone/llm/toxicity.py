@@ -46,7 +46,9 @@ class Model:
 def subwords(word: str) -> list[int]:
     """The slots of a word's n-grams, marked at both ends, and of the word itself."""
     marked = f"<{word}>"
-    found = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
+    found = {marked}
+    for n in GRAMS:
+        found.update([marked[i : i + n] for i in range(len(marked) - n + 1)])
     return [zlib.crc32(g.encode()) % SLOTS for g in found]
 
 
@@ -202,10 +204,12 @@ class _Logits(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.alive = {i: float(model.slots[i]) for i in np.flatnonzero(model.slots).tolist()}  # few: the fit leaves out the others
 
     def __missing__(self, word: str) -> tuple[float, float]:
         weight = self.model.common.get(word, 1.0)
-        found = weight * float(self.model.slots[subwords(word)].mean(dtype=np.float64)), weight
+        slots = subwords(word)
+        found = weight * sum([self.alive[s] for s in slots if s in self.alive]) / len(slots), weight
         if len(word) <= HELD_LENGTH:
             if len(self) >= HELD_WORDS:
                 self.clear()

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.functions.text import narrow
+from quernstone.sources.tables import cut
 
 from .diffs import snapshot_diff
 
-#: Most redirects that may follow on one another.
-MOST_HOPS = 32
-
 
 def compact_alias(name: Column) -> Column:
     """An alias as a key: narrow, lower case, without spaces and punctuation; a plus stays."""
@@ -33,17 +31,20 @@ def merge_layers(core: DataFrame, remote: DataFrame, redirects: DataFrame) -> Da
 
 
 def resolve_redirects(redirects: DataFrame) -> DataFrame:
-    """``from_key, to_key`` with chains followed to their ends, by a recursive query."""
-    redirects.select("from_key", "to_key").createOrReplaceTempView("__redirects")
-    return redirects.sparkSession.sql(
-        f"""
-        with recursive w(from_key, to_key, hops) as (
-          select from_key, to_key, 1 from __redirects
-          union all
-          select w.from_key, r.to_key, w.hops + 1 from w join __redirects r on w.to_key = r.from_key where w.hops < {MOST_HOPS})
-        select from_key, max_by(to_key, hops) as to_key from w group by from_key
-        """
-    )
+    """``from_key, to_key`` with chains followed to their ends, however long; of several redirects of a key the smallest target counts.
+
+    Each round doubles the steps that a row has gone. A chain has settled once the steps exceed the number of redirects; what has not by then
+    runs in a circle, or into one, and keeps a target that is itself redirected. Null keys are left out.
+    """
+    ends = cut(redirects.filter("from_key is not null and to_key is not null").groupBy("from_key").agg(F.min("to_key").alias("to_key")))
+    most, steps = ends.count(), 1
+    while steps <= most:
+        further = ends.select(F.col("from_key").alias("to_key"), F.col("to_key").alias("beyond"))
+        gone = cut(ends.join(further, "to_key", "left").select("from_key", F.coalesce("beyond", "to_key").alias("to_key"), F.col("beyond").isNotNull().alias("moved")))
+        ends, steps = gone.select("from_key", "to_key"), 2 * steps
+        if gone.filter("moved").isEmpty():
+            break
+    return ends
 
 
 def validate(indicators: DataFrame, aliases: DataFrame, categories: DataFrame, redirects: DataFrame) -> DataFrame:

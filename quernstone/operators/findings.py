@@ -80,8 +80,11 @@ def link_findings(findings: DataFrame) -> DataFrame:
     Findings of one report that would share a timeline but differ in size are ambiguous too.
     Adds ``group_id`` and ``ambiguous`` to the descriptors; input needs ``member_id, report_id, size_mm``.
     """
-    base = ["member_id", "d_organ", "d_type"]
     d = descriptors(findings)
+    known = F.col("d_organ").isNotNull() & F.col("d_type").isNotNull()
+    # findings without organ or type never have a timeline, so they need no company in the windows
+    d = d.withColumn("__w", F.when(~known, F.xxhash64(*findings.columns)))
+    base = ["member_id", "d_organ", "d_type", "__w"]
     # One value only is the least and the largest; windows over a member's findings of one kind need no second pass.
     least = lambda c, *keys: F.min(c).over(Window.partitionBy(*keys))
     most = lambda c, *keys: F.max(c).over(Window.partitionBy(*keys))
@@ -93,7 +96,6 @@ def link_findings(findings: DataFrame) -> DataFrame:
     several = F.coalesce(F.col("__r0") != F.col("__r1"), F.lit(False))
     region = F.coalesce("d_region", F.when(~several, F.col("__r0")))
     d = d.withColumn("__region", region).withColumn("__many", F.col("d_region").isNull() & several)
-    known = F.col("d_organ").isNotNull() & F.col("d_type").isNotNull()
     open_ = F.col("__side").isNull() | F.col("__many")
     group = F.when(known & ~open_, tracking_id(F.col("member_id"), F.col("d_organ"), F.col("d_type"), F.col("__side"), F.col("__region")))
     d = d.withColumn("__g", group).withColumn("__mm", F.round("size_mm", 1))

@@ -1,16 +1,21 @@
 """Order-dependent folds over the lines of a page or a document.
 
-Those that need more than a window are grouped-map functions. Each group is a page or a document, whose lines are few; groups
-are many, so Spark deals them over all executors.
+Those that need more than a window stream: a task gets its pages or documents in order, many to a batch, and holds the lines of a
+page, or of a document only what is open, at a time.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+import statistics
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quernstone.functions import line_rules as L
@@ -21,8 +26,6 @@ from .screening import education_pages, label_of
 #: Share of the smaller height by which rows overlap, and of the width by which cells of a row may.
 ROW_OVERLAP, CELL_OVERLAP = 0.55, 0.25
 
-ROWS = "{doc}, {page}, row_no int, text string, confidence double, left double, top double, right double, bottom double, line_ids array<string>"
-
 
 def _overlap(a0: float, a1: float, b0: float, b1: float) -> float:
     """Share of the shorter of two intervals that both cover."""
@@ -30,44 +33,77 @@ def _overlap(a0: float, a1: float, b0: float, b1: float) -> float:
     return max(0.0, min(a1, b1) - max(a0, b0)) / shorter if shorter > 0 else 0.0
 
 
+def _streamed(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[dict]], Iterator[dict]], schema: StructType) -> DataFrame:
+    """Give ``fold`` each group's rows in order, one group after another; it yields rows of ``schema``."""
+    kind = to_arrow_schema(schema)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches):
+        each = (row for batch in batches for row in batch.to_pylist())
+        done: list[dict] = []
+        for _, group in itertools.groupby(each, key=lambda r: tuple(r[k] for k in keys)):
+            for row in fold(group):
+                done.append(row)
+                if len(done) >= 1024:
+                    yield pa.RecordBatch.from_pylist(done, schema=kind)
+                    done = []
+        yield pa.RecordBatch.from_pylist(done, schema=kind)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _joined(rows: list[list[dict]]) -> Iterator[dict]:
+    """Rows of cells as one line each: texts in order, mean confidence, the box around all."""
+    for i, row in enumerate(rows):
+        row.sort(key=lambda c: (c["left"] is None, c["left"]))
+        known = [c["confidence"] for c in row if c["confidence"] is not None]
+        box = {s: f((c[s] for c in row if c[s] is not None), default=None) for f, s in ((min, "left"), (min, "top"), (max, "right"), (max, "bottom"))}
+        yield {"row_no": i, "text": " | ".join(c["text"] or "" for c in row), "confidence": sum(known) / len(known) if known else None, **box, "line_ids": [c["line_id"] for c in row]}
+
+
 def visual_rows(lines: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
     """Put the cells of a page that lie side by side together into rows.
 
     Lines have ``line_id, text, confidence, left, top, right, bottom`` and are taken from top to bottom, then left to right, lines whose
     tops differ by less than 0.45 of a height counting as level. A line joins the last row that it overlaps
-    vertically, if it overlaps none of the row's cells horizontally. Lines without a box are rows of their own.
+    vertically, if it overlaps none of the row's cells horizontally. Lines without a box are rows of their own, at the end.
+    The sweep keeps a row open as long as a later line can still overlap it; a task holds one page's lines at a time.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxed = pdf[pdf.top.notna()]
-        height = (boxed.bottom - boxed.top).median() if len(boxed) else 1.0
-        level = (pdf.top / max(height * 0.45, 1e-9)).round()
-        rows: list[list] = []
-        for r in pdf.assign(level=level).sort_values(["level", "left", "line_id"], na_position="last").itertuples():
+
+    def fold(group: Iterator[dict]) -> Iterator[dict]:
+        cells = list(group)
+        boxed = [c for c in cells if c["top"] is not None]
+        height = statistics.median(c["bottom"] - c["top"] for c in boxed) if boxed else 1.0
+        for c in boxed:
+            c["level"] = round(c["top"] / max(height * 0.45, 1e-9))
+        boxed.sort(key=lambda c: (c["level"], c["left"], c["line_id"]))
+        rows: list[list[dict]] = []
+        spans: list[list[float]] = []  # top and bottom of each row
+        open_: list[int] = []
+        for n, c in enumerate(boxed):
+            lowest = c["top"] if n + 1 == len(boxed) else min(c["top"], (c["level"] - 1) * height * 0.45)
+            open_ = [i for i in open_ if spans[i][1] >= lowest]  # lines come by level: none after this starts higher
             home = None
-            if pd.notna(r.top):
-                for row in reversed(rows):
-                    cells = [c for c in row if pd.notna(c.top)]
-                    if not cells:
-                        continue
-                    tall = _overlap(min(c.top for c in cells), max(c.bottom for c in cells), r.top, r.bottom) >= ROW_OVERLAP
-                    if tall and all(_overlap(c.left, c.right, r.left, r.right) < CELL_OVERLAP for c in cells):
-                        home = row
-                        break
+            for i in reversed(open_):
+                if _overlap(*spans[i], c["top"], c["bottom"]) >= ROW_OVERLAP and all(_overlap(x["left"], x["right"], c["left"], c["right"]) < CELL_OVERLAP for x in rows[i]):
+                    home = i
+                    break
             if home is None:
-                rows.append([r])
+                rows.append([c])
+                spans.append([c["top"], c["bottom"]])
+                open_.append(len(rows) - 1)
             else:
-                home.append(r)
-        out = []
-        for i, row in enumerate(rows):
-            row.sort(key=lambda c: (pd.isna(c.left), c.left))
-            known = [c.confidence for c in row if pd.notna(c.confidence)]
-            box = [f(getattr(c, side) for c in row) for f, side in ((min, "left"), (min, "top"), (max, "right"), (max, "bottom"))]
-            out.append([pdf[doc].iloc[0], pdf[page].iloc[0], i, " | ".join(c.text for c in row), sum(known) / len(known) if known else None, *box, [c.line_id for c in row]])
-        return pd.DataFrame(out, columns=[doc, page, "row_no", "text", "confidence", "left", "top", "right", "bottom", "line_ids"])
+                rows[home].append(c)
+                spans[home] = [min(spans[home][0], c["top"]), max(spans[home][1], c["bottom"])]
+        rows += [[c] for c in sorted((c for c in cells if c["top"] is None), key=lambda c: (c["left"] is None, c["left"], c["line_id"]))]
+        for row in _joined(rows):
+            yield {doc: cells[0][doc], page: cells[0][page], **row}
 
-    return lines.groupBy(doc, page).applyInPandas(fold, ROWS.format(doc=f"{doc} {kinds[doc]}", page=f"{page} {kinds[page]}"))
+    kinds = {f.name: f for f in lines.schema.fields}
+    sides = [StructField(s, DoubleType()) for s in ("left", "top", "right", "bottom")]
+    used = lines.select(doc, page, F.col("line_id").cast("string").alias("line_id"), "text", F.col("confidence").cast("double").alias("confidence"), *[F.col(s.name).cast("double").alias(s.name) for s in sides])
+    made = [kinds[doc], kinds[page], StructField("row_no", IntegerType()), StructField("text", StringType()), StructField("confidence", DoubleType()), *sides, StructField("line_ids", ArrayType(StringType()))]
+    return _streamed(used, [doc, page], [], fold, StructType(made))
 
 
 def merge_wrapped(lines: DataFrame, doc: str = "doc_id", page: str = "page", least: int = 24) -> DataFrame:
@@ -75,42 +111,49 @@ def merge_wrapped(lines: DataFrame, doc: str = "doc_id", page: str = "page", lea
 
     Table rows, headings (``boundary`` not null) and lines that start a list stay apart. Adds ``line_ids``.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
+    kinds = {f.name: f for f in lines.schema.fields}
     ended, cell, item = re.compile(r"[。！？；;:：.!?]$"), re.compile(r"[|｜]"), re.compile(r"^\s*(?:[-•*]|\d{1,2}[.、)])")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in pdf.sort_values("line_no").itertuples():
-            last = out[-1] if out else None
+    def fold(group: Iterator[dict]) -> Iterator[dict]:
+        last: dict | None = None
+        for r in group:
+            text = r["text"] or ""
             goes_on = (
-                last is not None and last[4] is None and pd.isna(r.boundary) and len(last[3]) >= least
-                and not (ended.search(last[3]) or cell.search(last[3]) or cell.search(r.text) or item.search(r.text))
+                last is not None and last["boundary"] is None and r["boundary"] is None and len(last["text"]) >= least
+                and not (ended.search(last["text"]) or cell.search(last["text"]) or cell.search(text) or item.search(text))
             )
             if goes_on:
-                last[3] += r.text
-                last[5].append(r.line_id)
-            else:
-                out.append([getattr(r, doc), getattr(r, page), r.line_no, r.text, None if pd.isna(r.boundary) else r.boundary, [r.line_id]])
-        return pd.DataFrame(out, columns=[doc, page, "line_no", "text", "boundary", "line_ids"])
+                last["text"] += text
+                last["line_ids"].append(r["line_id"])
+                continue
+            if last is not None:
+                yield last
+            last = {doc: r[doc], page: r[page], "line_no": r["line_no"], "text": text, "boundary": r["boundary"], "line_ids": [r["line_id"]]}
+        if last is not None:
+            yield last
 
-    return lines.groupBy(doc, page).applyInPandas(fold, f"{doc} {kinds[doc]}, {page} {kinds[page]}, line_no {kinds['line_no']}, text string, boundary string, line_ids array<string>")
+    used = lines.select(doc, page, "line_no", F.col("line_id").cast("string").alias("line_id"), "text", F.col("boundary").cast("string").alias("boundary"))
+    made = [kinds[doc], kinds[page], kinds["line_no"], StructField("text", StringType()), StructField("boundary", StringType()), StructField("line_ids", ArrayType(StringType()))]
+    return _streamed(used, [doc, page], ["line_no"], fold, StructType(made))
 
 
 def fill_budget(lines: DataFrame, doc: str = "doc_id", budget: int = 8000) -> DataFrame:
     """Choose lines by priority until a document's character budget is spent; one that is too long is passed over, later ones still count.
 
-    Input has ``priority`` (smaller first), ``line_no`` and ``text``; the chosen lines come in the order of the document.
+    Input has ``priority`` (smaller first), ``line_no`` and ``text`` (null: empty); the chosen lines of a document come in its order. Lines
+    longer than the budget can't be chosen and are not shuffled. Documents stream in order of priority; only what is left is held.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, chosen = budget, []
-        for i, r in enumerate(pdf.sort_values(["priority", "line_no"]).itertuples()):
-            if len(r.text) <= left:
-                left -= len(r.text)
-                chosen.append(r.Index)
-        return pdf.loc[chosen].sort_values("line_no")
+    def fold(group: Iterator[dict]) -> Iterator[dict]:
+        left = budget
+        for row in group:
+            n = len(row["text"] or "")
+            if n <= left:
+                left -= n
+                yield row
 
-    return lines.groupBy(doc).applyInPandas(fold, lines.schema)
+    fit = lines.filter(F.length(F.coalesce("text", F.lit(""))) <= budget)
+    return _streamed(fit, [doc], ["priority", "line_no"], fold, lines.schema).sortWithinPartitions(doc, "line_no")
 
 
 def carry_context(lines: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.operators import folds as W
 from quernstone.operators import grounding as G
 from quernstone.operators import leaders as D
 from quernstone.operators import packing as P
@@ -101,7 +102,30 @@ def results_by_source_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.fold_by_first_key(x, ["report_id", "name"], ["position"], "keys")
 
 
-QUERIES = {f.__name__: f for f in (units_of_documents, narrative_units_of_documents, units_of_sources, findings_within_tolerance, results_by_source_line, results_in_lines_of_documents, findings_in_lines_of_documents, facts_in_lines_of_documents, lines_of_documents_explained)}
+def visual_rows_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of cells put together from boxes: four words of a page's text are a cell, and every fifth cell stands half a line lower."""
+    html = spread(table(spark, sf_dir, "pages")).select("page_id", F.posexplode(F.split(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "\n"), "\n")).alias("j", "line"))
+    words = html.filter(F.trim("line") != "").select("page_id", "j", F.split(F.trim("line"), " +").alias("w"))
+    k, j = F.col("k"), F.col("j")
+    cells = words.select("page_id", "j", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(4)), lambda i: F.array_join(F.slice("w", i, 4), " "))).alias("k", "text"))
+    top = j * 20 + k % 3 + F.when(k % 5 == 4, 10).otherwise(0)
+    boxes = cells.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), (j * 100_000 + k).alias("line_id"), "text", (0.5 + k % 5 / 10).alias("confidence"), (k * 100.0).alias("left"), top.alias("top"), (k * 100.0 + 90).alias("right"), (top + 16).alias("bottom"))
+    return W.visual_rows(boxes).select(F.col("doc_id").alias("page_id"), "row_no", "text", F.round("confidence", 6).alias("confidence"), "left", "top", "right", "bottom", F.size("line_ids").alias("n_cells"))
+
+
+def wrapped_lines_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with those that a page broke put together."""
+    x = document_lines(spark, sf_dir).withColumn("boundary", F.lit(None).cast("string"))
+    return W.merge_wrapped(x, "report_id", "page_number").select("report_id", "page_number", "line_no", F.md5("text").alias("text_md5"), F.size("line_ids").alias("n_lines"))
+
+
+def budgets_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that a budget of 2,000 characters has room for, by priority."""
+    x = document_lines(spark, sf_dir).select("report_id", (F.length("text") % 5).alias("priority"), F.col("line_id").alias("line_no"), "text")
+    return W.fill_budget(x, "report_id", 2000).select("report_id", "line_no", F.length("text").alias("size"))
+
+
+QUERIES = {f.__name__: f for f in (visual_rows_of_pages, wrapped_lines_of_documents, budgets_of_documents, units_of_documents, narrative_units_of_documents, units_of_sources, findings_within_tolerance, results_by_source_line, results_in_lines_of_documents, findings_in_lines_of_documents, facts_in_lines_of_documents, lines_of_documents_explained)}
 
 _BARE = lambda x: f"regexp_replace(lower(translate(coalesce({x}, ''), '（）', '()')), '[()，,。.:：;；、|\\s_\\-]+', '', 'g')"
 _LINES = f"""
@@ -181,4 +205,35 @@ SQL |= {
     "units_of_sources": _packed(
         "x as (select coalesce(source, '') as d, row_number() over (partition by coalesce(source, '') order by doc_id) - 1 as place, length(coalesce(text, '')) as ch, length(coalesce(text, '')) % 40 as c, length(coalesce(text, '')) % 7 as m from documents)", "source", 12, 60
     ),
+    "visual_rows_of_pages": r"""
+        with s as (select page_id, string_split(regexp_replace(coalesce(html, ''), '<[^>]*>', chr(10), 'g'), chr(10)) as s from pages),
+        l as (select page_id, unnest(range(0, len(s))) as j, s from s),
+        w as (select page_id, j, string_split_regex(trim(s[j + 1], ' '), ' +') as w from l where trim(s[j + 1], ' ') <> ''),
+        c as (select page_id, j, w, unnest(range(0, (len(w) + 3) // 4)) as k from w),
+        b as (select page_id, j, k, k % 5 = 4 as low, array_to_string(w[4 * k + 1 : 4 * k + 4], ' ') as text, j * 20 + k % 3 + case when k % 5 = 4 then 10 else 0 end as top from c)
+        select page_id, cast(row_number() over (partition by page_id order by j, low) - 1 as integer) as row_no, string_agg(text, ' | ' order by k) as text, round(avg(0.5 + k % 5 / 10), 6) as confidence,
+          cast(min(k) * 100 as double) as left, cast(min(top) as double) as top, cast(max(k) * 100 + 90 as double) as right, cast(max(top) + 16 as double) as bottom, cast(count(*) as integer) as n_cells
+        from b group by page_id, j, low
+    """,
+    "wrapped_lines_of_documents": r"""
+        with recursive l as (select doc_id, i // 40 as page, i % 40 as line_no, s[i + 1] as text from (select doc_id, s, unnest(range(0, len(s))) as i from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null))),
+        w(doc_id, page, line_no, start, k, acc) as (
+          select doc_id, page, line_no, line_no, 1, text from l where line_no = 0
+          union all
+          select l.doc_id, l.page, l.line_no, case when g then w.start else l.line_no end, case when g then w.k + 1 else 1 end, case when g then w.acc || l.text else l.text end
+          from w join l on l.doc_id = w.doc_id and l.page = w.page and l.line_no = w.line_no + 1,
+            lateral (select length(w.acc) >= 24 and not regexp_matches(w.acc, '[。！？；;:：.!?]$') and not regexp_matches(w.acc, '[|｜]') and not regexp_matches(l.text, '[|｜]') and not regexp_matches(l.text, '^\s*(?:[-•*]|\d{1,2}[.、)])') as g)
+        )
+        select doc_id as report_id, cast(page as integer) as page_number, start as line_no, md5(arg_max(acc, k)) as text_md5, cast(max(k) as integer) as n_lines from w group by 1, 2, 3
+    """,
+    "budgets_of_documents": """
+        with recursive l as (select doc_id, doc_id * 1000000 + i as line_no, length(s[i + 1]) as n from (select doc_id, s, unnest(range(0, len(s))) as i from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null))),
+        o as (select *, row_number() over (partition by doc_id order by n % 5, line_no) as r from l),
+        w(doc_id, r, line_no, n, taken, spent) as (
+          select doc_id, r, line_no, n, n <= 2000, case when n <= 2000 then n else 0 end from o where r = 1
+          union all
+          select o.doc_id, o.r, o.line_no, o.n, spent + o.n <= 2000, case when spent + o.n <= 2000 then spent + o.n else spent end from w join o on o.doc_id = w.doc_id and o.r = w.r + 1
+        )
+        select doc_id as report_id, line_no, cast(n as integer) as size from w where taken
+    """,
 }

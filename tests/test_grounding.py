@@ -158,3 +158,68 @@ def test_near_duplicate_texts_find_pairs_without_shared_lines(spark):
     texts = [(1, long), (2, long[:2000] + "zz" + long[2002:]), (3, long), (4, "\n".join(lined)), (5, "\n".join([*lined[:11], say(8)])), (6, say(600)), (7, "short"), (8, None), (None, long), (1, long)]
     got = {(r.a, r.b, r.confidence) for r in duplicates.near_duplicate_texts(spark.createDataFrame(texts, "id long, t string").withColumn("a", F.lit(1)), "id", "t").collect()}
     assert got == {(1, 2, "high"), (1, 3, "same"), (4, 5, "high")}
+
+
+def test_redirects_are_followed_however_far(spark):
+    from quernstone.operators import dictionary
+
+    pairs = [(f"k{i}", f"k{i + 1}") for i in range(100)] + [("x", "y"), ("y", "z"), ("z", "x"), ("in", "x"), ("k5", "zz"), (None, "k1"), ("n", None)]
+    ends = {r.from_key: r.to_key for r in dictionary.resolve_redirects(spark.createDataFrame(pairs, "from_key string, to_key string")).collect()}
+    assert all(ends[f"k{i}"] == "k100" for i in range(100)) and set(ends) == {f"k{i}" for i in range(100)} | {"x", "y", "z", "in"}
+    assert all(ends[k] in {"x", "y", "z"} for k in ("x", "y", "z", "in"))
+    assert dictionary.resolve_redirects(spark.createDataFrame([], "from_key string, to_key string")).count() == 0
+
+
+def naive_rows(cells):
+    """Each cell joins the last row that it overlaps, all rows looked at."""
+    height = sorted(c["bottom"] - c["top"] for c in cells)
+    height = (height[(len(height) - 1) // 2] + height[len(height) // 2]) / 2
+    share = lambda a0, a1, b0, b1: max(0.0, min(a1, b1) - max(a0, b0)) / min(a1 - a0, b1 - b0) if min(a1 - a0, b1 - b0) > 0 else 0.0
+    rows = []
+    for c in sorted(cells, key=lambda c: (round(c["top"] / (height * 0.45)), c["left"], c["line_id"])):
+        for row in reversed(rows):
+            tall = share(min(x["top"] for x in row), max(x["bottom"] for x in row), c["top"], c["bottom"]) >= 0.55
+            if tall and all(share(x["left"], x["right"], c["left"], c["right"]) < 0.25 for x in row):
+                row.append(c)
+                break
+        else:
+            rows.append([c])
+    return [" | ".join(x["text"] for x in sorted(row, key=lambda x: x["left"])) for row in rows]
+
+
+def test_visual_rows_equal_a_search_of_all_rows(spark):
+    from quernstone.operators import folds
+
+    rng = random.Random(12)
+    pages = {}
+    for p in range(30):
+        cells = []
+        for i in range(rng.randint(1, 40)):
+            top, left = rng.uniform(0, 200), rng.uniform(0, 300)
+            cells.append({"line_id": f"{i:03d}", "text": f"t{i}", "top": top, "left": left, "right": left + rng.uniform(5, 80), "bottom": top + rng.choice([10, 12, 15, 40])})
+        pages[p] = cells
+    rows = [("d", p, c["line_id"], c["text"], None, c["left"], c["top"], c["right"], c["bottom"]) for p, cells in pages.items() for c in cells]
+    df = spark.createDataFrame(rows, "doc_id string, page int, line_id string, text string, confidence double, left double, top double, right double, bottom double")
+    got = {}
+    for r in sorted(folds.visual_rows(df).collect(), key=lambda r: r.row_no):
+        got.setdefault(r.page, []).append(r.text)
+    assert got == {p: naive_rows(cells) for p, cells in pages.items()}
+
+
+def test_a_budget_is_filled_by_priority(spark):
+    from quernstone.operators import folds
+
+    rng = random.Random(3)
+    rows = [(f"d{i % 3}", rng.randrange(4), i, "x" * rng.choice([0, 1, 5, 20, 60, 200]), "keep") for i in range(120)] + [("d0", 0, 500, None, "keep")]
+    want = []
+    for d in ("d0", "d1", "d2"):
+        left = 100
+        for r in sorted((r for r in rows if r[0] == d), key=lambda r: (r[1], r[2])):
+            if len(r[3] or "") <= left:
+                left -= len(r[3] or "")
+                want.append((d, r[2]))
+    got = folds.fill_budget(spark.createDataFrame(rows, "doc_id string, priority int, line_no int, text string, other string"), budget=100).collect()
+    assert sorted((r.doc_id, r.line_no) for r in got) == sorted(want) and all(r.other == "keep" for r in got)
+    for d in ("d0", "d1", "d2"):
+        at = [r.line_no for r in got if r.doc_id == d]
+        assert at == sorted(at)

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.sources import files, sinks, tables
@@ -67,3 +68,43 @@ def test_declared_tables(spark, tmp_path):
     assert spark.sql("select count(*) from member_permissions").first()[0] == 1
     assert "member_permissions" in tables.known_tables(spark)
     assert {(r.table, r.n) for r in tables.row_counts({"a": df, "b": df.limit(0)}).collect()} == {("a", 1), ("b", 0)}
+
+
+def test_dictionaries_are_activated_and_rolled_back(spark, tmp_path):
+    from quernstone.operators.dictionary import content_hash
+
+    path, columns = str(tmp_path / "dictionary"), ["k", "v"]
+    one, two, three = (spark.createDataFrame(d, "k string, v int") for d in ([("a", 1)], [("a", 2), ("b", None)], [("c", 3)]))
+    digest = content_hash(two, columns).first().digest
+    assert digest == content_hash(two.orderBy("k", ascending=False), columns).first().digest
+    assert content_hash(one.union(one), columns).first().digest != content_hash(one, columns).first().digest
+    assert sinks.activate(one, path, columns) == 1
+    with pytest.raises(ValueError, match="digest"):
+        sinks.activate(one, path, columns, expected=digest)
+    assert sinks.activate(two, path, columns, expected=digest, base=1) == 2
+    assert sinks.activate(two, path, columns) == 2  # the same rows: nothing to do
+    with pytest.raises(RuntimeError, match="not 1"):
+        sinks.activate(three, path, columns, base=1)
+    assert sinks.roll_back(spark, path, 1, base=2) == 3
+    assert [tuple(r) for r in sinks.current(spark, path).collect()] == [("a", 1)]
+    with pytest.raises(ValueError, match="no version 9"):
+        sinks.roll_back(spark, path, 9)
+
+
+def test_of_two_writers_at_once_one_succeeds(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "t")
+    sinks.publish(spark.createDataFrame([(0,)], "k int"), path)
+
+    def write(i):
+        try:
+            return sinks.publish(spark.createDataFrame([(i,)], "k int"), path, base=1), i
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [x for x in pool.map(write, range(1, 5)) if x]
+    assert len(won) == 1 and won[0][0] == 2
+    assert [r.k for r in sinks.current(spark, path).collect()] == [won[0][1]]
+    assert sinks.publish(spark.createDataFrame([(9,)], "k int"), path) == 3

@@ -85,6 +85,12 @@ def units_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pack_pages(d.select("source", "place", F.col("n").alias("characters"), (F.col("n") % 40).alias("candidate_rows"), (F.col("n") % 7).alias("morphology_rows")), "source")
 
 
+def omission_units_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third line of the documents as left over, in blocks and units for a second look."""
+    x = document_lines(spark, sf_dir).filter("line_id % 3 = 1").withColumn("mode", F.when(F.length("text") % 4 == 0, "morphology").otherwise("scalar"))
+    return P.omission_units(x)
+
+
 def findings_within_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of events, folded where regions don't contradict and sizes are within half a millimetre."""
     i, v = F.col("event_id"), F.round(F.abs("value") % 6, 1)
@@ -125,7 +131,7 @@ def budgets_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.fill_budget(x, "report_id", 2000).select("report_id", "line_no", F.length("text").alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (visual_rows_of_pages, wrapped_lines_of_documents, budgets_of_documents, units_of_documents, narrative_units_of_documents, units_of_sources, findings_within_tolerance, results_by_source_line, results_in_lines_of_documents, findings_in_lines_of_documents, facts_in_lines_of_documents, lines_of_documents_explained)}
+QUERIES = {f.__name__: f for f in (visual_rows_of_pages, wrapped_lines_of_documents, budgets_of_documents, units_of_documents, narrative_units_of_documents, units_of_sources, omission_units_of_documents, findings_within_tolerance, results_by_source_line, results_in_lines_of_documents, findings_in_lines_of_documents, facts_in_lines_of_documents, lines_of_documents_explained)}
 
 _BARE = lambda x: f"regexp_replace(lower(translate(coalesce({x}, ''), '（）', '()')), '[()，,。.:：;；、|\\s_\\-]+', '', 'g')"
 _LINES = f"""

@@ -223,3 +223,30 @@ def test_a_budget_is_filled_by_priority(spark):
     for d in ("d0", "d1", "d2"):
         at = [r.line_no for r in got if r.doc_id == d]
         assert at == sorted(at)
+
+
+def test_lines_left_over_are_packed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 70)
+    rng = random.Random(8)
+    rows = [(f"r{rng.randrange(3)}", rng.randrange(60), i, "x" * rng.choice([0, 3, 40, 300]), rng.choice(["scalar", "scalar", "morphology"])) for i in range(2500)]
+    df = spark.createDataFrame(rows, "report_id string, page_number int, line_no int, text string, mode string")
+    want = set()
+    for key in {(r[0], r[4]) for r in rows}:
+        most, blocks = 16 if key[1] == "morphology" else 30, []
+        mine = sorted((r for r in rows if (r[0], r[4]) == key), key=lambda r: (r[1], r[2]))
+        for p in sorted({r[1] for r in mine}):
+            some = [r for r in mine if r[1] == p]
+            blocks += [(p, sum(len(r[3]) + 1 for r in some[i : i + most]) - 1, len(some[i : i + most])) for i in range(0, len(some), most)]
+        at, unit = 0, 1
+        for k in range(1, len(blocks) + 1):
+            some = blocks[at : k + 1]
+            n = sum(b[2] for b in some)
+            ch, c, m = sum(b[1] for b in some) + 2 * (len(some) - 1), n, n if key[1] == "morphology" else 0
+            pages = len({b[0] for b in some})
+            if k == len(blocks) or pages > 24 or ch > 8000 or c > 60 or 768 + 96 * pages + 100 * c + 180 * m + min(768, -(-ch // 8)) > 12000:
+                took = blocks[at:k]
+                n = sum(b[2] for b in took)
+                want.add((*key, unit, at, len({b[0] for b in took}), sum(b[1] for b in took), n, n if key[1] == "morphology" else 0))
+                at, unit = k, unit + 1
+    got = {tuple(r) for r in packing.omission_units(df).collect()}
+    assert got == want and len(got) > 40

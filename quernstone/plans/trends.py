@@ -35,7 +35,7 @@ def trend_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     flag = F.when(F.col("event_id") % 17 == 0, "high").when(F.col("event_id") % 13 == 0, "normal")
     a = attention(F.col("value"), F.col("low"), F.col("high"), flag)
-    rows = events.join(F.broadcast(ranges), "event_type")  # one row for each type of event
+    rows = events.join(ranges, "event_type")
     return rows.select("event_id", a["level"].alias("level"), a["boundary"].alias("boundary")).filter("level <> 'none'")
 
 

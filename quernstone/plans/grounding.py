@@ -93,11 +93,12 @@ def omission_units_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_within_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of events, folded where regions don't contradict and sizes are within half a millimetre."""
-    i, v = F.col("event_id"), F.round(F.abs("value") % 6, 1)
+    i, v = F.col("event_id"), F.floor(F.abs("value") * 10) % 60 / 10
     x = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 500).alias("report_id"), F.col("event_type").alias("organ"), i.alias("position"), F.when(i % 4 > 0, F.concat(F.lit("region "), i % 2)).alias("region"),
         F.when(i % 3 > 0, F.when(i % 5 > 0, F.array(v + 3, v)).otherwise(F.array(v))).alias("sizes"), F.concat(F.lit("text "), "props").alias("raw_text"))
-    return D.fold_findings(x, ["report_id", "organ"], ["position"], longest=("raw_text",))
+    out = D.fold_findings(x, ["report_id", "organ"], ["position"], longest=("raw_text",))
+    return out.withColumn("sizes", F.coalesce(F.array_join(F.transform("sizes", lambda v: v.cast("decimal(10,1)").cast("string")), ","), F.lit("")))
 
 
 def results_by_source_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ def results_by_source_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     keys = F.array_compact(F.array(F.when(i % 5 > 0, F.concat(F.lit("line "), F.floor(i / 300))), F.when(i % 7 > 2, F.concat(F.lit("quote "), F.abs(F.floor("value")) % 40))))
     x = table(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("report_id"), F.col("event_type").alias("name"), i.alias("position"), keys.alias("keys"), F.when(i % 3 == 0, F.concat(F.lit("u"), i % 9)).alias("unit"))
-    return D.fold_by_first_key(x, ["report_id", "name"], ["position"], "keys")
+    return D.fold_by_first_key(x, ["report_id", "name"], ["position"], "keys").withColumn("keys", F.array_join("keys", ","))
 
 
 def visual_rows_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,4 +243,64 @@ SQL |= {
         )
         select doc_id as report_id, line_no, cast(n as integer) as size from w where taken
     """,
+    "omission_units_of_documents": """
+        with recursive l as (
+          select doc_id as d, i // 40 as page, i % 40 as line_no, length(s[i + 1]) as n from (select doc_id, s, unnest(range(0, len(s))) as i from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null)) where (doc_id * 1000000 + i) % 3 = 1
+        ), k as (select *, n % 4 = 0 as morph, row_number() over (partition by d, n % 4 = 0, page order by line_no) - 1 as r from l),
+        b as (select d, morph, page, r // case when morph then 16 else 30 end as chunk, cast(sum(n + 1) - 1 as bigint) as ch, count(*) as c from k group by all),
+        x as (select *, row_number() over (partition by d, morph order by page, chunk) - 1 as place, case when morph then c else 0 end as m from b),
+        p(d, morph, place, unit, k, page, g, ch, c, m) as (
+          select d, morph, place, 1, 1, page, 1, ch, c, m from x where place = 0
+          union all
+          select x.d, x.morph, x.place, case when fits then p.unit else p.unit + 1 end, case when fits then p.k + 1 else 1 end, x.page, case when fits then p.g + cast(x.page <> p.page as integer) else 1 end,
+            case when fits then p.ch + x.ch else x.ch end, case when fits then p.c + x.c else x.c end, case when fits then p.m + x.m else x.m end
+          from p join x on x.d = p.d and x.morph = p.morph and x.place = p.place + 1,
+            lateral (select p.g + cast(x.page <> p.page as integer) <= 24 and p.ch + x.ch + 2 * p.k <= 8000 and p.c + x.c <= 60
+              and 768 + 96 * (p.g + cast(x.page <> p.page as integer)) + 100 * (p.c + x.c) + 180 * (p.m + x.m) + least(768, (p.ch + x.ch + 2 * p.k + 7) // 8) <= 12000 as fits)
+        )
+        select x.d as report_id, case when x.morph then 'morphology' else 'scalar' end as mode, cast(unit as bigint) as unit, cast(min(x.place) as bigint) as first, count(distinct x.page) as n_pages, cast(sum(x.ch) as bigint) as characters,
+          cast(sum(x.c) as bigint) as candidate_rows, cast(sum(x.m) as bigint) as morphology_rows
+        from p join x on x.d = p.d and x.morph = p.morph and x.place = p.place group by x.d, x.morph, unit
+    """,
+    "findings_within_tolerance": """
+        with recursive e as (
+          select user_id % 500 as report_id, event_type as organ, event_id as position, case when event_id % 4 > 0 then 'region ' || event_id % 2 end as region,
+            case when event_id % 3 > 0 then case when event_id % 5 > 0 then [v + 3, v] else [v] end end as sizes, 'text ' || props as raw
+          from (select *, cast(floor(abs(value) * 10) as bigint) % 60 / 10 as v from events)
+        ), o as (
+          select *, row_number() over (partition by report_id, organ order by position) as n, coalesce(len(sizes), 0) + cast(region is not null as integer) + cast(coalesce(raw, '') <> '' as integer) as says from e
+        ), w(report_id, organ, n, kept) as (
+          select report_id, organ, n, [{'position': position, 'region': region, 'sizes': sizes, 'raw': raw}] from o where n = 1
+          union all
+          select o.report_id, o.organ, o.n, case when at_k is null then list_append(kept, {'position': o.position, 'region': o.region, 'sizes': o.sizes, 'raw': o.raw})
+            else list_concat(list_concat(kept[: at_k - 1], [case when o.says > coalesce(len(kept[at_k].sizes), 0) + cast(kept[at_k].region is not null as integer) + cast(coalesce(kept[at_k].raw, '') <> '' as integer)
+              then {'position': kept[at_k].position, 'region': coalesce(o.region, kept[at_k].region), 'sizes': case when coalesce(len(o.sizes), 0) > 0 then o.sizes else kept[at_k].sizes end,
+                    'raw': case when length(kept[at_k].raw) > length(coalesce(o.raw, '')) then kept[at_k].raw else o.raw end}
+              else {'position': kept[at_k].position, 'region': coalesce(kept[at_k].region, o.region), 'sizes': case when coalesce(len(kept[at_k].sizes), 0) > 0 then kept[at_k].sizes else o.sizes end,
+                    'raw': case when length(o.raw) > length(coalesce(kept[at_k].raw, '')) then o.raw else kept[at_k].raw end} end]), kept[at_k + 1 :]) end
+          from w join o on o.report_id = w.report_id and o.organ = w.organ and o.n = w.n + 1,
+            lateral (select list_position(list_transform(w.kept, lambda k: (k.region is null or o.region is null or k.region = o.region) and (coalesce(len(k.sizes), 0) = 0 or coalesce(len(o.sizes), 0) = 0
+              or len(k.sizes) = len(o.sizes) and abs(k.sizes[1] - o.sizes[1]) <= 0.5 and (len(k.sizes) = 1 or abs(k.sizes[2] - o.sizes[2]) <= 0.5))), true) as at_0), lateral (select nullif(at_0, 0) as at_k)
+        ), last as (select report_id, organ, unnest(arg_max(kept, n)) as k from w group by 1, 2)
+        select report_id, organ, k.position as position, k.region as region, coalesce(array_to_string(list_transform(k.sizes, lambda v: cast(cast(v as decimal(10, 1)) as varchar)), ','), '') as sizes, k.raw as raw_text from last
+    """,
+    "results_by_source_line": """
+        with recursive o as (
+          select *, row_number() over (partition by report_id, name order by position) as n from (
+            select user_id % 100 as report_id, event_type as name, event_id as position,
+              list_filter([case when event_id % 5 > 0 then 'line ' || event_id // 300 end, case when event_id % 7 > 2 then 'quote ' || cast(abs(floor(value)) as bigint) % 40 end], lambda x: x is not null) as ks,
+              case when event_id % 3 = 0 then 'u' || event_id % 9 end as unit
+            from events)
+        ), w(report_id, name, n, kept, known) as (
+          select report_id, name, n, [{'position': position, 'ks': ks, 'unit': unit}], list_transform(ks, lambda k: {'k': k, 'i': 1}) from o where n = 1
+          union all
+          select o.report_id, o.name, o.n,
+            case when at_ is null then list_append(w.kept, {'position': o.position, 'ks': o.ks, 'unit': o.unit})
+              else list_concat(list_concat(w.kept[: at_ - 1], [{'position': w.kept[at_].position, 'ks': list_concat(w.kept[at_].ks, list_filter(o.ks, lambda k: not list_contains(w.kept[at_].ks, k))), 'unit': coalesce(w.kept[at_].unit, o.unit)}]), w.kept[at_ + 1 :]) end,
+            list_concat(w.known, list_transform(o.ks, lambda k: {'k': k, 'i': cast(coalesce(at_, len(w.kept) + 1) as integer)}))
+          from w join o on o.report_id = w.report_id and o.name = w.name and o.n = w.n + 1,
+            lateral (select list_filter(list_transform(o.ks, lambda k: list_filter(w.known, lambda x: x.k = k)[-1].i), lambda i: i is not null)[1] as at_)
+        ), last as (select report_id, name, unnest(arg_max(kept, n)) as k from w group by 1, 2)
+        select report_id, name, k.position as position, array_to_string(k.ks, ',') as keys, k.unit as unit from last
+    """,
 }

@@ -38,7 +38,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     expected = con.execute(SQL[name])
     columns = [c[0] for c in expected.description]

@@ -70,6 +70,31 @@ def test_lines_of_results_findings_and_facts(spark):
     assert grounding.lines_of_results(df.limit(0), lf).count() == 0 and grounding.lines_of_findings(df, lf.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [3, 2000])
+def test_lines_meet_facts_without_copies_of_their_grams(spark, monkeypatch, large):
+    """Pages of more lines than are compared one by one lose nothing; the others send each line once."""
+    monkeypatch.setattr(grounding, "LARGE", large)
+    rng = random.Random(7)
+    lines = some_lines(rng, 40) + [(100, "big", 0, 0, "left lobe of the liver 12 mm")]
+    lf = spark.createDataFrame(lines, LINES)
+    facts = [(k, *rng.choice(lines)[1:3], rng.choice(lines)[4], rng.choice(["liver", "cyst", "a", None]), rng.choice(["12", "6.1", ""])) for k in range(30)]
+    df = spark.createDataFrame(facts, "fact_id long, report_id string, page_number int, quote string, name string, value string")
+    found = []
+    for f, report, page, *texts in facts:
+        quote, name, value = map(bare, texts)
+        for x, r, p, _, text in lines:
+            t = bare(text)
+            if (r, p) == (report, page) and t:
+                if len(quote) >= 4 and (quote in t or t in quote):
+                    found.append((f, x, 2))
+                elif len(name) >= 2 and value and name in t and value in t:
+                    found.append((f, x, 1))
+    got = grounding.lines_of_results(df, lf)
+    assert {tuple(r) for r in got.collect()} == once(found, lines, None) and found
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert large == 3 or "Generate" not in plan and "ArrowEvalPython" not in plan and "BroadcastHashJoin" not in plan
+
+
 def test_numbers_explain_a_line_as_whole_tokens_only(spark):
     lines = spark.createDataFrame([(1, "r", 0, 0, "wbc count is 6.1"), (2, "r", 0, 1, "wbc count is 16.1"), (3, "r", 0, 2, "left lobe 12 mm"), (4, "r", 0, 3, "lobe 112 mm"), (5, "q", 0, 0, "wbc count is 6.1")], LINES)
     results = spark.createDataFrame([("f", "r", None, "wbc", None, "6.1")], "fact_id string, report_id string, quote string, name string, value string, number string")

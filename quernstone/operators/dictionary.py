@@ -12,6 +12,7 @@ from quernstone.functions.text import narrow
 from quernstone.sources.tables import cut
 
 from .diffs import snapshot_diff
+from .normalize import DICTIONARY_ROWS
 
 
 def compact_alias(name: Column) -> Column:
@@ -100,10 +101,10 @@ def place(observations: DataFrame, categories: DataFrame, groups: DataFrame, kin
     """
     c = categories.select("category", F.col("group").alias("__cg"), "subgroup")
     out = observations.join(c, "category", "left")
-    hints = groups.select(F.col("group").alias("__hg"), "item_order", F.explode("hints").alias("hint"))
+    hints = _sent(groups.select(F.col("group").alias("__hg"), "item_order", F.explode("hints").alias("hint")))
     section = observations.filter("section_name is not null").select("id", compact_alias(F.col("section_name")).alias("s"))
     met = mentions(section, "s", hints.withColumn("name", compact_alias(F.col("hint")))).groupBy("id").agg(F.min_by("__hg", F.struct(-F.length("hint"), "item_order")).alias("__hg"))
-    out = out.join(met, "id", "left").join(kinds.select("report_type", F.col("group").alias("__kg")), "report_type", "left")
+    out = out.join(met.hint("merge"), "id", "left").join(kinds.select("report_type", F.col("group").alias("__kg")), "report_type", "left")
     by = F.when(F.col("__cg").isNotNull(), "category").when(F.col("__hg").isNotNull(), "section").when(F.col("__kg").isNotNull(), "report")
     return out.select(
         *observations.columns, F.coalesce("__cg", "__hg", "__kg").alias("group"), "subgroup", by.alias("placed_by"),
@@ -111,6 +112,11 @@ def place(observations: DataFrame, categories: DataFrame, groups: DataFrame, kin
     )
 
 
+def _sent(names: DataFrame) -> DataFrame:
+    """Names of up to ``DICTIONARY_ROWS`` go to every task; more are joined by a shuffle. Texts, however small their files, are never sent."""
+    return F.broadcast(names) if names.limit(DICTIONARY_ROWS + 1).count() <= DICTIONARY_ROWS else names.hint("merge")
+
+
 def mentions(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
     """Texts with each ``name`` that they hold: a row for each such pair.
 
@@ -132,7 +138,7 @@ def facts_for_lines(lines: DataFrame, aliases: DataFrame, most: int = 8) -> Data
     """
     cell = F.trim(F.get(F.split("text", r"[|｜]"), F.lit(0)))
     rows = lines.select("line_id", cell.alias("cell"), F.col("text").rlike(r"[|｜]").alias("table"), "text")
-    names = aliases.select("canonical_key", "alias", compact_alias(F.col("alias")).alias("name")).filter("name <> ''")
+    names = _sent(aliases.select("canonical_key", "alias", compact_alias(F.col("alias")).alias("name")).filter("name <> ''"))
     code = F.col("name").rlike(r"^[a-z][a-z0-9.+#%]{0,15}$")
     words = rows.select("line_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(narrow(F.col("cell"))), F.lit(r"([a-z][a-z0-9.+#%]*)"), 1))).alias("name"))
     by_code = words.join(names.filter(code & (F.length("name") >= 2)), "name")

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import duplicates, grounding, leaders, packing
+from quernstone.operators import dictionary, duplicates, grounding, leaders, packing, trends
 
 
 def bare(t):
@@ -103,6 +103,23 @@ def test_numbers_explain_a_line_as_whole_tokens_only(spark):
     assert got == {(1, False, True, False), (3, False, False, True)}
 
 
+def test_lines_are_never_sent_to_every_task(spark, tmp_path):
+    """Lines in a small file are many once they are read: the names are sent."""
+    spark.createDataFrame([(1, "wbc | 6.1"), (2, "提示白细胞升高")], "line_id long, text string").write.parquet(str(tmp_path / "lines"))
+    names = spark.createDataFrame([("cbc_wbc", "WBC"), ("cbc_wbc", "白细胞")], "canonical_key string, alias string")
+    found = dictionary.facts_for_lines(spark.read.parquet(str(tmp_path / "lines")), names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert {tuple(r) for r in found.collect()} == {(1, "cbc_wbc", "WBC"), (2, "cbc_wbc", "白细胞")}
+
+
+def test_series_are_shown_in_pinyin_order(spark):
+    """Names that a query's SQL doesn't list have their place too."""
+    names = ["总胆固醇", "心率", "息肉大小", "随机血糖", "尿白细胞", "脉搏", "空腹血糖", "白细胞计数"]
+    df = spark.createDataFrame([(n, "k", 2, "2024-01-30") for n in names], "name string, series_key string, point_count int, last_date string")
+    assert [r["name"] for r in trends.in_shown_order(df).collect()] == ["白细胞计数", "空腹血糖", "脉搏", "尿白细胞", "随机血糖", "息肉大小", "心率", "总胆固醇"]
+
+
 def next_fit(sizes, limits, joint=2):
     units, at = [], 0
     for k, s in enumerate(sizes):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.numeric import number_at
 from quernstone.operators.series import carry_forward
 
 # Name, pattern of its names, pattern of its unit, and plausible bounds.
@@ -23,18 +24,19 @@ def basic_measurements(lines: DataFrame, keys: list[str], order: list[str], text
 
     All patterns are tried in one projection of a line; the first line that has a value wins.
     """
-    found = []
-    for name, names, unit, low, high in BASIC:
+    found, numbers = [], {}
+    for at, (name, names, unit, low, high) in enumerate(BASIC):
         pattern = rf"(?i:{names})[^\d+\-参范]{{0,12}}([-+]?\d+(?:\.\d+)?)\s*({unit})"
-        value = F.regexp_extract(text, pattern, 1).try_cast("double")
+        numbers[f"__v{at}"], value = number_at(F.col(text), pattern), F.col(f"__v{at}")
         known = (value >= low) & (value <= high)
         found.append(F.when(known, F.struct(F.lit(name).alias("name"), value.alias("value"), F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).alias("unit"))))
     pressure = r"(?i:血压|BP)[^\d]{0,12}(\d{2,3})\s*[/／]\s*(\d{2,3})"
-    upper, lower = (F.regexp_extract(text, pressure, i).try_cast("double") for i in (1, 2))
+    numbers |= {"__upper": number_at(F.col(text), pressure), "__lower": number_at(F.col(text), pressure, 2)}
+    upper, lower = F.col("__upper"), F.col("__lower")
     both = upper.between(50, 280) & lower.between(30, 180)
     for name, value in (("收缩压", upper), ("舒张压", lower)):
         found.append(F.when(both, F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit("mmHg").alias("unit"))))
-    each = lines.select(*keys, *order, text, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("m"))
+    each = lines.withColumns(numbers).select(*keys, *order, text, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("m"))
     best = F.min_by(F.struct("m.value", "m.unit", F.col(text).alias("source")), F.struct(*order)).alias("b")
     return each.groupBy(*keys, F.col("m.name").alias("name")).agg(best).select(*keys, "name", "b.value", "b.unit", "b.source")
 
@@ -49,8 +51,8 @@ def vascular_values(lines: DataFrame, page: list[str], order: list[str], text: s
     names = r"(?:(?:ba\s*PWV|PWV|ABI|踝肱指数|踝臂指数)\s*)?"
     out = None
     for side, sign in (("right", "右"), ("left", "左")):
-        after = F.regexp_extract(text, rf"(?i){sign}(?:侧|踝)?\s*{names}[:：]?\s*(\d+(?:\.\d+)?)", 1).try_cast("double")
-        before = F.regexp_extract(text, rf"(?i)(?:ba\s*PWV|PWV|ABI|踝肱指数|踝臂指数)\s*[（(]?{sign}[）)]?\s*[:：]?\s*(\d+(?:\.\d+)?)", 1).try_cast("double")
+        after = number_at(F.col(text), rf"(?i){sign}(?:侧|踝)?\s*{names}[:：]?\s*(\d+(?:\.\d+)?)")
+        before = number_at(F.col(text), rf"(?i)(?:ba\s*PWV|PWV|ABI|踝肱指数|踝臂指数)\s*[（(]?{sign}[）)]?\s*[:：]?\s*(\d+(?:\.\d+)?)")
         part = rows.select(*page, *order, "metric", F.lit(side).alias("side"), F.coalesce(after, before).alias("value"))
         out = part if out is None else out.unionByName(part)
     fits = ((F.col("metric") == "abi") & F.col("value").between(0.2, 3)) | ((F.col("metric") == "bapwv") & F.col("value").between(100, 5000))

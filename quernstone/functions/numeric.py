@@ -11,7 +11,7 @@ NUMBER = r"[-+]?\d+(?:\.\d+)?"
 def first_number(text: Column) -> Column:
     """The first number in a text; thousands separators are dropped, comparison signs ignored."""
     bare = F.regexp_replace(F.regexp_replace(text, ",", ""), "[<>≤≥＜＞]", " ")
-    return F.regexp_extract(bare, NUMBER, 0).try_cast("double")
+    return number_at(bare, NUMBER, 0)
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
@@ -24,12 +24,17 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def number_at(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of a pattern's first match as a number; null without a match, where a cast of an empty text would throw and be caught for each row."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 0).try_cast("double")
+
+
 def reference_range(text: Column) -> Column:
     """``low``, ``high`` and ``text`` of a reference range: ``a-b``, ``<b``, ``>a`` and the like."""
     t = F.regexp_replace(F.trim(text), r"[～~—–－至]+|\s+to\s+", "-")
     both = r"(-?\d+(?:\.\d+)?)\s*-+\s*(-?\d+(?:\.\d+)?)"
     upper, lower = r"^(?:<|≤|＜|<=|小于|不超过)\s*=?\s*(\d+(?:\.\d+)?)", r"^(?:>|≥|＞|>=|大于|不低于)\s*=?\s*(\d+(?:\.\d+)?)"
-    num = lambda p, g: F.regexp_extract(t, p, g).try_cast("double")
+    num = lambda p, g: number_at(t, p, g)
     return F.struct(
         F.coalesce(num(both, 1), num(lower, 1)).alias("low"), F.coalesce(num(both, 2), num(upper, 1)).alias("high"), F.nullif(F.trim(text), F.lit("")).alias("text")
     )
@@ -102,7 +107,7 @@ def size_of(text: Column) -> Column:
     """``length, width, height, unit`` of a size like ``12×8×5 mm``; null without one."""
     p = r"(\d+(?:\.\d+)?)\s*(?:(mm|cm|毫米|厘米)\s*)?[×xX*＊]\s*(\d+(?:\.\d+)?)\s*(?:(?:mm|cm|毫米|厘米)\s*(?=[×xX*＊]))?(?:[×xX*＊]\s*(\d+(?:\.\d+)?))?\s*(mm|cm|毫米|厘米)?"
     unit = F.coalesce(F.nullif(F.regexp_extract(text, p, 5), F.lit("")), F.nullif(F.regexp_extract(text, p, 2), F.lit("")))
-    number = lambda g: F.regexp_extract(text, p, g).try_cast("double")
+    number = lambda g: number_at(text, p, g)
     named = F.when(unit.isin("cm", "厘米"), "cm").when(unit.isin("mm", "毫米"), "mm")
     return F.when(text.rlike(p), F.struct(number(1).alias("length"), number(3).alias("width"), number(4).alias("height"), named.alias("unit")))
 

@@ -161,8 +161,10 @@ def reprocess(reports: DataFrame, jobs: DataFrame, ids: DataFrame, columns: list
     again = F.col("__r").isNotNull()
     locked = lambda c: F.coalesce(F.array_contains(manual, c), F.lit(False))
     made = {c: F.when(again & ~locked(c), F.lit(None)).otherwise(F.col(c)) for c in columns} | {"status": F.when(again, "processing").otherwise(F.col("status"))}
-    j = jobs.join(once, F.col("report_id") == F.col("__r"), "left")
-    j = j.withColumn("status", F.when(F.col("__r").isNotNull() & (F.col("status") == "queued"), "cancelled").otherwise(F.col("status"))).drop("__r")
+    waits = F.coalesce(F.col("status") == "queued", F.lit(False))  # other jobs stay as they are and meet no report
+    j = jobs.filter(waits).join(once, F.col("report_id") == F.col("__r"), "left")
+    j = j.withColumn("status", F.when(F.col("__r").isNotNull(), "cancelled").otherwise("queued")).drop("__r")
+    j = j.unionByName(jobs.filter(~waits))
     return r.select(*[made.get(c, F.col(c)).alias(c) for c in reports.columns]), j
 
 

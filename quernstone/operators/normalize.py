@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,11 @@ def context_penalty(key: Column, context: Column, name_text: Column) -> Column:
 
 
 def match_scores(candidates: DataFrame) -> DataFrame:
-    """Add ``score`` and ``unit_compatible`` to candidate rows (an observation with one entry of the dictionary)."""
+    """Add ``score`` and ``unit_compatible`` to candidate rows (a kind of observation with one entry of the dictionary)."""
     unit, default = F.col("raw_unit"), canonical_unit(F.col("default_unit"))
     allowed = F.transform(F.coalesce("allowed_units", F.array().cast("array<string>")), canonical_unit)
     compatible = unit.isNull() | (default.isNull() & (F.size(allowed) == 0)) | F.array_contains(allowed, unit) | F.coalesce(unit == default, F.lit(False)) | F.col("convertible")
-    numeric, kind = F.col("number").isNotNull(), F.col("value_type") == "numeric"
+    numeric, kind = F.col("has_number"), F.col("value_type") == "numeric"
     bare = lambda c: F.regexp_replace(F.lower(narrow(c)), r"[\s\p{P}]+", "")
     hinted = F.exists(F.coalesce("section_hints", F.array().cast("array<string>")), lambda h: F.contains(bare(F.col("context")), bare(h)))
     score = (
@@ -62,37 +64,42 @@ def normalize_observations(observations: DataFrame, dictionary: DataFrame) -> Da
 
     ``observations``: ``id, item_name, result_text, numeric_value, unit, section_name, report_type``.
     ``dictionary``: ``normalized_alias, canonical_key, display_name, default_unit, value_type, trend_enabled, scope,
-    allowed_units, section_hints``. Every observation has one row in the result. The variants of a name are
-    exploded and joined by equality; the best score is an aggregate by observation, ties going to the
-    smaller key. Without a match the quality is ``low`` and the reason says so.
+    allowed_units, section_hints``. Every observation has one row in the result. A match depends on no more than
+    name, unit, section, report type and whether there is a number, so each such kind is matched once and joined
+    with its observations. The variants of a name are exploded and joined by equality; the best score is an
+    aggregate by kind, ties going to the smaller key. Without a match the quality is ``low`` and the reason says so.
     """
     spark = observations.sparkSession
-    context = F.concat_ws(" ", "section_name", "report_type")
-    obs = observations.select(
-        "id", "item_name", canonical_unit(F.col("unit")).alias("raw_unit"),
-        F.coalesce("numeric_value", first_number(F.col("result_text"))).alias("number"), context.alias("context"), name_variants(F.col("item_name")).alias("variants"),
-    )
+    what = ["item_name", "unit", "section_name", "report_type", "has_number"]
+    obs = observations.select("id", *what[:-1], F.coalesce("numeric_value", first_number(F.col("result_text"))).alias("number")).withColumn("has_number", F.col("number").isNotNull())
+    kinds = obs.select(*what).distinct().withColumns({"raw_unit": canonical_unit(F.col("unit")), "context": F.concat_ws(" ", "section_name", "report_type")})
     small = dictionary.limit(DICTIONARY_ROWS + 1).count() <= DICTIONARY_ROWS
     names = F.broadcast(dictionary) if small else dictionary
-    met = obs.withColumn("normalized_alias", F.explode("variants")).join(names, "normalized_alias")
+    # The outer form, as Spark would test for empty lists on each observation, before it looks for the kinds.
+    met = kinds.withColumn("normalized_alias", F.explode_outer(name_variants(F.col("item_name")))).join(names, "normalized_alias")
     table = F.broadcast(conversion_table(spark))
     rule = table.select(F.col("key").alias("canonical_key"), F.col("from_unit").alias("raw_unit"), F.col("to_unit").alias("__to"), F.col("factor").alias("__f"), F.col("op").alias("__o"))
     met = met.withColumn("__to", canonical_unit(F.col("default_unit"))).join(rule, ["canonical_key", "raw_unit", "__to"], "left")
     op, factor = length_rule(F.col("raw_unit"), F.col("__to"))
     met = met.withColumns({"op": F.coalesce("__o", op), "factor": F.coalesce("__f", factor)})
     scored = match_scores(met.withColumn("convertible", F.col("factor").isNotNull()))
-    value = F.when(F.col("op") == "divide", F.col("number") / F.col("factor")).when(F.col("op") == "multiply", F.col("number") * F.col("factor")).otherwise(F.col("number"))
-    excluded = ~F.col("trend_enabled") | (F.col("value_type") != "numeric") | F.col("number").isNull()
+    excluded = ~F.col("trend_enabled") | (F.col("value_type") != "numeric") | ~F.col("has_number")
     why = (
-        F.when(~F.col("trend_enabled"), "not_for_trends").when(F.col("value_type") != "numeric", "not_numeric").when(F.col("number").isNull(), "no_number").when(~F.col("unit_compatible"), "unit")
+        F.when(~F.col("trend_enabled"), "not_for_trends").when(F.col("value_type") != "numeric", "not_numeric").when(~F.col("has_number"), "no_number").when(~F.col("unit_compatible"), "unit")
     )
     row = F.struct(
-        "canonical_key", "display_name", value.alias("canonical_value"), F.coalesce("__to", "raw_unit").alias("canonical_unit"),
+        "canonical_key", "display_name", "op", "factor", F.coalesce("__to", "raw_unit").alias("canonical_unit"),
         (F.least(F.greatest("score", F.lit(0)), F.lit(100)) / 100).alias("confidence"), quality_bucket(F.col("score"), excluded).alias("quality"), F.when(excluded, why).alias("excluded_reason"),
     )
-    best = scored.select("id", "score", "canonical_key", row.alias("row")).groupBy("id").agg(F.min_by("row", F.struct(-F.col("score"), F.col("canonical_key"))).alias("b"))
-    out = obs.select("id").join(best, "id", "left").select("id", "b.*")
-    return out.withColumns({"quality": F.coalesce("quality", F.lit("low")), "confidence": F.coalesce("confidence", F.lit(0.0)), "excluded_reason": F.when(F.col("canonical_key").isNull(), "unmatched").otherwise(F.col("excluded_reason"))})
+    best = scored.select(*what, "score", "canonical_key", row.alias("row")).groupBy(*what).agg(F.min_by("row", F.struct(-F.col("score"), F.col("canonical_key"))).alias("b"))
+    best = best.select(*[F.col(c).alias(f"__{c}") for c in what], "b.*")
+    out = obs.join(best, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in what]), "left")
+    value = F.when(F.col("op") == "divide", F.col("number") / F.col("factor")).when(F.col("op") == "multiply", F.col("number") * F.col("factor")).otherwise(F.col("number"))
+    return out.select(
+        "id", "canonical_key", "display_name", F.when(F.col("canonical_key").isNotNull(), value).alias("canonical_value"), "canonical_unit",
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("quality", F.lit("low")).alias("quality"),
+        F.when(F.col("canonical_key").isNull(), "unmatched").otherwise(F.col("excluded_reason")).alias("excluded_reason"),
+    )
 
 
 def unmatched_pool(normalized: DataFrame, observations: DataFrame, most: int = 100) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,32 @@ def drop_repeated_points(points: DataFrame, series: list[str], rank: str, same:
     return p.join(o, cond, "left_anti").select("p.*")
 
 
+def drop_near_points(points: DataFrame, series: list[str], value: str, order: str, apart: float) -> DataFrame:
+    """Drop points whose value lies less than ``apart`` from that of an earlier one of their series, dropped or not.
+
+    As ``drop_repeated_points`` with that rule, but no two points of a series are compared unless they are about that near.
+    ``order`` is a column that tells all points of a series apart; points without a finite value stay. Copies of a value
+    are folded first. Values are dealt into cells narrower than ``apart``, of which only the first point can stay; it goes
+    if an earlier point in one of the two cells on either side is near enough, so each point meets at most five others.
+    """
+    width = 2.0 ** (math.ceil(math.log2(apart)) - 1)  # a power of two, so that no cell is off by rounding
+    v, row, no = F.col("__v"), [c for c in points.columns if c not in series], lambda c: F.coalesce(c, F.lit(False))
+    lone = F.col(value).isNull() | F.isnan(value) | (F.abs(value) == math.inf)
+    once = points.withColumns({"__v": F.col(value).cast("double"), "__lone": F.when(lone, F.col(order))})
+    once = once.groupBy(*series, "__lone", "__v").agg(F.min_by(F.struct(*row), F.col(order)).alias("__row"), F.min(order).alias("__at"))
+    by_value = Window.partitionBy(*series).orderBy("__v")
+    near = no(v - F.lag("__v").over(by_value) < apart) | no(F.lead("__v").over(by_value) - v < apart)
+    cell = F.when(F.abs(v) < 2.0**53 * width, F.rint(v / width) * width).otherwise(v)
+    around = F.array_distinct(F.array(*[F.col("__cell") + k * width for k in (0, -2, -1, 1, 2)]))
+    dealt = once.withColumns({"__near": near, "__cell": cell}).withColumn("__in", F.explode(F.when(F.col("__near"), around).otherwise(F.array("__cell"))))
+    dealt = dealt.withColumn("__guest", ~F.col("__in").eqNullSafe(F.col("__cell")))
+    first = F.first(F.struct("__at", "__v")).over(Window.partitionBy(*series, "__lone", "__in").orderBy("__guest", "__at"))
+    dealt = dealt.withColumn("__first", first)
+    hit = F.col("__guest") & (F.col("__at") < F.col("__first.__at")) & (F.abs(v - F.col("__first.__v")) < apart)
+    kept = dealt.groupBy(*series, "__lone", "__in").agg(F.min_by(F.struct("__guest", "__row"), F.struct("__guest", "__at")).alias("__b"), F.max(no(hit)).alias("__hit"))
+    return kept.filter(~F.col("__hit") & ~F.col("__b.__guest")).select(*[c if c in series else F.col(f"__b.__row.{c}").alias(c) for c in points.columns])
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, include_current: bool = True) -> DataFrame:
     """The last non-null value so far (or so far, but before this row)."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if include_current else -1)

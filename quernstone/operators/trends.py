@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from quernstone.functions.numeric import attention
 
 from .listing import top_per_group
-from .series import drop_repeated_points
+from .series import drop_near_points, drop_repeated_points
 
 
 def series_summary(points: DataFrame, keys: list[str], time: str, value: str, tie: str) -> DataFrame:
@@ -68,24 +68,36 @@ def trend_series(points: DataFrame, same: Column | None = None, most_left_out: i
     """Series of a member by key and unit: counts, dates, latest and previous value, range, names, attention, points left out.
 
     Repeated points are dropped first: equal day and value by default, or by any condition ``same`` between aliases ``p`` and
-    an earlier ``o``. The first in the order of date, filed reports, match quality and ids stays.
+    an earlier ``o``. The first in the order of date, filed reports, match quality and ids stays. Each day of a series is
+    summed up before the series is, so a long one is no single task's sort.
     """
     keys = ["member_id", "series_key", "series_unit"]
-    used = points.filter("left_out is null and series_key is not null")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("sort_date", F.when(F.col("status") == "ready", 0).otherwise(1), F.when(F.col("quality") == "high", 0).otherwise(1), "report_id", "id"))
-    same = same if same is not None else (F.substring("p.sort_date", 1, 10) == F.substring("o.sort_date", 1, 10)) & (F.abs(F.col("p.value") - F.col("o.value")) < 1e-9)
-    kept = drop_repeated_points(used.withColumn("__rank", rank), keys, "__rank", same)
+    used = points.filter("left_out is null and series_key is not null").withColumns({
+        "__day": F.substring("sort_date", 1, 10),
+        "__at": F.struct("sort_date", F.when(F.col("status") == "ready", 0).otherwise(1).alias("filed"), F.when(F.col("quality") == "high", 0).otherwise(1).alias("sure"), "report_id", "id"),
+    })
+    if same is not None:
+        kept = drop_repeated_points(used, keys, "__at", same)
+    else:
+        kept = drop_near_points(used.withColumn("__dated", F.when(F.col("__day").isNotNull(), F.col("value"))), [*keys, "__day"], "__dated", "__at", 1e-9)
     a = attention(F.col("value"), F.col("reference_low"), F.col("reference_high"), F.col("abnormal_flag"))
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("sort_date").desc(), F.col("__rank").desc()))
-    at = lambda n: F.max(F.when(F.col("__d") == n, F.struct("value", "__a")))
-    out = kept.withColumn("__d", newest).withColumn("__a", F.struct(a["level"].alias("level"), a["boundary"].alias("boundary"))).groupBy(*keys).agg(
+    newest = F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(F.col("__at").desc()))
+    at = lambda n: F.max(F.when(F.col("__d") == n, F.struct("value", "__a", "series_name")))
+    names = lambda c: F.slice(F.array_sort(c), 1, most_names).alias("names")
+    days = kept.withColumn("__d", newest).withColumn("__a", F.struct(a["level"].alias("level"), a["boundary"].alias("boundary"))).groupBy(*keys, "__day").agg(
         at(1).alias("new"), at(2).alias("old"), F.count("*").alias("point_count"), F.min("sort_date").alias("first_date"), F.max("sort_date").alias("last_date"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.max_by("series_name", F.struct("sort_date", "__rank")).alias("name"),
-        F.slice(F.array_sort(F.collect_set("item_name")), 1, most_names).alias("names"),
+        names(F.collect_set("item_name")),
+    )
+    last = Window.partitionBy(*keys).orderBy(F.col("__day").desc())
+    days = days.withColumns({"__d": F.row_number().over(last), "old": F.coalesce("old", F.lead("new").over(last))})
+    of_last = lambda c: F.max(F.when(F.col("__d") == 1, F.col(c))).alias(c)
+    out = days.groupBy(*keys).agg(
+        of_last("new"), of_last("old"), F.sum("point_count").alias("point_count"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
+        names(F.array_distinct(F.flatten(F.collect_list("names")))),
     )
     new, old = F.col("new"), F.col("old")
     out = out.select(
-        *keys, "name", "point_count", "first_date", "last_date", new["value"].alias("latest_value"), old["value"].alias("previous_value"), F.round(new["value"] - old["value"], 6).alias("delta"),
+        *keys, new["series_name"].alias("name"), "point_count", "first_date", "last_date", new["value"].alias("latest_value"), old["value"].alias("previous_value"), F.round(new["value"] - old["value"], 6).alias("delta"),
         "min_value", "max_value", "names", new["__a"]["level"].alias("level"), new["__a"]["boundary"].alias("boundary"),
     )
     lost = points.filter("left_out is not null")

@@ -52,6 +52,20 @@ def test_series(spark):
     assert rows(flat, "k", "s") == [("a", 0.0), ("a", 1.0), ("b", 0.5)]
 
 
+def test_near_points(spark):
+    rng = random.Random(5)
+    base = [0.0, -0.0, 1.0, 7.25, -3.5, 2.0**22, 2.0**23, 2.0**24, 1e12, 1e300, 1.7e308, 4e-310]
+    moves = [0.0, 1e-9, 9.999999999999999e-10, 2.0**-30, 5e-10, -4e-10, 1.4e-9, 2e-9, -1e-9, 3e-9]
+    values = [rng.choice(base) + rng.choice(moves) * rng.choice((1, 1, 2, 0.5)) for _ in range(600)] + [float("nan"), float("inf"), float("-inf"), None] * 3
+    pts = spark.createDataFrame([(rng.choice(("a", "b", None)), i, v) for i, v in enumerate(rng.sample(values, len(values)))], "s string, at int, v double").repartition(3)
+    want = series.drop_repeated_points(pts, ["s"], "at", F.abs(F.col("p.v") - F.col("o.v")) < 1e-9)
+    kept = series.drop_near_points(pts, ["s"], "v", "at", 1e-9)
+    assert kept.columns == pts.columns and rows(kept, "at", "s") == rows(want, "at", "s")
+    wide = series.drop_near_points(pts, ["s"], "v", "at", 4.0)
+    assert rows(wide, "at") == rows(series.drop_repeated_points(pts, ["s"], "at", F.abs(F.col("p.v") - F.col("o.v")) < 4.0), "at")
+    assert " Join " not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_diffs_and_overrides(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "k int, v string")
@@ -143,6 +157,21 @@ def test_normalisation(spark):
     assert rows(moved) == [("a", "x")]
 
 
+def test_a_kind_of_observation_is_matched_once(spark):
+    made = spark.range(400).select(
+        "id", F.when(F.col("id") % 2 == 0, "白细胞(WBC)").otherwise(" ( ) ").alias("item_name"), F.when(F.col("id") % 5 != 0, F.col("id").cast("string")).alias("result_text"), F.lit(None).cast("double").alias("numeric_value"),
+        F.when(F.col("id") % 3 == 0, "10*9/L").alias("unit"), F.when(F.col("id") % 4 == 0, "血常规").alias("section_name"), F.lit(None).cast("string").alias("report_type"),
+    )
+    out = normalize.normalize_observations(made.repartition(3), spark.createDataFrame(ENTRIES, DICTIONARY))
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 400 and all(got[i].canonical_key == (None if i % 2 else "cbc_wbc") for i in got)
+    assert all(got[i].canonical_value == (None if i % 2 or i % 5 == 0 else float(i)) and got[i].excluded_reason == ("unmatched" if i % 2 else None if i % 5 else "no_number") for i in got)
+    assert {got[i].quality for i in (6, 12)} == {"high"} and got[2].quality == "medium"
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = max(i for i, line in enumerate(plan) if "Aggregate [" in line)
+    assert "item_name" in plan[last] and not any("regexp_extract(" in line for line in plan[last:])  # names are taken apart above the kinds only
+
+
 def test_dictionary(spark):
     redirects = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("p", "gone")], "from_key string, to_key string")
     ends = {r.from_key: r.to_key for r in dictionary.resolve_redirects(redirects).collect()}

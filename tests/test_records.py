@@ -101,6 +101,21 @@ def test_trend_with_a_duplicate_upload(spark):
     assert {r.id: r.left_out for r in points.collect()}["o5"] == "uncertain_match"
 
 
+def test_trends_of_near_points(spark):
+    made = [
+        ("1", "r2", "ready", "2024-01-02 09:00:00", "A", 5.0, "high"), ("2", "r1", "ready", "2024-01-02 08:00:00", "B", 5.0 + 8e-10, "high"), ("3", "r3", "needs_review", "2024-01-02 08:00:00", "C", 5.0 + 1.6e-9, "high"),
+        ("4", "r4", "ready", "2024-01-03", "D", 5.0, "medium"), ("5", "r4", "ready", "2024-01-03", "E", 5.0, "high"), ("6", "r5", "ready", None, "F", 5.0, "high"), ("7", "r5", "ready", None, "G", 5.0, "high"),
+        ("8", "r6", "ready", "2024-01-01", "H", float("nan"), "high"), ("9", "r6", "ready", "2024-01-01", "H", float("nan"), "high"),
+    ]
+    points = spark.createDataFrame([(*m, "m", None, None, None, k, "Name " + m[4], u, None) for m in made for k, u in (("x", "u"), ("y", None))], "id string, report_id string, status string, sort_date string, item_name string, value double, quality string, member_id string, reference_low double, reference_high double, abnormal_flag string, series_key string, series_name string, series_unit string, left_out string")
+    out = trends.trend_series(points)
+    same = (F.substring("p.sort_date", 1, 10) == F.substring("o.sort_date", 1, 10)) & (F.abs(F.col("p.value") - F.col("o.value")) < 1e-9)
+    assert [str(r) for r in rows(out)] == [str(r) for r in rows(trends.trend_series(points, same))]
+    x = out.filter("series_key = 'x'").first()
+    assert (x.point_count, x.name, x.latest_value, x.previous_value, x.names, x.first_date, x.last_date) == (6, "Name E", 5.0, 5.0 + 8e-10, ["B", "E", "F", "G", "H"], "2024-01-01", "2024-01-03")
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_findings_of_payloads(spark):
     df = payloads(
         spark,

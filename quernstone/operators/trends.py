@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -107,6 +108,10 @@ def trend_series(points: DataFrame, same: Column | None = None, most_left_out: i
     return out.join(by_name, (F.col("member_id") == F.col("__m")) & (F.col("name") == F.col("__n")), "left").drop("__m", "__n")
 
 
-def in_shown_order(series: DataFrame) -> DataFrame:
-    """Series with several points first, the newest first, then by name in pinyin order."""
-    return series.orderBy((F.col("point_count") > 1).desc(), F.col("last_date").desc(), F.collate("name", "zh"), "series_key")
+def in_shown_order(series: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Series with several points first, the newest first, then by name in pinyin order.
+
+    With ``names``, by their order instead; names that it lacks come behind.
+    """
+    by_name = F.collate("name", "zh") if names is None else F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col("name")), F.lit(0)).asc_nulls_last()
+    return series.orderBy((F.col("point_count") > 1).desc(), F.col("last_date").desc(), by_name, "series_key")

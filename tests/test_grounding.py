@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,11 @@ def test_a_pair_with_a_key_in_common_is_in_one_block(spark, monkeypatch):
     for k, x in keyed:
         by_key.setdefault(k, []).append(x)
     assert {(x, y) for same in by_key.values() for x in same for y in same if x < y} <= set(pairs)
+
+
+def test_shared_items_are_counted_by_bits_or_numbers():
+    rng = random.Random(11)
+    for most, size in ((90, 60), (10**6, 40), (70, 1)):  # alike sets, sets with little in common, sets of one item
+        sets = [sorted({rng.randrange(most) for _ in range(rng.randrange(1, size + 1))}) for _ in range(30)]
+        count = duplicates.shared_counts([np.array(x, np.uint64) for x in sets])
+        assert all(count(y, np.arange(y)).tolist() == [len({*sets[y]} & {*sets[x]}) for x in range(y)] for y in range(1, 30))
